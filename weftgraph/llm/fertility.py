@@ -12,13 +12,19 @@ from pyspark.sql import functions as F
 
 from .common import chunks, documents, split_words
 
-#: Bands by script: characters per token of either vocabulary, share of byte-fallback tokens, and token entropy in
-#: bits divided by log2 of the number of tokens. A language's bands, if given, go before its script's.
+_LATIN = {"piece_chars": (1.2, 8.0), "byte_chars": (1.45, 8.0), "byte_share": (0.0, 0.25), "entropy": (0.25, 1.0)}
+#: Bands by language or script: characters per token of either vocabulary, share of byte-fallback tokens, and token
+#: entropy in bits divided by log2 of the number of tokens. A language's bands go before its script's.
 BANDS = {
-    "latin": {"piece_chars": (1.3, 8.0), "byte_chars": (1.1, 8.0), "byte_share": (0.0, 0.25), "entropy": (0.35, 1.0)},
-    "cyrillic": {"piece_chars": (1.0, 8.0), "byte_chars": (0.5, 8.0), "byte_share": (0.0, 0.25), "entropy": (0.35, 1.0)},
+    "latin": _LATIN,
+    "en": _LATIN | {"byte_chars": (1.85, 8.0)},
+    "de": _LATIN | {"byte_chars": (1.85, 8.0)},
+    "fr": _LATIN | {"byte_chars": (1.72, 8.0)},
+    "es": _LATIN | {"byte_chars": (1.72, 8.0)},
+    "cyrillic": {"piece_chars": (1.0, 8.0), "byte_chars": (0.5, 8.0), "byte_share": (0.0, 0.25), "entropy": (0.25, 1.0)},
     "other": {"piece_chars": (0.2, 8.0), "byte_chars": (0.2, 8.0), "byte_share": (0.0, 0.98), "entropy": (0.25, 1.0)},
 }
+SCRIPTS = ("latin", "cyrillic", "other")
 MEASURES = ("piece_chars", "byte_chars", "byte_share", "entropy")
 _CACHED = 600_000
 
@@ -144,8 +150,8 @@ def verdict(measured: DataFrame, bands: dict | None = None) -> DataFrame:
     outside = []
     for name in MEASURES:
         low = high = F.lit(None).cast("double")
-        for key in bands:
-            is_it = (F.col("script") == key) if key in ("latin", "cyrillic", "other") else (F.col("lang") == key)
+        for key in sorted(bands, key=lambda k: k not in SCRIPTS):  # scripts first, so that languages go before them
+            is_it = (F.col("script") == key) if key in SCRIPTS else (F.col("lang") == key)
             low, high = (F.when(is_it, F.lit(bands[key][name][j])).otherwise(x) for j, x in ((0, low), (1, high)))
         outside.append(F.when((F.col(name) < low) | (F.col(name) > high), F.lit(name)))
     return measured.withColumn("rejected", F.array_compact(F.array(*outside)))
