@@ -5,12 +5,14 @@ from __future__ import annotations
 from .fertility import op5_tokeniser_fertility
 from .langid import op1_language_id
 from .mixing import OP7_SQL, op7_mixing_sources
+from .packing import op6_best_fit_packing
 from .winnowing import op2_document_fingerprints
 
 QUERIES = {
     "op1_language_id": op1_language_id,
     "op2_document_fingerprints": op2_document_fingerprints,
     "op5_tokeniser_fertility": op5_tokeniser_fertility,
+    "op6_best_fit_packing": op6_best_fit_packing,
     "op7_mixing_sources": op7_mixing_sources,
 }
 ORACLES = {"op7_mixing_sources": OP7_SQL}
