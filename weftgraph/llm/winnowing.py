@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import documents
+from .common import documents, materialise
 
 _POS = (1 << 31) - 1
 
@@ -72,6 +72,7 @@ def dealt_for_next(docs: DataFrame, span: int = 256) -> DataFrame:
     groups = groups.select(F.col("_group").alias("_g"), F.coalesce(F.lead("_first").over(everything), F.max("_first").over(Window.partitionBy(F.lit(1)))).alias("_after"))
     heads = heads.withColumn("_lead", F.lead("_head").over(Window.partitionBy("_group").orderBy(F.col("_span").desc())))
     wanted = heads.join(groups, F.col("_group") == F.col("_g")).select(F.col("_span").alias("_to"), F.coalesce("_lead", "_after").alias("_want"))
+    wanted = materialise(wanted, "heads")  # a row for each span: once it is written, Spark knows its size and needn't shuffle the texts for it
     copies = docs.join(wanted, F.col("_key") == F.col("_want")).withColumn("_span", F.col("_to")).drop("_to", "_want")
     return docs.withColumn("_extra", F.lit(0)).unionByName(copies.withColumn("_extra", F.lit(1)))
 
@@ -91,15 +92,16 @@ def fingerprint_pairs(docs: DataFrame, k: int = 5) -> DataFrame:
     """
     docs = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     rows = dealt_for_next(docs)
-    rows = with_fingerprint(rows, "text", "_fp", k).withColumn("_hashes", hashes("_fp"))
+    rows = with_fingerprint(rows, "text", "_fp", k)
     order = Window.partitionBy("_span").orderBy("_extra", F.col("_key").desc(), F.xxhash64("text"))
-    following = F.lead(F.struct("text", "_hashes")).over(order)
+    following = F.lead(F.struct("text", "_fp")).over(order)
     rows = rows.withColumn("_next", following).where("_extra = 0")
     rows = rows.withColumn("n_chars", F.length("text").cast("long"))
     half = F.floor(F.col("n_chars") / 2).cast("int")
     rows = rows.withColumn("_edited", F.concat(F.substring("text", F.lit(1), F.length("text") - half), F.substring(F.col("_next.text"), F.lit(1), half)))
-    rows = rows.select("doc_id", "n_chars", "_fp", "_hashes", "_edited", F.col("_next._hashes").alias("_next_hashes"))
-    rows = with_fingerprint(rows, "_edited", "_efp", k).withColumn("_ehashes", hashes("_efp"))
+    rows = rows.select("doc_id", "n_chars", "_fp", "_edited", F.col("_next._fp").alias("_next_fp"))
+    rows = with_fingerprint(rows, "_edited", "_efp", k)
+    rows = rows.select("doc_id", "n_chars", "_edited", "_fp", "_efp", *(hashes(x).alias(y) for x, y in (("_fp", "_hashes"), ("_efp", "_ehashes"), ("_next_fp", "_next_hashes"))))
     return rows.select(
         "doc_id",
         "n_chars",
