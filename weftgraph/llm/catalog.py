@@ -5,6 +5,7 @@ from __future__ import annotations
 from .fertility import op5_tokeniser_fertility
 from .langid import op1_language_id
 from .mixing import OP7_SQL, op7_mixing_sources
+from .neardup import op9_minhash_near_dedup
 from .packing import op6_best_fit_packing
 from .winnowing import op2_document_fingerprints
 
@@ -14,5 +15,6 @@ QUERIES = {
     "op5_tokeniser_fertility": op5_tokeniser_fertility,
     "op6_best_fit_packing": op6_best_fit_packing,
     "op7_mixing_sources": op7_mixing_sources,
+    "op9_minhash_near_dedup": op9_minhash_near_dedup,
 }
 ORACLES = {"op7_mixing_sources": OP7_SQL}
