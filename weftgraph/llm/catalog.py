@@ -7,6 +7,7 @@ from .langid import op1_language_id
 from .mixing import OP7_SQL, op7_mixing_sources
 from .neardup import op9_minhash_near_dedup
 from .packing import op6_best_fit_packing
+from .substrings import op10_substring_dedup
 from .winnowing import op2_document_fingerprints
 
 QUERIES = {
@@ -16,5 +17,6 @@ QUERIES = {
     "op6_best_fit_packing": op6_best_fit_packing,
     "op7_mixing_sources": op7_mixing_sources,
     "op9_minhash_near_dedup": op9_minhash_near_dedup,
+    "op10_substring_dedup": op10_substring_dedup,
 }
 ORACLES = {"op7_mixing_sources": OP7_SQL}
