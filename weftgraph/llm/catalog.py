@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from .fertility import op5_tokeniser_fertility
 from .langid import op1_language_id
+from .linededup import op8_line_dedup
 from .mixing import OP7_SQL, op7_mixing_sources
 from .neardup import op9_minhash_near_dedup
 from .packing import op6_best_fit_packing
@@ -16,6 +17,7 @@ QUERIES = {
     "op5_tokeniser_fertility": op5_tokeniser_fertility,
     "op6_best_fit_packing": op6_best_fit_packing,
     "op7_mixing_sources": op7_mixing_sources,
+    "op8_line_dedup": op8_line_dedup,
     "op9_minhash_near_dedup": op9_minhash_near_dedup,
     "op10_substring_dedup": op10_substring_dedup,
 }

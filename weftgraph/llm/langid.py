@@ -157,7 +157,7 @@ def identify(docs: DataFrame, model: Model | None, with_text: bool = True) -> Da
     spark = docs.sparkSession
     shared = spark.sparkContext.broadcast(model)  # at most pairs of languages x 4097 weights
     names = [c for c in docs.columns if with_text or c != "text"]
-    schema = StructType(docs.select(*names).schema.fields).add("lang_pred", "string").add("score", "double")
+    schema = StructType(list(docs.select(*names).schema.fields)).add("lang_pred", "string").add("score", "double")
 
     def predict(batches):
         m = shared.value

@@ -78,6 +78,12 @@ def systematic_mix(docs: DataFrame, size: str = "size", weights=(1, 2, 3), cap:
     return rows.drop("_bits", "_b", "_chunk", "_c", "_s", "_rank", "_before", "_step", "_offset")
 
 
+def mix_sources(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pipeline stage: each document as often as the mix to the weights 1, 2, 3 takes it."""
+    mixed = systematic_mix(docs.withColumn("_size", n_words(F.col("text"))), size="_size").where("copies > 0")
+    return mixed.withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies")))).select(*docs.columns)
+
+
 def op7_mixing_sources(spark, sf_dir: str) -> DataFrame:
     """All documents mixed to the weights 1, 2, 3 by source; words taken of each."""
     docs = documents(spark, sf_dir)

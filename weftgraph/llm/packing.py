@@ -230,6 +230,11 @@ def pack_documents(docs: DataFrame, size: int = 4096, path: str | None = None) -
     return pack(materialise(tokenised_pieces(docs, size, path=path), "pieces"), size)
 
 
+def pack_stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pipeline stage: what the mix has taken, in sequences of 4096 tokens."""
+    return pack_documents(docs)
+
+
 def op6_best_fit_packing(spark, sf_dir: str) -> DataFrame:
     """All documents in sequences of 4096 tokens."""
     return pack_documents(documents(spark, sf_dir))
