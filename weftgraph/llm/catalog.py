@@ -5,6 +5,7 @@ from __future__ import annotations
 from .fertility import op5_tokeniser_fertility
 from .langid import op1_language_id
 from .linededup import op8_line_dedup
+from .lmscore import op4_lm_scoring
 from .mixing import OP7_SQL, op7_mixing_sources
 from .neardup import op9_minhash_near_dedup
 from .packing import op6_best_fit_packing
@@ -14,6 +15,7 @@ from .winnowing import op2_document_fingerprints
 QUERIES = {
     "op1_language_id": op1_language_id,
     "op2_document_fingerprints": op2_document_fingerprints,
+    "op4_lm_scoring": op4_lm_scoring,
     "op5_tokeniser_fertility": op5_tokeniser_fertility,
     "op6_best_fit_packing": op6_best_fit_packing,
     "op7_mixing_sources": op7_mixing_sources,
