@@ -9,8 +9,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .buckets import dealt_blocks, linked, shared_keys
 from .common import chunks, documents, materialise, split_words
-from .components import components
 
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
@@ -131,17 +131,6 @@ def confirmed_in_blocks(pairs: DataFrame, members: DataFrame, texts: DataFrame,
     ``block`` documents of one side and ``block`` of the other; a block's counts are taken at
     once, so no row is made for a pair that isn't linked.
     """
-    deal = lambda node, n: F.pmod(F.xxhash64(node), n)
-    left = pairs.select("big").distinct().join(members, F.col("big") == F.col("component")).select("big", "node")
-    right = pairs.join(members, F.col("small") == F.col("component")).select("big", "node").distinct()
-    size = lambda t, n: t.groupBy(F.col("big").alias("_g")).agg(F.ceil(F.count(F.lit(1)) / block).alias(n))
-    blocks = materialise(size(left, "nl").join(size(right, "nr"), "_g"), "blocks")
-
-    def dealt(side, own, other, a, b, which):
-        side = side.join(blocks, F.col("big") == F.col("_g")).withColumn(a, deal(F.col("node"), F.col(own)))
-        side = side.withColumn(b, F.explode(F.sequence(F.lit(0).cast("long"), F.col(other) - 1)))
-        return side.join(texts, F.col("node") == F.col("doc_id")).select("big", "l", "r", "node", "text", F.lit(which).alias("right"))
-
     def compare(rows: pa.Table) -> pa.Table:
         x, y = rows.filter(pc.invert(rows.column("right"))), rows.filter(rows.column("right"))
         both = pa.concat_arrays([t.column("text").combine_chunks().cast(pa.string()) for t in (x, y)])
@@ -164,7 +153,7 @@ def confirmed_in_blocks(pairs: DataFrame, members: DataFrame, texts: DataFrame,
         i, j = (np.concatenate(v) if v else np.zeros(0, int) for v in (a, b))
         return pa.table({"a": x.column("node").take(pa.array(i)).combine_chunks(), "b": y.column("node").take(pa.array(j)).combine_chunks()})
 
-    rows = dealt(left, "nl", "nr", "l", "r", False).unionByName(dealt(right, "nr", "nl", "r", "l", True))
+    rows = dealt_blocks(pairs, members, texts, block)
     return rows.groupBy("big", "l", "r").applyInArrow(compare, "a long, b long")
 
 
@@ -177,10 +166,8 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, rows: int =
     by 30 bands of 4 with a chance of 1.4e-7, one at 85 % by 24 bands of 5 with 8e-7.
     Every link is confirmed on the full sets.
 
-    Documents with the same set are one node. Within a band's key, each node is first
-    compared with one centre, the node that most keys share. What this doesn't bring into
-    one component is then compared: single nodes with each other, larger components with
-    all nodes that share a key with them, in blocks. So a group of copies costs its size.
+    Documents with the same set are one node; buckets.linked compares the others of a key
+    without all pairs of it.
 
     Null or empty text, or no word: n_shingles 0, linked with nothing. Null doc_id: linked
     with nothing, component null. Rows that repeat a doc_id are one document. Empty table:
@@ -191,47 +178,16 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, rows: int =
     node = F.min("doc_id").alias("node")
     nodes = usable.groupBy("set_hash").agg(node)
     kept = usable.join(nodes, ["set_hash"]).where("doc_id = node").dropDuplicates(["set_hash"])
-    entries = kept.select("node", F.col("n_shingles").alias("n"), F.explode("keys").alias("key"))
-    shared = entries.groupBy("key").agg(F.count(F.lit(1)).alias("many")).where("many > 1")
-    entries = materialise(entries.join(shared, "key"), "entries")
-
-    degree = entries.groupBy("node").agg(F.sum("many").alias("degree"))
-    ranked = entries.join(degree, "node")
-    centres = materialise(ranked.groupBy("key").agg(F.max(F.struct("degree", (-F.col("node")).alias("minus"), "n")).alias("c")).select("key", (-F.col("c.minus")).alias("b"), F.col("c.n").alias("nb")), "centres")
-    alike = lambda x, y: (100 * F.least(x, y) >= percent * F.greatest(x, y))
-    stars = entries.join(centres, "key").where((F.col("node") != F.col("b")) & alike(F.col("n"), F.col("nb")))
-    stars = materialise(stars.select(F.col("node").alias("a"), "b").distinct(), "stars")
+    entries = kept.select("node", F.col("n_shingles").alias("attr"), F.explode("keys").alias("key"))
+    entries = shared_keys(entries)
     ids = entries.select(F.col("node").alias("_n")).distinct()
     texts = materialise(docs.select(F.col("doc_id").cast("long"), "text").join(ids, F.col("doc_id") == F.col("_n"), "left_semi"), "texts")
-    links = materialise(confirmed(stars, texts, k, percent), "links")
-
-    found = components(links)
-    entries = entries.join(found, F.col("node") == F.col("id"), "left").select("key", "node", "n", F.coalesce("component", "node").alias("c"))
-    mixed = entries.groupBy("key").agg(F.min("c").alias("_low"), F.max("c").alias("_high")).where("_low < _high").select("key")
-    entries = materialise(entries.join(mixed, "key", "left_semi"), "mixed")
-    sizes = found.groupBy("component").agg(F.count(F.lit(1)).alias("many"))
-    sizes = entries.select("key", "node", "n", "c").join(sizes, F.col("c") == F.col("component"), "left").withColumn("many", F.coalesce("many", F.lit(1)))
-    # nodes that are alone in their component: pair by pair where a key has few, else all that have a centre in common, in blocks
-    alone = sizes.where("many = 1")
-    few = alone.groupBy("key").agg((F.count(F.lit(1)) <= 16).alias("few"))
-    alone = materialise(alone.join(few, "key"), "alone")
-    crowds = materialise(alone.where("NOT few").select("key", "node").join(centres, "key").select(F.col("b").alias("component"), "node").distinct(), "crowds")
-    themselves = crowds.select(F.col("component").alias("big"), F.col("component").alias("small")).distinct()
-    x, y = (alone.where("few").select("key", F.col("node").alias(i), F.col("n").alias(f"n{i}")) for i in "ab")
-    cross = x.join(y, "key").where((F.col("a") < F.col("b")) & alike(F.col("na"), F.col("nb"))).select("a", "b").distinct()
-    tested = stars.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    cross = materialise(cross.join(tested, ["a", "b"], "left_anti"), "cross")
-    # others, component by component
-    whole = sizes.select("key", F.col("c").alias("small"), F.col("many").alias("ms")).distinct()
-    large = whole.where("ms > 1").select("key", F.col("small").alias("big"), F.col("ms").alias("mb"))
-    order = (F.col("mb") > F.col("ms")) | ((F.col("mb") == F.col("ms")) & (F.col("big") < F.col("small")))
-    blocks = materialise(large.join(whole, "key").where(order).select("big", "small").distinct(), "pairs")
-    members = found.select("component", F.col("id").alias("node")).unionByName(alone.select(F.col("c").alias("component"), "node").distinct())
-    more = confirmed(cross, texts, k, percent).unionByName(confirmed_in_blocks(blocks, members, texts, k, percent))
-    more = materialise(more.unionByName(confirmed_in_blocks(themselves, crowds, texts, k, percent)).where("a <> b"), "links")
-
-    if not more.isEmpty():
-        found = components(links.unionByName(more))
+    found = linked(
+        entries,
+        lambda x, y: 100 * F.least(x, y) >= percent * F.greatest(x, y),
+        lambda pairs: confirmed(pairs, texts, k, percent),
+        lambda pairs, members: confirmed_in_blocks(pairs, members, texts, k, percent),
+    )
     nodes = nodes.join(found, F.col("node") == F.col("id"), "left").select("set_hash", F.coalesce("component", "node").alias("_c"))
     out = signed.drop("keys").join(nodes, "set_hash", "left")
     return out.select("doc_id", "n_shingles", F.coalesce("_c", "doc_id").alias("component_id"))
