@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from .fertility import op5_tokeniser_fertility
 from .langid import op1_language_id
+from .licences import OP3_SQL, op3_licence_scan
 from .linededup import op8_line_dedup
 from .lmscore import op4_lm_scoring
 from .mixing import OP7_SQL, op7_mixing_sources
@@ -15,6 +16,7 @@ from .winnowing import op2_document_fingerprints
 QUERIES = {
     "op1_language_id": op1_language_id,
     "op2_document_fingerprints": op2_document_fingerprints,
+    "op3_licence_scan": op3_licence_scan,
     "op4_lm_scoring": op4_lm_scoring,
     "op5_tokeniser_fertility": op5_tokeniser_fertility,
     "op6_best_fit_packing": op6_best_fit_packing,
@@ -23,4 +25,4 @@ QUERIES = {
     "op9_minhash_near_dedup": op9_minhash_near_dedup,
     "op10_substring_dedup": op10_substring_dedup,
 }
-ORACLES = {"op7_mixing_sources": OP7_SQL}
+ORACLES = {"op3_licence_scan": OP3_SQL, "op7_mixing_sources": OP7_SQL}
