@@ -1,0 +1,35 @@
+"""Communication volumes of the block layouts, in closed form, for one training step of four products."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from ..operators.partition import ceil_block, floor_block, grid_side, stage_owner
+
+WIDTHS = (64, 16, 16, 10)
+
+
+def words_15d(ids: DataFrame, n: int, parts: int, replicas: int, widths=WIDTHS) -> DataFrame:
+    """(block, replica, words): numbers in the row blocks that each rank receives; all ranks of a replica receive the same ones."""
+    blocks = parts // replicas
+    owner = stage_owner(F.col("b"), parts, replicas)
+    rows = ids.select(ceil_block(F.col("node_id"), n, blocks)[0].alias("b")).groupBy("b").agg(F.count(F.lit(1)).alias("rows"))
+    sent = rows.groupBy(owner.alias("replica")).agg((F.sum("rows") * sum(widths)).alias("words"))
+    ranks = ids.sparkSession.createDataFrame([(b, r) for b in range(blocks) for r in range(replicas)], "block int, replica int")
+    return ranks.join(sent, "replica", "left").select("block", "replica", F.coalesce("words", F.lit(0)).alias("words"))
+
+
+def words_grid(adj: DataFrame, n: int, parts: int, dims: int, widths=WIDTHS) -> DataFrame:
+    """(width, sparse_words, dense_words) of the first rank: 3 numbers a cell of its row of blocks, and its columns' rows."""
+    side = grid_side(parts, dims)
+    row, col = floor_block(F.col("src"), n, side)[0], floor_block(F.col("dst"), n, side)
+    cells = adj.select(row.alias("i"), col[0].alias("k"), col[1].alias("at"))
+    size = F.when(F.col("k") == side - 1, n - (side - 1) * (n // side)).otherwise(n // side)
+    if dims == 3:
+        cells = cells.where(F.least(F.floor(F.col("at") / F.greatest(F.floor(size / side), F.lit(1))), F.lit(side - 1)) == 0)
+    sparse = cells.where("i = 0").agg((3 * F.count(F.lit(1))).alias("sparse_words"))
+    rows = [n // side if k < side - 1 else n - (side - 1) * (n // side) for k in range(side)]
+    rows = [r // side for r in rows] if dims == 3 else rows
+    wide = adj.sparkSession.createDataFrame([(p, w, sum(rows) * (w // side)) for p, w in enumerate(widths)], "product int, width int, dense_words long")
+    return wide.crossJoin(F.broadcast(sparse))
