@@ -14,7 +14,8 @@ from .components import components
 def shared_keys(entries: DataFrame) -> DataFrame:
     """The (key, node, attr) rows whose key has several nodes, with ``many``, their number."""
     counts = entries.groupBy("key").agg(F.count(F.lit(1)).alias("many")).where("many > 1")
-    return materialise(entries.join(counts, "key"), "entries")
+    # the counts are few beside the entries: hashing them spares the sort of both
+    return materialise(entries.join(counts.hint("shuffle_hash"), "key"), "entries")
 
 
 def linked(entries: DataFrame, alike: Callable, confirm: Callable, confirm_blocks: Callable, few: int = 16) -> DataFrame:
