@@ -15,10 +15,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import chunks, documents, materialise, shared_dir, split_words
+from .common import chunks, documents, materialise, shared_dir, shuffles_removed, split_words
 from .neardup import gram_hashes, word_hashes
 
 
+WHOLE = -1
+
+
 def window_anchors(g: np.ndarray, span: int) -> np.ndarray:
     """For each window of ``span`` consecutive hashes the place of the smallest, of equal ones the rightmost."""
     n = len(g) - span + 1
@@ -82,7 +85,8 @@ class FingerprintIndex:
 
     def _write(self, rows: DataFrame) -> str:
         name = f"run_{uuid.uuid4().hex}"
-        rows.write.bucketBy(self.buckets, "h").sortBy("h", "doc_id").option("path", f"{shared_dir(self.spark)}/tables/{name}").saveAsTable(name)
+        with shuffles_removed(self.spark):
+            rows.write.bucketBy(self.buckets, "h").sortBy("h", "doc_id").option("path", f"{shared_dir(self.spark)}/tables/{name}").saveAsTable(name)
         return name
 
     def compact(self) -> None:
@@ -95,6 +99,8 @@ class FingerprintIndex:
     def add(self, docs: DataFrame) -> DataFrame:
         """Adds a batch (doc_id, text) and returns (doc_id, at): starts of its windows that a smaller doc_id has too.
 
+        A start of WHOLE stands for all windows of a text that a smaller doc_id has as a whole.
+
         Smaller ids are looked for in the batch and in all batches before; ids of later
         batches should be larger. Rows with null doc_id aren't indexed and lose nothing.
         """
@@ -126,6 +132,14 @@ class FingerprintIndex:
                 # a window counts if its anchor is listed for its text; anchors are mixed with the text's number so that one lookup does
                 mix = lambda a, d: a.view(np.uint64) ^ (d.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
                 keep = np.isin(mix(own.anchor, own.doc), mix(anchor, doc))
+                # of equal texts in a task the one with the smallest id stands for all; the others lose every window, as one row
+                ids, same = batch.column(0).to_numpy(), batch.column(1).dictionary_encode().indices.to_numpy()
+                least = np.full(same.max() + 1, np.iinfo(np.int64).max)
+                np.minimum.at(least, same, ids)
+                copy = ids > least[same]
+                gone = ids[copy & (np.diff(own.starts) >= words)]
+                yield pa.RecordBatch.from_arrays([pa.array(gone), pa.array(np.zeros(len(gone), np.int32)), pa.array(gone), pa.array(np.full(len(gone), WHOLE, np.int32))], ["w", "c", "doc_id", "at"])
+                keep &= ~copy[own.doc]
                 at, doc = own.at[keep], own.doc[keep]
                 full = gram_hashes(own.h, words)[at] if len(at) else own.h[:0]
                 check = gram_hashes(own.h[::-1], words)[::-1][at] if len(at) else own.h[:0]
@@ -139,7 +153,7 @@ class FingerprintIndex:
         def repeated(batches):
             last = first = None
             for batch in batches:
-                w, c, doc = (batch.column(i).to_numpy() for i in range(3))
+                w, c, doc, at = (batch.column(i).to_numpy() for i in range(4))
                 if not len(w):
                     continue
                 new = np.ones(len(w), bool)
@@ -147,7 +161,7 @@ class FingerprintIndex:
                 new[0] = last != (w[0], c[0])
                 owner = np.append(doc, first if first is not None else 0)[np.maximum.accumulate(np.where(new, np.arange(len(w)), -1))]
                 last, first = (w[-1], c[-1]), owner[-1]
-                yield batch.select(["doc_id", "at"]).filter(pa.array(doc > owner))
+                yield batch.select(["doc_id", "at"]).filter(pa.array((doc > owner) | (at == WHOLE)))
 
         # equal windows meet in one task in order of doc_id, and stream through it
         dealt = windows.repartition(F.col("w"), F.col("c")).sortWithinPartitions("w", "c", "doc_id")
@@ -196,6 +210,8 @@ def without_repeats(docs: DataFrame, words: int = 13, batches: int = 2) -> DataF
                 gone = np.zeros(e - s + 1, np.int64)
                 if at.is_valid:
                     places = np.unique(at.values.to_numpy())
+                    if places[0] == WHOLE:
+                        places = np.arange(e - s - words + 1)
                     gone[places] += 1
                     np.subtract.at(gone, places + words, 1)
                 keep = np.cumsum(gone)[:-1] == 0
