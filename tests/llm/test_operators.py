@@ -346,6 +346,46 @@ def test_line_dedup(spark, make, empty):
     assert linededup.without_repeated_lines(empty).count() == 0
 
 
+def similar_lines(rows, least):
+    """The removed (doc_id, place) by edit similarity of all pairs of lines alone."""
+    lines = []
+    for r in sorted((r for r in rows if r.text is not None), key=lambda r: r.doc_id):
+        for k, line in enumerate(r.text.split("\n")):
+            w = words(linededup.normalised(pa.array([line]))[0].as_py())
+            if len(w) >= least:
+                lines.append((r.doc_id, k, w))
+    most = lambda x, y: 0.2 * max(len(x), len(y)) + 1e-9
+    links = [(i, j) for j, b in enumerate(lines) for i, a in enumerate(lines[:j]) if abs(len(a[2]) - len(b[2])) <= most(a[2], b[2]) and distance(a[2], b[2]) <= most(a[2], b[2])]
+    top = joined(links, range(len(lines)))
+    return {lines[i][:2] for i, t in top.items() if t != i}
+
+
+def test_similar_lines_are_found_whatever_their_simhash(spark, make):
+    import random
+
+    rng = random.Random(11)
+    texts = []
+    for n in [5, 6, 7, 9, 10, 12, 15, 20, 28, 33, 50, 64, 100]:
+        for kind in range(6):
+            base = make.prose(rng, n).split()
+            other, edits = list(base), max(1, n // 5 if kind < 4 else n // 10)
+            # the longest words, words spread evenly, random words are replaced; some are left out or put in
+            spots = sorted(range(n), key=lambda i: -len(base[i])) if kind == 0 else list(range(n // (2 * edits), n, n // edits)) if kind == 1 else rng.sample(range(n), n)
+            for i in sorted(spots[:edits], reverse=True):
+                if kind == 3:
+                    del other[i]
+                elif kind == 4:
+                    other.insert(i, "neu" + make.prose(rng, 1))
+                else:
+                    other[i] = "verylongsubstitute" + make.prose(rng, 1)
+            texts += [" ".join(base), " ".join(other)]
+    texts += [" ".join(["same"] * 200), " ".join("other" + str(i) if i % 5 == 2 else "same" for i in range(200))]
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    want = similar_lines(docs.collect(), 5)
+    got = {(r.doc_id, k) for r in linededup.repeated_lines(docs, **{**linededup.WHOLE, "min_words": 5}).collect() for k in r.lines}
+    assert got == want and len(want) > 60
+
+
 def test_edit_similarity():
     rng = np.random.default_rng(0)
     for _ in range(200):
