@@ -386,6 +386,17 @@ def test_similar_lines_are_found_whatever_their_simhash(spark, make):
     assert got == want and len(want) > 60
 
 
+def test_short_lines_are_repeats_too(spark):
+    texts = ["In in oredble ea.\none\n!!!\n\nfour words are here\nfour words are here now", "in IN oredble, ea\n-- one --\n!!!\n\nfour words were here", "two + -- * words\ntwo words\nonly here", "one"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    want = similar_lines(docs.collect(), 1)
+    assert want == {(0, 5), (1, 0), (1, 1), (2, 1), (3, 0)}
+    out = by_id(linededup.without_repeated_lines(docs, **linededup.WHOLE))
+    assert {d: r.n_removed for d, r in out.items()} == {0: 1, 1: 2, 2: 1, 3: 1}
+    assert out[1].text == "!!!\n\nfour words were here"
+    assert [r.doc_id for r in linededup.drop_repeated_lines(spark, docs, "").orderBy("doc_id").collect()] == [0, 1, 2]
+
+
 def test_edit_similarity():
     rng = np.random.default_rng(0)
     for _ in range(200):
