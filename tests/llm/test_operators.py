@@ -13,7 +13,7 @@ import xxhash
 from pyspark.sql import functions as F
 
 from weftgraph.llm import fertility, gru, langid, licences, linededup, lmscore, mixing, neardup, packing, substrings, winnowing
-from weftgraph.llm.common import split_words
+from weftgraph.llm.common import materialise, split_words
 from weftgraph.llm.components import components
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -266,6 +266,25 @@ def test_groups_of_pieces_meet_again(spark):
     assert len(out) <= math.ceil(sum(r[3] for r in rows) / 100) * 1.03 + 1
 
 
+def test_pieces_that_nothing_fits_beside(spark, monkeypatch):
+    written = []
+
+    def counted(df, label):
+        written.append(label)
+        assert len(written) < 9, "the same pieces are dealt again and again"
+        return materialise(df, label)
+
+    monkeypatch.setattr(packing, "materialise", counted)
+    rows = [(i, 0, 0, 70, i, i) for i in range(200)] + [(1000 + i, 0, 0, 30, i, i) for i in range(20)]
+    pieces = spark.createDataFrame(rows, "doc_id long, piece int, start long, length long, ids_crc32 long, salt long")
+    out = packing.pack(pieces, size=100, group_rows=50).collect()
+    assert sorted((r.doc_id, r.length) for r in out) == sorted((r[0], r[3]) for r in rows)
+    bins = defaultdict(int)
+    for r in out:
+        bins[r.sequence_id] += r.length
+    assert len(bins) == 200 and max(bins.values()) == 100
+
+
 # 7
 
 

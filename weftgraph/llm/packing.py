@@ -203,21 +203,27 @@ def pack(pieces: DataFrame, size: int = 4096, group_rows: int = 2000, full: floa
     Pieces are dealt by a hash into groups of about ``group_rows``, each packed in one
     task. The pieces of bins that are filled to less than ``full`` are dealt again, to
     fewer groups, until one group holds all that is left; so the waste doesn't grow with
-    the number of groups.
+    the number of groups. It also ends when a level leaves as many pieces as it was given,
+    in no fewer bins: pieces that nothing fits beside never fill a bin.
     """
     done, rest, level = None, pieces, 0
+    before, n_rest, n_bins = None, rest.count(), None
     while True:
-        groups = max(1, -(-rest.count() // group_rows))
+        groups = max(1, -(-n_rest // group_rows))
         keys = [F.lit(level), *(F.coalesce(F.col(c), F.lit(-1)) for c in ("doc_id", "piece", "start", "salt"))]
         dealt = rest.withColumn("_group", F.pmod(F.xxhash64(*keys), F.lit(groups)))
 
         fields = "doc_id long, piece int, start long, length long, ids_crc32 long, salt long, sequence_id long, offset long, fill long"
         packed = materialise(dealt.groupBy("_group").applyInPandas(_pack_group(size, level), fields), "packed")
-        kept = packed if groups == 1 else packed.where(F.col("fill") >= full * size)
+        left = packed.where(F.col("fill") < full * size)
+        n_left, left_bins = left.agg(F.count(F.lit(1)), F.count_distinct("sequence_id")).first()
+        stuck = before is not None and n_left == n_rest and left_bins >= n_bins
+        kept = packed if groups == 1 else before if stuck else packed.where(F.col("fill") >= full * size)
         done = kept if done is None else done.unionByName(kept)
-        if groups == 1:
+        if groups == 1 or stuck:
             return done.drop("salt", "fill")
-        rest, level = packed.where(F.col("fill") < full * size).select(*pieces.columns), level + 1
+        rest, level = left.select(*pieces.columns), level + 1
+        before, n_rest, n_bins = left, n_left, left_bins
 
 
 def pack_documents(docs: DataFrame, size: int = 4096, path: str | None = None) -> DataFrame:
