@@ -165,6 +165,20 @@ def test_language_model_scores(spark, docs, empty):
     assert lmscore.score_documents(docs, empty).where("score < 0 AND n_known = 0 AND train_tokens = 0").count() == len(rows)
 
 
+def test_language_model_learns_from_every_document(spark):
+    training = spark.range(5000).selectExpr("id AS doc_id", "concat('w', id % 7, ' x') AS text")
+    model = lmscore.Scorer(training, frequent=20, shard=1000)
+    assert model.learned == model.n_tokens == 15000
+
+
+def test_no_token_is_left_out_of_training():
+    lay = gru.Layout(np.array([10.0, 9, 7, 5, 3]), np.array([4.0, 2.0]), n_classes=3)
+    p = lay.start()
+    docs = [np.array([1, 2, 0])] * 33 + [np.array([4])]  # 100 tokens; the only 4 is the last, beyond 8 rows of 12
+    moved, n = gru.train(p, lay, docs, streams=8, window=12, rate=0.01)
+    assert n == 100 and np.abs(moved["bo"][4] - p["bo"][4]) + np.abs(moved["wo"][4] - p["wo"][4]).sum() > 0
+
+
 def test_language_model_is_a_distribution_and_learns():
     rng = np.random.default_rng(0)
     lay = gru.Layout(np.array([10.0, 9, 7, 5, 3]), np.array([4.0, 2.0]), n_classes=3)

@@ -133,6 +133,7 @@ def train(p: dict, lay: Layout, docs: list[np.ndarray], streams: int = 48, windo
     """One pass of truncated backpropagation with Adam over the documents, laid end to end in ``streams`` rows.
 
     The state goes on from window to window within a document and starts anew with each one.
+    The last row is filled up from the first documents, so no token is left out.
     """
     p = {n: v.copy() for n, v in p.items()}
     if not docs:
@@ -141,8 +142,8 @@ def train(p: dict, lay: Layout, docs: list[np.ndarray], streams: int = 48, windo
     begins = np.zeros(len(line), bool)
     begins[np.concatenate([[0], np.cumsum([len(d) for d in docs])[:-1]]).astype(int)] = True
     streams = max(1, min(streams, len(line) // window))
-    long = len(line) // streams
-    ids, fresh = (v[: streams * long].reshape(streams, long) for v in (line, begins))
+    long = -(-len(line) // streams)
+    ids, fresh = (np.resize(v, (streams, long)) for v in (line, begins))
     before = np.concatenate([np.zeros((streams, 1), int), ids[:, :-1]], axis=1)
     h = np.zeros((streams, HIDDEN), np.float32)
     m, v = ({n: np.zeros_like(x) for n, x in p.items()} for _ in range(2))

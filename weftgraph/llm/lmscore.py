@@ -37,14 +37,14 @@ class Scorer:
     """Counts of the whole training corpus, and the recurrent model learned from it.
 
     ``frequent`` words have outputs of their own; the counts of all others are kept in the
-    table ``counts`` alone. All training documents are counted, and the model starts from
-    these counts. Its other weights are learned from the documents in ``share`` of the
-    hash range, a share that is raised where it would be fewer than ``least`` documents.
-    Shards of about ``shard`` of them learn apart and their weights are averaged by Spark,
-    in ``rounds`` rounds, so what is learned from grows with the corpus.
+    table ``counts`` alone. All training documents are counted, the model starts from
+    these counts, and its other weights are learned from all of them too. Shards of about
+    ``shard`` documents learn apart and their weights are averaged by Spark, in ``rounds``
+    rounds, each on its own part of every shard. ``learned`` is the number of tokens that
+    went through backpropagation.
     """
 
-    def __init__(self, training: DataFrame, frequent: int = 4000, share: float = 0.04, least: int = 2000, shard: int = 1000, rounds: int = 3):
+    def __init__(self, training: DataFrame, frequent: int = 4000, shard: int = 1000, rounds: int = 3):
         self.spark = training.sparkSession
         training = training.select("doc_id", "text")
         self.counts = materialise(word_counts(training), "counts")
@@ -66,14 +66,13 @@ class Scorer:
         self.open_counts = np.array([max(self.n_docs, 1), *(r.c for r in top)], float)
         self.layout = gru.Layout(self.open_counts, self.rare_c + 0.5 * (self.rare_n + 1.0))
         self.params = self.layout.start()
+        self.learned = 0
         if self.n_docs:
-            part = min(1.0, max(share, least / self.n_docs))
             draw = F.pmod(F.xxhash64(F.lit("gru"), "doc_id"), F.lit(1 << 30)).cast("double") / (1 << 30)
-            sample = training.withColumn("u", draw).where(F.col("u") < part)
-            shards = max(1, round(self.n_docs * part / shard))
+            drawn = training.withColumn("u", draw)
+            shards = max(1, round(self.n_docs / shard))
             for k in range(rounds):
-                own = sample.where((F.col("u") >= part * k / rounds) & (F.col("u") < part * (k + 1) / rounds))
-                self._round(own, shards)
+                self._round(drawn.where((F.col("u") >= k / rounds) & (F.col("u") < (k + 1) / rounds)), shards)
 
     def _round(self, docs: DataFrame, shards: int) -> None:
         shared = self.spark.sparkContext.broadcast((self.params, self.layout, self.words))  # bounded by ``frequent``
@@ -84,9 +83,19 @@ class Scorer:
             return pa.table({"weights": pa.array([gru.flat(p)], pa.list_(pa.float32())), "n": pa.array([n], pa.int64())})
 
         dealt = docs.select("text", F.pmod(F.xxhash64("doc_id", "text"), F.lit(shards)).alias("shard"))
-        learned = dealt.groupBy("shard").applyInArrow(learn, "weights array<float>, n long").where("n > 0")
-        learned = learned.select("n", F.posexplode("weights").alias("at", "v"))
-        rows = learned.groupBy("at").agg((F.sum(F.col("v").cast("double") * F.col("n")) / F.sum("n")).alias("v"))
+        def weigh(batches):
+            total, count = 0.0, 0
+            for batch in batches:
+                for weights, n in zip(batch.column(0), batch.column(1).to_pylist(), strict=True):
+                    total, count = total + n * weights.values.to_numpy().astype(np.float64), count + n
+            if count:  # one row for each task, however many shards it has learned
+                yield pa.RecordBatch.from_arrays([pa.array([total], pa.list_(pa.float64())), pa.array([count], pa.int64())], ["weights", "n"])
+
+        learned = dealt.groupBy("shard").applyInArrow(learn, "weights array<float>, n long")
+        learned = materialise(learned.mapInArrow(weigh, "weights array<double>, n long"), "learned")
+        count = learned.agg(F.sum("n")).first()[0] or 0
+        self.learned += count
+        rows = learned.select(F.posexplode("weights").alias("at", "v")).groupBy("at").agg((F.sum("v") / F.lit(count)).alias("v"))
         got = rows.toPandas()  # as many rows as the model has weights
         if len(got):
             vector = np.empty(len(got), np.float32)
