@@ -12,7 +12,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from weftgraph.llm import fertility, gru, langid, licences, linededup, lmscore, mixing, neardup, packing, substrings, winnowing
+from weftgraph.llm import buckets, fertility, gru, langid, licences, linededup, lmscore, mixing, neardup, packing, substrings, winnowing
 from weftgraph.llm.common import materialise, split_words
 from weftgraph.llm.components import components
 
@@ -332,23 +332,6 @@ def test_mixing(spark, docs, empty):
 # 8
 
 
-def brute_lines(rows):
-    occurrences = []
-    for r in sorted((r for r in rows if r.text is not None), key=lambda r: r.doc_id):
-        for k, line in enumerate(r.text.split("\n")):
-            norm = linededup.normalised(pa.array([line]))[0].as_py()
-            n, _, sim = linededup.line_hashes(pa.array([line]))
-            if n[0] >= 5:
-                occurrences.append((r.doc_id, k, words(norm), int(sim[0])))
-    links = []
-    for j, b in enumerate(occurrences):
-        for i, a in enumerate(occurrences[:j]):
-            if a[2] == b[2] or (bin((a[3] ^ b[3]) & (2**64 - 1)).count("1") <= 3 and distance(a[2], b[2]) <= 0.2 * max(len(a[2]), len(b[2])) + 1e-9):
-                links.append((i, j))
-    top = joined(links, range(len(occurrences)))
-    return {occurrences[i][:2] for i, t in top.items() if t != i}
-
-
 def distance(x, y):
     row = list(range(len(y) + 1))
     for i, a in enumerate(x, 1):
@@ -358,27 +341,6 @@ def distance(x, y):
     return row[-1]
 
 
-def test_line_dedup(spark, make, empty):
-    import random
-
-    rng = random.Random(8)
-    base = [make.prose(rng, 30) for _ in range(6)]
-    rows = [(i, "\n".join([rng.choice(base), make.prose(rng, 12), rng.choice(base).replace(" ", "  ", 2).upper(), "short line"]), "x", "y", 0) for i in range(25)]
-    rows += [(100 + i, base[0] + f" {make.prose(rng, 1)}", "x", "y", 0) for i in range(30)] + make(4)[:40]
-    rows = list({r[0]: r for r in rows}.values())
-    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
-    want = brute_lines(docs.collect())
-    got = {(r.doc_id, k) for r in linededup.repeated_lines(docs).collect() for k in r.lines}
-    assert got == want and len(got) > 20
-    out = by_id(linededup.without_repeated_lines(docs.withColumn("n_lines", F.lit(0))))
-    for r in docs.collect():
-        lines = None if r.text is None else "\n".join(x for k, x in enumerate(r.text.split("\n")) if (r.doc_id, k) not in want)
-        assert out[r.doc_id].text == (lines if lines is not None else None)
-    stage = linededup.drop_repeated_lines(spark, docs, "")
-    assert stage.columns == docs.columns and stage.where("text IS NOT NULL AND n_chars <> length(text)").count() == 0
-    assert linededup.without_repeated_lines(empty).count() == 0
-
-
 def similar_lines(rows, least):
     """The removed (doc_id, place) by edit similarity of all pairs of lines alone."""
     lines = []
@@ -393,12 +355,10 @@ def similar_lines(rows, least):
     return {lines[i][:2] for i, t in top.items() if t != i}
 
 
-def test_similar_lines_are_found_whatever_their_simhash(spark, make):
-    import random
-
-    rng = random.Random(11)
-    texts = []
-    for n in [5, 6, 7, 9, 10, 12, 15, 20, 28, 33, 50, 64, 100]:
+def near_lines(make, rng):
+    """Pairs of lines of 5 to 100 words, one an edited copy of the other, right at and above the threshold."""
+    out = []
+    for n in [5, 6, 7, 9, 10, 12, 15, 20, 28, 33, 50, 60, 64, 100]:
         for kind in range(6):
             base = make.prose(rng, n).split()
             other, edits = list(base), max(1, n // 5 if kind < 4 else n // 10)
@@ -411,12 +371,44 @@ def test_similar_lines_are_found_whatever_their_simhash(spark, make):
                     other.insert(i, "neu" + make.prose(rng, 1))
                 else:
                     other[i] = "verylongsubstitute" + make.prose(rng, 1)
-            texts += [" ".join(base), " ".join(other)]
-    texts += [" ".join(["same"] * 200), " ".join("other" + str(i) if i % 5 == 2 else "same" for i in range(200))]
-    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
-    want = similar_lines(docs.collect(), 5)
-    got = {(r.doc_id, k) for r in linededup.repeated_lines(docs, **{**linededup.WHOLE, "min_words": 5}).collect() for k in r.lines}
-    assert got == want and len(want) > 60
+            out.append((" ".join(base), " ".join(other)))
+    return [*out, (" ".join(["same"] * 200), " ".join("other" + str(i) if i % 5 == 2 else "same" for i in range(200)))]
+
+
+def test_similar_lines_share_a_key(make):
+    import random
+
+    pairs = near_lines(make, random.Random(12))
+    codes, starts, vocab, per_word = linededup.line_words(pa.array([x for p in pairs for x in p]))
+    sizes = np.array([len(w) for w in vocab.to_pylist()], np.uint64)
+    at, keys = linededup.line_runs(per_word[codes], sizes[codes], starts, 0.8)
+    own = [set(keys[at == i].tolist()) for i in range(2 * len(pairs))]
+    ws = [[vocab[c].as_py() for c in codes[a:b]] for a, b in zip(starts[:-1], starts[1:])]
+    similar = [i for i in range(len(pairs)) if 0 < distance(ws[2 * i], ws[2 * i + 1]) <= 0.2 * max(map(len, ws[2 * i : 2 * i + 2])) + 1e-9]
+    assert len(similar) > 60 and all(own[2 * i] & own[2 * i + 1] for i in similar)
+
+
+def test_line_dedup(spark, make, empty):
+    import random
+
+    rng = random.Random(11)
+    base = [make.prose(rng, 30) for _ in range(4)]
+    texts = [x for p in near_lines(make, rng) for x in p]
+    texts += ["\n".join([rng.choice(base), make.prose(rng, 12), rng.choice(base).replace(" ", "  ", 2).upper(), "short line"]) for i in range(25)]
+    texts += [base[0] + f" {make.prose(rng, 1)}" for i in range(30)] + [None, "", "\n\n", "!!! ---", "日本語 テキスト"]
+    docs = spark.createDataFrame([(i, t, 7.0, "d", "t") for i, t in enumerate(texts)], "doc_id long, text string, n_removed double, _gone string, _t string")
+    rows = docs.collect()
+    want = similar_lines(rows, 1)
+    out = linededup.without_repeated_lines(docs)
+    assert out.columns == ["doc_id", "text", "_gone", "_t", "n_lines", "n_removed"]
+    for r in out.collect():
+        t = texts[r.doc_id]
+        left = None if t is None else "\n".join(x for k, x in enumerate(t.split("\n")) if (r.doc_id, k) not in want)
+        assert (r.text, r.n_lines) == (left, 0 if t is None else t.count("\n") + 1) and (r._gone, r._t) == ("d", "t")
+        assert r.n_removed == sum(d == r.doc_id for d, _ in want)
+    stage = linededup.drop_repeated_lines(spark, docs, "")
+    assert stage.columns == docs.columns and {r.n_removed for r in stage.collect()} == {7.0}
+    assert len(want) > 100 and linededup.without_repeated_lines(empty).count() == 0
 
 
 def test_short_lines_are_repeats_too(spark):
@@ -424,12 +416,21 @@ def test_short_lines_are_repeats_too(spark):
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     want = similar_lines(docs.collect(), 1)
     assert want == {(0, 5), (1, 0), (1, 1), (2, 1), (3, 0)}
-    out = by_id(linededup.without_repeated_lines(docs, **linededup.WHOLE))
+    out = by_id(linededup.without_repeated_lines(docs))
     assert {d: r.n_removed for d, r in out.items()} == {0: 1, 1: 2, 2: 1, 3: 1}
     assert out[1].text == "!!!\n\nfour words were here"
     assert [r.doc_id for r in linededup.drop_repeated_lines(spark, docs, "").orderBy("doc_id").collect()] == [0, 1, 2]
 
 
+def test_lines_of_repeated_and_null_ids(spark):
+    a, b = "a first line of seven plain words", "another line that nothing else has"
+    rows = [(1, f"{b}\n{a}"), (1, f"{b}\n{a}"), (1, f"x y\n{b}\n{a}\nlast one"), (None, a), (None, a), (2, a), (2, None)]
+    out = linededup.without_repeated_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((r.doc_id or 0, r.n_lines, r.n_removed) for r in out if r.doc_id != 1) == [(0, 1, 0), (0, 1, 0), (2, 0, 0), (2, 1, 1)]
+    # equal rows are one document, the one with the other text is a second one
+    assert sorted((r.n_lines, r.n_removed) for r in out if r.doc_id == 1) in ([(2, 0), (2, 0), (4, 2)], [(2, 2), (2, 2), (4, 0)])
+
+
 def test_edit_similarity():
     rng = np.random.default_rng(0)
     for _ in range(200):
@@ -475,6 +476,45 @@ def test_crowds_of_near_copies(spark, make):
     assert {r.doc_id: r.component_id for r in got.collect()} == joined(links, sets)
 
 
+def test_near_duplicates_of_repeated_and_null_ids(spark):
+    t, u = "one two three four five six seven", "eight nine ten eleven twelve thirteen"
+    rows = [(None, t), (5, t), (5, t), (5, u), (7, u), (3, t), (9, None), (9, ""), (None, None)]
+    got = neardup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((r.doc_id or 0, r.n_shingles, r.component_id or 0) for r in got) == [(0, 0, 0), (0, 3, 0), (3, 3, 3), (5, 2, 5), (5, 3, 3), (5, 3, 3), (7, 2, 5), (9, 0, 9), (9, 0, 9)]
+
+
+def pairwise(n):
+    return [(i, j) for i in range(n) for j in range(i)]
+
+
+@pytest.mark.parametrize("block", [3, 2000])
+def test_links_of_a_crowd_that_is_not_one(spark, block):
+    """40 nodes share one key; only the numbers that differ by one are linked, which no centre shows."""
+    nodes = spark.createDataFrame([(i, 10 * (i % 8) + i // 8) for i in range(40)], "node long, v long")
+    value = {r.node: r.v for r in nodes.collect()}
+    asked = []
+
+    def confirm(pairs):
+        found = [(r.a, r.b) for r in pairs.collect()]
+        asked.extend(found)
+        return spark.createDataFrame([p for p in found if abs(value[p[0]] - value[p[1]]) == 1], "a long, b long")
+
+    test = lambda x, y: np.where(np.abs(x["v"] - y["v"]) <= 2, np.abs(x["v"] - y["v"]), -1)
+    stars = spark.createDataFrame([(i, 0) for i in range(1, 40)], "a long, b long")
+    entries = spark.createDataFrame([(77, i) for i in range(40)], "key long, node long")
+    got = {r.id: r.component for r in buckets.linked(stars, entries, nodes, test, confirm, block).collect()}
+    assert got == joined([p for p in pairwise(40) if abs(value[p[0]] - value[p[1]]) == 1], range(40))
+    assert len(asked) == len({frozenset(p) for p in asked}) < 300  # of 780 pairs
+
+
+def test_crossing_gives_nearest_pairs_first():
+    rows = pa.table({"key": [1] * 6, "node": list(range(6)), "c": [0, 0, 0, 3, 3, 3], "own": [0] * 6, "l": [0] * 6, "r": [0] * 6, "v": [0, 4, 9, 5, 20, 7]})
+    test = lambda x, y: np.abs(x["v"] - y["v"])
+    out = buckets.crossing(rows, ["v"], test, 2).to_pylist()
+    assert {(r["a"], r["b"]) for r in out} == {(1, 3), (2, 5)} and all(r["more"] for r in out)
+    assert {r["more"] for r in buckets.crossing(rows, ["v"], test, 9).to_pylist()} == {False}
+
+
 # 10
 
 

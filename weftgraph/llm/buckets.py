@@ -1,92 +1,169 @@
-"""Links between nodes that share a bucket key, without all pairs of a bucket."""
+"""Links between nodes that share a key, without all pairs of a key's nodes."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import lru_cache
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import materialise
 from .components import components
 
+_MIX = np.uint64(0x9E3779B97F4A7C15)
 
-def shared_keys(entries: DataFrame) -> DataFrame:
-    """The (key, node, attr) rows whose key has several nodes, with ``many``, their number."""
-    counts = entries.groupBy("key").agg(F.count(F.lit(1)).alias("many")).where("many > 1")
-    # the counts are few beside the entries: hashing them spares the sort of both
-    return materialise(entries.join(counts.hint("shuffle_hash"), "key"), "entries")
 
+def list_rows(keys: np.ndarray, nodes: np.ndarray, buckets: int, beside: list, own: int) -> pa.RecordBatch:
+    """(key, node) entries as one row for each bucket, and one row of bucket ``own`` with the columns ``beside``.
 
-def linked(entries: DataFrame, alike: Callable, confirm: Callable, confirm_blocks: Callable, few: int = 16) -> DataFrame:
-    """(id, component) of the nodes that links join; ``entries`` as from shared_keys.
-
-    A link needs a common key, ``alike`` (of both nodes' attr columns) and confirmation:
-    ``confirm(pairs)`` of pairs (a, b), ``confirm_blocks(pairs, members)`` of component
-    pairs (big, small) with members (component, node), give the pairs (a, b) that hold.
-
-    First each node is compared with its keys' centres, where a key's centre is the node
-    that most others share keys with. What that doesn't bring into one component is then
-    compared: nodes that are alone with each other where a key has ``few`` of them, else
-    all of them that have a centre in common, in blocks; and larger components with all
-    nodes and components that share a key with them, in blocks. No link is lost, and a
-    group of copies costs its size.
+    A bucket holds 48 bits of its keys, as high and low; its number has others.
+    """
+    bucket = (((keys & np.uint64(0xFFFFFFFF)) * np.uint64(buckets)) >> np.uint64(32)).astype(np.int32)
+    order = np.argsort(bucket.astype(np.uint16) if buckets < 1 << 16 else bucket, kind="stable")
+    bucket, keys, nodes = bucket[order], keys[order] >> np.uint64(16), nodes[order]
+    first = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]])) if len(bucket) else np.zeros(0, int)
+    ends = pa.array(np.concatenate([first, [len(bucket)] * 2]).astype(np.int32))
+    high, low = (keys >> np.uint64(16)).astype(np.uint32).view(np.int32), keys.astype(np.uint16).view(np.int16)
+    lists = [pa.ListArray.from_arrays(ends, pa.array(x)) for x in (high, low, nodes)]
+    n = pa.array([0] * (len(first) + 1) + [len(beside[0])], pa.int32())
+    names = ["bucket", "high", "low", "node", "h", "doc_id", "t", "line", "n", "s0", "s1", "s2", "s3"][: 4 + len(beside)]
+    number = pa.array(np.append(bucket[first], own).astype(np.int32))
+    return pa.RecordBatch.from_arrays([number, *lists, *(pa.ListArray.from_arrays(n, x if isinstance(x, pa.Array) else pa.array(x)) for x in beside)], names)
+
+
+def stars_and_entries(table: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """kind, a and b of a bucket's rows of list_rows. Keys of a single node go.
+
+    Kind 1: a node and its key's centre, the node with the smallest id. Kind 2: key and node, for the
+    keys of three nodes and more.
+    """
+    high, low, node = (np.concatenate([c.flatten().to_numpy() for c in table.column(x).chunks] or [np.zeros(0, np.int64)]) for x in ("high", "low", "node"))
+    key = (high.astype(np.int32).view(np.uint32).astype(np.uint64) << np.uint64(16)) | low.astype(np.int16).view(np.uint16)
+    order = np.argsort(key)
+    key, node = key[order], node[order]
+    new = np.concatenate([[True], key[1:] != key[:-1]]) if len(key) else np.zeros(0, bool)
+    group = np.cumsum(new) - 1
+    several = np.bincount(group, minlength=1)[group] > 1 if len(key) else new
+    key, node = key[several], node[several]
+    if not len(key):
+        return np.zeros(0, np.int8), np.zeros(0, np.int64), np.zeros(0, np.int64)
+    order = np.lexsort((node, key))
+    key, node = key[order], node[order]
+    keep = np.concatenate([[True], (key[1:] != key[:-1]) | (node[1:] != node[:-1])])
+    key, node = key[keep], node[keep]
+    new = np.concatenate([[True], key[1:] != key[:-1]])
+    first = np.maximum.accumulate(np.where(new, np.arange(len(key)), 0))
+    many = np.bincount(np.cumsum(new) - 1)[np.cumsum(new) - 1]
+    pairs = np.unique(np.stack([node[~new], node[first][~new]], axis=1), axis=0) if (~new).any() else np.zeros((0, 2), np.int64)
+    more = many > 2
+    full = (key * _MIX ^ np.uint64(table.column("bucket")[0].as_py())) * _MIX
+    kind = np.repeat(np.array([1, 2], np.int8), [len(pairs), more.sum()])
+    return kind, np.concatenate([pairs[:, 0], full[more].view(np.int64)]), np.concatenate([pairs[:, 1], node[more]])
+
+
+@lru_cache(maxsize=256)
+def _all_pairs(n: int) -> tuple[np.ndarray, np.ndarray]:
+    return np.triu_indices(n, 1)
+
+
+def crossing(table: pa.Table, sketch: list[str], alike: Callable, limit: int) -> pa.Table:
+    """(a, b, more): pairs of nodes of different components that share a key and may be alike.
+
+    Of two components at most the ``limit`` pairs with the nearest sketches are given for a key; ``more``
+    says whether there are others. Of a key that was dealt into blocks l and r, only pairs
+    between the two are compared (l < r), or those within one (l = r).
     """
-    degree = entries.groupBy("node").agg(F.sum("many").alias("degree"))
-    best = F.max(F.struct("degree", (-F.col("node")).alias("minus"), "attr")).alias("c")
-    centres = entries.join(degree, "node").groupBy("key").agg(best)
-    centres = materialise(centres.select("key", (-F.col("c.minus")).alias("b"), F.col("c.attr").alias("ab")), "centres")
-    stars = entries.join(centres, "key").where((F.col("node") != F.col("b")) & alike(F.col("attr"), F.col("ab")))
-    stars = materialise(stars.select(F.col("node").alias("a"), "b").distinct(), "stars")
-    links = materialise(confirm(stars), "links")
-
-    found = components(links)
-    own = F.coalesce("component", "node")
-    rows = entries.join(found, F.col("node") == F.col("id"), "left").select("key", "node", "attr", own.alias("c"))
-    mixed = rows.groupBy("key").agg(F.min("c").alias("_low"), F.max("c").alias("_high")).where("_low < _high").select("key")
-    sizes = found.groupBy("component").agg(F.count(F.lit(1)).alias("size"))
-    rows = rows.join(mixed, "key", "left_semi").join(sizes, F.col("c") == F.col("component"), "left")
-    rows = materialise(rows.select("key", "node", "attr", "c", F.coalesce("size", F.lit(1)).alias("size")), "mixed")
-
-    alone = rows.where("size = 1")
-    counted = alone.groupBy("key").agg((F.count(F.lit(1)) <= few).alias("few"))
-    alone = materialise(alone.join(counted, "key"), "alone")
-    x, y = (alone.where("few").select("key", F.col("node").alias(i), F.col("attr").alias(f"a{i}")) for i in "ab")
-    cross = x.join(y, "key").where((F.col("a") < F.col("b")) & alike(F.col("aa"), F.col("ab"))).select("a", "b").distinct()
-    tested = stars.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    cross = materialise(cross.join(tested, ["a", "b"], "left_anti"), "cross")
-
-    crowds = alone.where("NOT few").select("key", "node").join(centres, "key")
-    crowds = materialise(crowds.select(F.col("b").alias("component"), "node").distinct(), "crowds")
-    themselves = crowds.select(F.col("component").alias("big"), F.col("component").alias("small")).distinct()
-
-    whole = rows.select("key", F.col("c").alias("small"), F.col("size").alias("n_small")).distinct()
-    large = whole.where("n_small > 1").select("key", F.col("small").alias("big"), F.col("n_small").alias("n_big"))
-    order = (F.col("n_big") > F.col("n_small")) | ((F.col("n_big") == F.col("n_small")) & (F.col("big") < F.col("small")))
-    pairs = materialise(large.join(whole, "key").where(order).select("big", "small").distinct(), "pairs")
-    members = found.select("component", F.col("id").alias("node")).unionByName(alone.select(F.col("c").alias("component"), "node").distinct())
-
-    more = confirm(cross).unionByName(confirm_blocks(pairs, members)).unionByName(confirm_blocks(themselves, crowds))
-    more = materialise(more.where("a <> b"), "links")
-    return found if more.isEmpty() else components(links.unionByName(more))
-
-
-def dealt_blocks(pairs: DataFrame, members: DataFrame, data: DataFrame, block: int = 500) -> DataFrame:
-    """Rows (big, l, r, node, right, data's columns): group them by big, l, r to compare all members of big and small.
-
-    Each group has about ``block`` nodes of ``big`` (right is false) and ``block`` of all
-    ``small`` ones that are paired with it. ``data`` has a row for each node, its id in doc_id.
+    order = np.argsort(table.column("key").to_numpy(), kind="stable")
+    key, node, c, own = (table.column(x).to_numpy()[order] for x in ("key", "node", "c", "own"))
+    attr = {x: table.column(x).to_numpy()[order] for x in sketch}
+    l, r = (table.column(x)[0].as_py() for x in "lr")
+    begin = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+    out, full = [], []
+    for a, b in zip(begin, np.append(begin[1:], len(key)), strict=True):
+        if l == r and b - a <= 200:
+            i, j = _all_pairs(b - a)
+            parts = [(i + a, j + a)]
+        elif l == r:
+            parts = ((np.full(b - k - 1, k), np.arange(k + 1, b)) for k in range(a, b - 1))
+        else:
+            right = a + np.flatnonzero(own[a:b] == r)
+            parts = ((np.full(len(right), k), right) for k in a + np.flatnonzero(own[a:b] == l))
+        kept: list = []
+        for i, j in parts:
+            differ = c[i] != c[j]
+            i, j = i[differ], j[differ]
+            near = alike({x: v[i] for x, v in attr.items()}, {x: v[j] for x, v in attr.items()})
+            hit = near >= 0
+            if hit.any():
+                kept.append((i[hit], j[hit], near[hit]))
+        if not kept:
+            continue
+        i, j, near = (np.concatenate(x) for x in zip(*kept, strict=True))
+        x, y = np.minimum(c[i], c[j]), np.maximum(c[i], c[j])
+        order = np.lexsort((near, y, x))
+        i, j, x, y = i[order], j[order], x[order], y[order]
+        new = np.concatenate([[True], (x[1:] != x[:-1]) | (y[1:] != y[:-1])])
+        rank = np.arange(len(x)) - np.maximum.accumulate(np.where(new, np.arange(len(x)), 0))
+        take = rank < limit
+        out.append(np.stack([np.minimum(node[i], node[j]), np.maximum(node[i], node[j])])[:, take])
+        full.append(np.full(take.sum(), not take.all()))
+    a, b = np.concatenate(out, axis=1) if out else np.zeros((2, 0), np.int64)
+    return pa.table({"a": pa.array(a), "b": pa.array(b), "more": pa.array(np.concatenate(full) if full else np.zeros(0, bool))})
+
+
+def linked(pairs: DataFrame, entries: DataFrame, nodes: DataFrame, alike: Callable, confirm: Callable, block: int = 2000) -> DataFrame:
+    """(id, component) of the nodes that links join.
+
+    ``pairs`` (a, b) has each node with its keys' centres, ``entries`` (key, node) the keys of three
+    nodes and more, ``nodes`` a sketch of each node (node and the sketch's columns). A
+    link needs a common key, sketches that are ``alike`` (a distance, or -1 if the nodes
+    can't be linked) and confirmation: confirm(pairs) gives the pairs that hold.
+
+    First each node is compared with its keys' centres. What that doesn't bring into one
+    component is then compared by the sketches alone, all nodes of a key that are in different
+    components, and the nearest pairs of each two components are confirmed, 16 times as
+    many in each round until none is left. So a group of copies costs its size, and no link
+    is lost. Keys of more than ``block`` such nodes are compared in blocks.
     """
-    deal = lambda node, n: F.pmod(F.xxhash64(node), n)
-    left = pairs.select("big").distinct().join(members, F.col("big") == F.col("component")).select("big", "node")
-    right = pairs.join(members, F.col("small") == F.col("component")).select("big", "node").distinct()
-    size = lambda t, n: t.groupBy(F.col("big").alias("_g")).agg(F.ceil(F.count(F.lit(1)) / block).alias(n))
-    blocks = materialise(size(left, "nl").join(size(right, "nr"), "_g"), "blocks")
-
-    def dealt(side, own, other, a, b, which):
-        side = side.join(blocks, F.col("big") == F.col("_g")).withColumn(a, deal(F.col("node"), F.col(own)))
-        side = side.withColumn(b, F.explode(F.sequence(F.lit(0).cast("long"), F.col(other) - 1)))
-        side = side.join(data.withColumnRenamed("doc_id", "_id"), F.col("node") == F.col("_id")).drop("_id")
-        return side.select("big", "l", "r", "node", F.lit(which).alias("right"), *(c for c in data.columns if c != "doc_id"))
-
-    return dealt(left, "nl", "nr", "l", "r", False).unionByName(dealt(right, "nr", "nl", "r", "l", True))
+    sketch = [c for c in nodes.columns if c != "node"]
+    both = pairs.distinct()
+    for x in "ab":
+        both = both.join(nodes.select(F.col("node").alias(f"_{x}"), *(F.col(c).alias(f"{c}_{x}") for c in sketch)), F.col(x) == F.col(f"_{x}")).drop(f"_{x}")
+
+    def may_be(batches):
+        for batch in batches:
+            x, y = ({c: batch.column(f"{c}_{i}").to_numpy() for c in sketch} for i in "ab")
+            yield batch.select(["a", "b"]).filter(pa.array(alike(x, y) >= 0))
+
+    tested = materialise(both.select("a", "b", *(f"{c}_{x}" for x in "ab" for c in sketch)).mapInArrow(may_be, "a long, b long"), "stars")
+    links = materialise(confirm(tested), "links")
+    tested = tested.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    found, limit = components(links), 8
+    while True:
+        rows = entries.join(found, F.col("node") == F.col("id"), "left").select("key", "node", F.coalesce("component", "node").alias("c"))
+        rows = materialise(rows, "entries")
+        mixed = rows.groupBy("key").agg(F.min("c").alias("_low"), F.max("c").alias("_high"), F.count(F.lit(1)).alias("_many")).where("_low < _high")
+        mixed = mixed.select(F.col("key").alias("_key"), F.ceil(F.col("_many") / block).alias("_blocks"))
+        rows = rows.join(mixed.hint("shuffle_hash"), F.col("key") == F.col("_key")).join(nodes.withColumnRenamed("node", "_n"), F.col("node") == F.col("_n"))
+        own = F.pmod(F.xxhash64("node"), F.col("_blocks"))
+        rows = rows.withColumn("own", own).withColumn("_other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_blocks") - 1)))
+        rows = rows.withColumn("l", F.least("own", "_other")).withColumn("r", F.greatest("own", "_other"))
+        # small keys share groups, those in blocks have groups of their own
+        rows = rows.withColumn("_group", F.when(F.col("_blocks") == 1, F.pmod(F.xxhash64("key"), F.lit(1 << 10))).otherwise(F.col("key")))
+        rows = rows.select("_group", "l", "r", "key", "node", "c", "own", *sketch)
+        at_most = limit
+        near = rows.groupBy("_group", "l", "r").applyInArrow(lambda t: crossing(t, sketch, alike, at_most), "a long, b long, more boolean")
+        near = materialise(near.groupBy("a", "b").agg(F.max("more").alias("more")), "near")
+        more = materialise(near.join(tested, ["a", "b"], "left_anti"), "near")
+        left = more.agg(F.count(F.lit(1))).first()[0]
+        cut = near.agg(F.max("more")).first()[0]
+        if left:
+            new = materialise(confirm(more.select("a", "b")), "links")
+            links, tested = links.unionByName(new), tested.unionByName(more.select("a", "b"))
+            found = components(links)
+        if not cut:
+            return found
+        limit *= 16

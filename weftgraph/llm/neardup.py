@@ -4,13 +4,12 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .buckets import dealt_blocks, linked, shared_keys
-from .common import chunks, documents, materialise, split_words
+from .buckets import linked
+from .common import chunks, documents, free_name, materialise, split_words
 
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
@@ -37,14 +36,20 @@ def shingles(h: np.ndarray, k: int) -> np.ndarray:
     return np.unique(gram_hashes(h, min(k, len(h))) + np.uint64(0 if len(h) >= k else len(h)))
 
 
+#: 64 low bytes of the signature, half of minima and half of maxima, as eight numbers.
+SKETCH = [f"m{i}" for i in range(8)]
+
+
 def signatures(docs: DataFrame, k: int, rows: int, bands: int) -> DataFrame:
-    """doc_id, n_shingles, set_hash (128 bits of the set) and keys, the hashes of the bands.
+    """doc_id, t, n_shingles, set_hash (128 bits of the set), keys (the hashes of the bands) and the sketch.
 
     Each of rows * bands / 2 permutations is evaluated once for each shingle; its minimum
     and its maximum both go into the signature. Half of the bands are of minima, half of
     maxima, so each agrees with the chance similarity ** rows.
     """
     n = rows * bands // 2
+    if n < 32:
+        raise ValueError("rows * bands must be 64 or more")
     rng = np.random.default_rng(9)
     a, b = (rng.integers(0, 1 << 63, (n, 1), np.uint64) * np.uint64(2) + np.uint64(1) for _ in range(2))
 
@@ -53,10 +58,10 @@ def signatures(docs: DataFrame, k: int, rows: int, bands: int) -> DataFrame:
 
     def run(batches):
         for batch in chunks(batches, "text"):
-            codes, starts, vocab = split_words(batch.column(1), lower=True)
+            codes, starts, vocab = split_words(batch.column(2), lower=True)
             h = word_hashes(vocab)[codes]
-            counts, digests, keys = [], [], []
-            for s, e in zip(starts[:-1], starts[1:], strict=True):
+            counts, digests, keys, sketch = [], [], [], np.zeros((batch.num_rows, 8), np.int64)
+            for i, (s, e) in enumerate(zip(starts[:-1], starts[1:], strict=True)):
                 found = shingles(h[s:e], k)
                 counts.append(len(found))
                 if not len(found):
@@ -73,11 +78,47 @@ def signatures(docs: DataFrame, k: int, rows: int, bands: int) -> DataFrame:
                     np.maximum(high, v.max(axis=1), out=high)
                 own = np.concatenate([key(low), key(high)]) + np.arange(bands, dtype=np.uint64)
                 keys.append((own * _MIX).view(np.int64))
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(counts, pa.int64()), pa.array(digests, pa.binary()), pa.array(keys, pa.list_(pa.int64()))], ["doc_id", "n_shingles", "set_hash", "keys"]
-            )
+                sketch[i] = np.concatenate([low[:32], high[:32]]).astype(np.uint8).view(np.int64)
+            columns = [batch.column(0), batch.column(1), pa.array(counts, pa.int64()), pa.array(digests, pa.binary()), pa.array(keys, pa.list_(pa.int64())), *map(pa.array, sketch.T)]
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "t", "n_shingles", "set_hash", "keys", *SKETCH])
+
+    fields = "doc_id long, t long, n_shingles long, set_hash binary, keys array<long>" + "".join(f", {c} long" for c in SKETCH)
+    return docs.select("doc_id", "t", "text").mapInArrow(run, fields)
+
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, n_shingles long, set_hash binary, keys array<long>")
+def alike(percent: int):
+    """Whether sets may be similar by size and by agreement of the sketches, for arrays of the sketches' columns.
+
+    Of 64 entries those of two sets at the threshold agree in 64 * similarity with a deviation of
+    8 * sqrt(similarity * (1 - similarity)); six deviations below, a pair is left out (a chance of
+    about 1e-8).
+    """
+    s = percent / 100
+    least = 64 * s - 48 * (s * (1 - s)) ** 0.5
+
+    def test(x: dict, y: dict) -> np.ndarray:
+        near = 100 * np.minimum(x["n"], y["n"]) >= percent * np.maximum(x["n"], y["n"])
+        same = np.zeros(len(near), np.int64)
+        for c in SKETCH:
+            same += ((x[c] ^ y[c]).view(np.uint8).reshape(-1, 8) == 0).sum(axis=1)
+        return np.where(near & (same >= least), 64 - same, -1)
+
+    return test
+
+
+def shingle_ids(codes: np.ndarray, starts: np.ndarray, k: int) -> list[np.ndarray]:
+    """For each text the distinct numbers of its k-word shingles, equal ones being equal words; with fewer words, of all its words."""
+    size = np.int64(codes.max() + 2) if len(codes) else 1
+    # a text's end is a word of its own, 0, so that shorter sequences are numbered as well
+    ids = np.zeros(len(codes) + k * (len(starts) - 1), np.int64)
+    place = starts[:-1] + k * np.arange(len(starts) - 1)
+    ids[np.arange(len(codes)) + np.repeat(k * np.arange(len(starts) - 1), np.diff(starts))] = codes.astype(np.int64) + 1
+    word = ids
+    for j in range(1, k):
+        _, ids = np.unique(ids[:-1] * size + word[j:], return_inverse=True)
+    count = np.diff(starts)
+    count = np.where(count >= k, count - k + 1, np.minimum(count, 1))
+    return [np.unique(ids[a : a + n]) for a, n in zip(place, count, strict=True)]
 
 
 def confirmed(pairs: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
@@ -85,7 +126,7 @@ def confirmed(pairs: DataFrame, texts: DataFrame, k: int, percent: int) -> DataF
 
     Words are numbered within a batch, so shingles are compared as words, not as hashes.
     """
-    left, right = (texts.select(F.col("doc_id").alias(f"_{x}"), F.col("text").alias(f"t{x}")) for x in "ab")
+    left, right = (texts.select(F.col("node").alias(f"_{x}"), F.col("text").alias(f"t{x}")) for x in "ab")
     rows = pairs.join(left, F.col("a") == F.col("_a")).select("a", "b", "ta").join(right, F.col("b") == F.col("_b")).select("a", "b", "ta", "tb")
 
     def run(batches):
@@ -93,30 +134,12 @@ def confirmed(pairs: DataFrame, texts: DataFrame, k: int, percent: int) -> DataF
             for batch in chunks([whole], "ta", 2_000_000):
                 # texts repeat within a batch: each is split once
                 both = pa.concat_arrays([pa.array(batch.column(i)).cast(pa.string()) for i in (2, 3)]).dictionary_encode()
-                codes, starts, vocab = split_words(both.dictionary, lower=True)
-                codes = codes.astype(np.int64)
-                sets: dict[int, np.ndarray] = {}
-                wide = len(vocab) >= 1 << (62 // k)
-                h = word_hashes(vocab) if wide else None
-
-                def of(t, codes=codes, starts=starts, sets=sets, h=h):
-                    if t not in sets:
-                        own = codes[starts[t] : starts[t + 1]]
-                        if h is not None:
-                            sets[t] = shingles(h[own], k)
-                        elif len(own) < k:
-                            sets[t] = np.array([-1 - xxhash.xxh64_intdigest(own.tobytes()) // 4])
-                        else:
-                            bits, out = 62 // k, own[: len(own) - k + 1].copy()
-                            for j in range(1, k):
-                                out = (out << bits) | own[j : len(own) - k + 1 + j]
-                            sets[t] = np.unique(out)
-                    return sets[t]
-
+                codes, starts, _ = split_words(both.dictionary, lower=True)
+                sets = shingle_ids(codes, starts, k)
                 places = both.indices.to_numpy()
                 keep = []
                 for x, y in zip(places[: batch.num_rows], places[batch.num_rows :], strict=True):
-                    p, q = of(int(x)), of(int(y))
+                    p, q = sets[x], sets[y]
                     same = len(np.intersect1d(p, q, assume_unique=True)) if 100 * min(len(p), len(q)) >= percent * max(len(p), len(q)) else 0
                     keep.append(100 * same >= percent * (len(p) + len(q) - same))
                 yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
@@ -124,39 +147,6 @@ def confirmed(pairs: DataFrame, texts: DataFrame, k: int, percent: int) -> DataF
     return rows.mapInArrow(run, "a long, b long")
 
 
-def confirmed_in_blocks(pairs: DataFrame, members: DataFrame, texts: DataFrame, k: int, percent: int, block: int = 500) -> DataFrame:
-    """Links (a, b) between components: pairs (big, small) of component ids, members (component, node).
-
-    All members of ``big`` are compared with all of ``small``, in blocks of about
-    ``block`` documents of one side and ``block`` of the other; a block's counts are taken at
-    once, so no row is made for a pair that isn't linked.
-    """
-    def compare(rows: pa.Table) -> pa.Table:
-        x, y = rows.filter(pc.invert(rows.column("right"))), rows.filter(rows.column("right"))
-        both = pa.concat_arrays([t.column("text").combine_chunks().cast(pa.string()) for t in (x, y)])
-        codes, starts, vocab = split_words(both, lower=True)
-        h = word_hashes(vocab)[codes]
-        sets = [shingles(h[s:e], k) for s, e in zip(starts[:-1], starts[1:], strict=True)]
-        sizes = np.array([len(v) for v in sets])
-        _, flat = np.unique(np.concatenate(sets), return_inverse=True)
-        ends = np.concatenate([[0], np.cumsum(sizes)])
-        n, mark = x.num_rows, np.zeros(flat.max() + 2, np.int64)
-        a, b = [], []
-        for j in range(n, len(sets)):
-            own = flat[ends[j] : ends[j + 1]]
-            mark[own] = 1
-            same = np.add.reduceat(np.append(mark[flat[: ends[n]]], 0), ends[:n])
-            mark[own] = 0
-            hit = np.flatnonzero(100 * same >= percent * (sizes[:n] + sizes[j] - same))
-            a += [hit]
-            b += [np.full(len(hit), j - n)]
-        i, j = (np.concatenate(v) if v else np.zeros(0, int) for v in (a, b))
-        return pa.table({"a": x.column("node").take(pa.array(i)).combine_chunks(), "b": y.column("node").take(pa.array(j)).combine_chunks()})
-
-    rows = dealt_blocks(pairs, members, texts, block)
-    return rows.groupBy("big", "l", "r").applyInArrow(compare, "a long, b long")
-
-
 def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, rows: int = 4, bands: int = 30) -> DataFrame:
     """doc_id, n_shingles and component_id of every row.
 
@@ -164,33 +154,40 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, rows: int =
     words the whole sequence) have 100 * intersection >= percent * union; component_id is
     the smallest doc_id that links reach. Candidates share a band; a pair at 80 % is missed
     by 30 bands of 4 with a chance of 1.4e-7, one at 85 % by 24 bands of 5 with 8e-7.
-    Every link is confirmed on the full sets.
+    Every link is confirmed on the full sets, of texts of any length.
 
     Documents with the same set are one node; buckets.linked compares the others of a key
-    without all pairs of it.
+    without all pairs of it, and reads texts only for pairs that their sketches allow.
 
     Null or empty text, or no word: n_shingles 0, linked with nothing. Null doc_id: linked
-    with nothing, component null. Rows that repeat a doc_id are one document. Empty table:
-    empty result. Other columns are ignored.
+    with nothing, component null. Rows that repeat a doc_id with another text are linked
+    each for itself. Empty table: empty result. Other columns are ignored.
     """
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("t"), "text")
     signed = materialise(signatures(docs, k, rows, bands), "signatures")
     usable = signed.where("n_shingles > 0 AND doc_id IS NOT NULL")
-    node = F.min("doc_id").alias("node")
-    nodes = usable.groupBy("set_hash").agg(node)
-    kept = usable.join(nodes, ["set_hash"]).where("doc_id = node").dropDuplicates(["set_hash"])
-    entries = kept.select("node", F.col("n_shingles").alias("attr"), F.explode("keys").alias("key"))
-    entries = shared_keys(entries)
-    ids = entries.select(F.col("node").alias("_n")).distinct()
-    texts = materialise(docs.select(F.col("doc_id").cast("long"), "text").join(ids, F.col("doc_id") == F.col("_n"), "left_semi"), "texts")
-    found = linked(
-        entries,
-        lambda x, y: 100 * F.least(x, y) >= percent * F.greatest(x, y),
-        lambda pairs: confirmed(pairs, texts, k, percent),
-        lambda pairs, members: confirmed_in_blocks(pairs, members, texts, k, percent),
-    )
-    nodes = nodes.join(found, F.col("node") == F.col("id"), "left").select("set_hash", F.coalesce("component", "node").alias("_c"))
-    out = signed.drop("keys").join(nodes, "set_hash", "left")
-    return out.select("doc_id", "n_shingles", F.coalesce("_c", "doc_id").alias("component_id"))
+    # a set's node is a hash of it; of its texts the one with the smallest id is read
+    once = [F.first(c).alias(c) for c in ("keys", *SKETCH)]
+    nodes = usable.groupBy("set_hash").agg(F.min(F.struct("doc_id", "t")).alias("least"), F.first("n_shingles").alias("n"), *once)
+    nodes = materialise(nodes.withColumn("node", F.xxhash64("set_hash")), "nodes")
+    entries = nodes.select("node", F.explode("keys").alias("key"))
+    centres = entries.groupBy("key").agg(F.min("node").alias("centre"), F.count(F.lit(1)).alias("many")).where("many > 1")
+    # the centres are few beside the entries: hashing them spares the sort of both
+    entries = materialise(entries.join(centres.hint("shuffle_hash"), "key"), "entries")
+    pairs = entries.where("node <> centre").select(F.col("node").alias("a"), F.col("centre").alias("b"))
+
+    def confirm(pairs: DataFrame) -> DataFrame:
+        wanted = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+        wanted = nodes.join(wanted, "node", "left_semi").select(F.col("least.doc_id").alias("_d"), F.col("least.t").alias("_t"), "node")
+        texts = docs.join(wanted.hint("shuffle_hash"), (F.col("doc_id") == F.col("_d")) & (F.col("t") == F.col("_t"))).select("node", "text")
+        return confirmed(pairs, materialise(texts.dropDuplicates(["node"]), "texts"), k, percent)
+
+    found = linked(pairs, entries.where("many > 2").select("key", "node"), nodes.select("node", "n", *SKETCH), alike(percent), confirm)
+    named = nodes.select("node", "set_hash", F.col("least.doc_id").alias("least")).join(found, F.col("node") == F.col("id"), "left")
+    named = materialise(named.select("set_hash", "least", F.coalesce("component", "node").alias("c")), "named")
+    least = named.groupBy("c").agg(F.min("least").alias("_c"))
+    out = signed.select("doc_id", "n_shingles", "set_hash").join(named.join(least, "c").select("set_hash", "_c"), "set_hash", "left")
+    return out.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("_c", "doc_id")).alias("component_id"))
 
 
 def op9_minhash_near_dedup(spark, sf_dir: str) -> DataFrame:
@@ -200,6 +197,10 @@ def op9_minhash_near_dedup(spark, sf_dir: str) -> DataFrame:
 
 
 def keep_one_of_each(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: one document of each group of near duplicates (5-word shingles, 80 %) stays, the one with the smallest id."""
-    found = near_duplicates(docs).where("doc_id <> component_id").select("doc_id").distinct()
-    return docs.join(found, "doc_id", "left_anti").select(*docs.columns)
+    """Pipeline stage: one document of each group of near duplicates (5-word shingles, 80 %) stays, the one with the smallest id.
+
+    Rows without words and rows with null doc_id stay; rows that repeat the id of one that
+    goes go with it. An empty table stays empty; all columns that came in go on unchanged.
+    """
+    found = near_duplicates(docs).where("doc_id <> component_id").select(F.col("doc_id").alias(gone := free_name(docs, "_gone"))).distinct()
+    return docs.join(found, F.col("doc_id") == F.col(gone), "left_anti").select(*docs.columns)
