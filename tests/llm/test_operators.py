@@ -431,6 +431,19 @@ def test_lines_of_repeated_and_null_ids(spark):
     assert sorted((r.n_lines, r.n_removed) for r in out if r.doc_id == 1) in ([(2, 0), (2, 0), (4, 2)], [(2, 2), (2, 2), (4, 0)])
 
 
+def test_sketches_of_lines_change_by_two_bits_an_edit():
+    rng = np.random.default_rng(4)
+    for _ in range(60):
+        x = rng.choice(rng.integers(0, 1 << 63, 5, np.uint64), 40)
+        y = x.copy()
+        edits = int(rng.integers(0, 9))
+        y[rng.choice(40, edits, replace=False)] = rng.integers(0, 1 << 63, edits, np.uint64)
+        a, b = linededup.parities(np.concatenate([x, y]), np.array([0, 40, 80]))
+        assert np.bitwise_count((a ^ b).view(np.uint64)).sum() <= 2 * edits
+    same, other = linededup.parities(np.repeat(np.array([3, 4], np.uint64) << np.uint64(40), 60), np.array([0, 60, 120]))
+    assert np.bitwise_count((same ^ other).view(np.uint64)).sum() > 2 * 12
+
+
 def test_edit_similarity():
     rng = np.random.default_rng(0)
     for _ in range(200):
@@ -500,9 +513,9 @@ def test_links_of_a_crowd_that_is_not_one(spark, block):
         return spark.createDataFrame([p for p in found if abs(value[p[0]] - value[p[1]]) == 1], "a long, b long")
 
     test = lambda x, y: np.where(np.abs(x["v"] - y["v"]) <= 2, np.abs(x["v"] - y["v"]), -1)
-    stars = spark.createDataFrame([(i, 0) for i in range(1, 40)], "a long, b long")
+    alone = spark.createDataFrame([(1, 0), (0, 1), (30, 31)], "a long, b long")
     entries = spark.createDataFrame([(77, i) for i in range(40)], "key long, node long")
-    got = {r.id: r.component for r in buckets.linked(stars, entries, nodes, test, confirm, block).collect()}
+    got = {r.id: r.component for r in buckets.linked(alone, entries, nodes, test, confirm, block).collect()}
     assert got == joined([p for p in pairwise(40) if abs(value[p[0]] - value[p[1]]) == 1], range(40))
     assert len(asked) == len({frozenset(p) for p in asked}) < 300  # of 780 pairs
 
@@ -511,7 +524,8 @@ def test_crossing_gives_nearest_pairs_first():
     rows = pa.table({"key": [1] * 6, "node": list(range(6)), "c": [0, 0, 0, 3, 3, 3], "own": [0] * 6, "l": [0] * 6, "r": [0] * 6, "v": [0, 4, 9, 5, 20, 7]})
     test = lambda x, y: np.abs(x["v"] - y["v"])
     out = buckets.crossing(rows, ["v"], test, 2).to_pylist()
-    assert {(r["a"], r["b"]) for r in out} == {(1, 3), (2, 5)} and all(r["more"] for r in out)
+    # distances: 0-3 5, 0-4 20, 0-5 7, 1-3 1, 1-4 16, 1-5 3, 2-3 4, 2-4 11, 2-5 2
+    assert {(r["key"], r["a"], r["b"]) for r in out} == {(1, 1, 3), (1, 2, 5)} and all(r["more"] for r in out)
     assert {r["more"] for r in buckets.crossing(rows, ["v"], test, 9).to_pylist()} == {False}
 
 

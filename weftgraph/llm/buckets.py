@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from collections.abc import Callable
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -34,11 +33,10 @@ def list_rows(keys: np.ndarray, nodes: np.ndarray, buckets: int, beside: list, o
     return pa.RecordBatch.from_arrays([number, *lists, *(pa.ListArray.from_arrays(n, x if isinstance(x, pa.Array) else pa.array(x)) for x in beside)], names)
 
 
-def stars_and_entries(table: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def pairs_and_entries(table: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """kind, a and b of a bucket's rows of list_rows. Keys of a single node go.
 
-    Kind 1: a node and its key's centre, the node with the smallest id. Kind 2: key and node, for the
-    keys of three nodes and more.
+    Kind 1: the two nodes of a key that has no other. Kind 2: key and node, for the keys of three nodes and more.
     """
     high, low, node = (np.concatenate([c.flatten().to_numpy() for c in table.column(x).chunks] or [np.zeros(0, np.int64)]) for x in ("high", "low", "node"))
     key = (high.astype(np.int32).view(np.uint32).astype(np.uint64) << np.uint64(16)) | low.astype(np.int16).view(np.uint16)
@@ -55,81 +53,112 @@ def stars_and_entries(table: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarr
     keep = np.concatenate([[True], (key[1:] != key[:-1]) | (node[1:] != node[:-1])])
     key, node = key[keep], node[keep]
     new = np.concatenate([[True], key[1:] != key[:-1]])
-    first = np.maximum.accumulate(np.where(new, np.arange(len(key)), 0))
-    many = np.bincount(np.cumsum(new) - 1)[np.cumsum(new) - 1]
-    pairs = np.unique(np.stack([node[~new], node[first][~new]], axis=1), axis=0) if (~new).any() else np.zeros((0, 2), np.int64)
+    group = np.cumsum(new) - 1
+    many = np.bincount(group)[group]
+    two = node[many == 2].reshape(-1, 2)
+    pairs = np.unique(two, axis=0) if len(two) else two
     more = many > 2
     full = (key * _MIX ^ np.uint64(table.column("bucket")[0].as_py())) * _MIX
     kind = np.repeat(np.array([1, 2], np.int8), [len(pairs), more.sum()])
     return kind, np.concatenate([pairs[:, 0], full[more].view(np.int64)]), np.concatenate([pairs[:, 1], node[more]])
 
 
-@lru_cache(maxsize=256)
-def _all_pairs(n: int) -> tuple[np.ndarray, np.ndarray]:
-    return np.triu_indices(n, 1)
-
-
-def crossing(table: pa.Table, sketch: list[str], alike: Callable, limit: int) -> pa.Table:
-    """(a, b, more): pairs of nodes of different components that share a key and may be alike.
-
-    Of two components at most the ``limit`` pairs with the nearest sketches are given for a key; ``more``
-    says whether there are others. Of a key that was dealt into blocks l and r, only pairs
-    between the two are compared (l < r), or those within one (l = r).
+def _candidates(begin: np.ndarray, size: np.ndarray, c: np.ndarray, own: np.ndarray, l: int, r: int, most: int = 500_000):
+    """Pairs (i, j) of rows of the same key and different components, about ``most`` at a time, given where each key's rows begin and how many they are."""
+
+    def differing(i: np.ndarray, j: np.ndarray):
+        keep = c[i] != c[j]
+        return i[keep], j[keep]
+
+    if l < r:  # of a key dealt into blocks: rows of block l with rows of block r
+        left, right = np.flatnonzero(own == l), np.flatnonzero(own == r)
+        step = max(1, most // max(1, len(right)))
+        for k in range(0, len(left), step):
+            yield differing(np.repeat(left[k : k + step], len(right)), np.tile(right, len(left[k : k + step])))
+        return
+    for n in np.unique(size[size > 1]):
+        same = begin[size == n]
+        if n <= 128:
+            x, y = np.triu_indices(n, 1)
+            step = max(1, most // len(x))
+            for k in range(0, len(same), step):
+                at = same[k : k + step, None]
+                yield differing((at + x).ravel(), (at + y).ravel())
+            continue
+        for a in same:
+            # the largest component last: its rows needn't be compared with each other
+            kinds, of, count = np.unique(c[a : a + n], return_inverse=True, return_counts=True)
+            rows = a + np.argsort(of == count.argmax(), kind="stable")
+            first, step = n - count.max() if len(kinds) > 1 else 0, max(1, most // n)
+            for k in range(0, first, step):
+                x = np.arange(k, min(k + step, first))
+                x, y = np.repeat(x, n - k), np.tile(np.arange(k, n), len(x))
+                later = y > x
+                yield differing(rows[x[later]], rows[y[later]])
+
+
+def crossing(table: pa.Table, sketch: list[str], alike: Callable, limit: int | None) -> pa.Table:
+    """(key, a, b, more): pairs of nodes of different components that share a key and may be alike.
+
+    Of a key, each component's ``limit`` pairs with the nearest sketches are given; without a limit, each
+    component's pair with the one that has most such pairs, its centre. ``more`` says whether the
+    key has others. Of a key that was dealt into blocks l and r, only pairs between the two
+    are compared (l < r), or those within one (l = r).
     """
     order = np.argsort(table.column("key").to_numpy(), kind="stable")
     key, node, c, own = (table.column(x).to_numpy()[order] for x in ("key", "node", "c", "own"))
     attr = {x: table.column(x).to_numpy()[order] for x in sketch}
     l, r = (table.column(x)[0].as_py() for x in "lr")
     begin = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
-    out, full = [], []
-    for a, b in zip(begin, np.append(begin[1:], len(key)), strict=True):
-        if l == r and b - a <= 200:
-            i, j = _all_pairs(b - a)
-            parts = [(i + a, j + a)]
-        elif l == r:
-            parts = ((np.full(b - k - 1, k), np.arange(k + 1, b)) for k in range(a, b - 1))
-        else:
-            right = a + np.flatnonzero(own[a:b] == r)
-            parts = ((np.full(len(right), k), right) for k in a + np.flatnonzero(own[a:b] == l))
-        kept: list = []
-        for i, j in parts:
-            differ = c[i] != c[j]
-            i, j = i[differ], j[differ]
-            near = alike({x: v[i] for x, v in attr.items()}, {x: v[j] for x, v in attr.items()})
-            hit = near >= 0
-            if hit.any():
-                kept.append((i[hit], j[hit], near[hit]))
-        if not kept:
-            continue
-        i, j, near = (np.concatenate(x) for x in zip(*kept, strict=True))
-        x, y = np.minimum(c[i], c[j]), np.maximum(c[i], c[j])
-        order = np.lexsort((near, y, x))
-        i, j, x, y = i[order], j[order], x[order], y[order]
-        new = np.concatenate([[True], (x[1:] != x[:-1]) | (y[1:] != y[:-1])])
-        rank = np.arange(len(x)) - np.maximum.accumulate(np.where(new, np.arange(len(x)), 0))
-        take = rank < limit
-        out.append(np.stack([np.minimum(node[i], node[j]), np.maximum(node[i], node[j])])[:, take])
-        full.append(np.full(take.sum(), not take.all()))
-    a, b = np.concatenate(out, axis=1) if out else np.zeros((2, 0), np.int64)
-    return pa.table({"a": pa.array(a), "b": pa.array(b), "more": pa.array(np.concatenate(full) if full else np.zeros(0, bool))})
+    kept = [(np.zeros(0, np.int64),) * 3]
+    for i, j in _candidates(begin, np.diff(np.append(begin, len(key))), c, own, l, r):
+        near = alike({x: v[i] for x, v in attr.items()}, {x: v[j] for x, v in attr.items()})
+        hit = near >= 0
+        kept.append((i[hit], j[hit], near[hit]))
+    i, j, near = (np.concatenate(x) for x in zip(*kept, strict=True))
+    group = np.cumsum(np.concatenate([[True], key[1:] != key[:-1]])) - 1
+    if limit is None:
+        # the best of a node's pairs has the highest number of pairs, then place, on its other side
+        many = np.bincount(np.concatenate([i, j]), minlength=len(key))
+        best = np.full(len(key), -1, np.int64)
+        for x, y in ((i, j), (j, i)):
+            np.maximum.at(best, x, (many[y] << 32) | y)
+        x = np.flatnonzero(best >= 0)
+        y = best[x] & 0xFFFFFFFF
+        found = np.bincount(group[i], minlength=len(key))
+        i, j = np.unique(np.stack([np.minimum(x, y), np.maximum(x, y)]), axis=1) if len(x) else (x, y)
+        more = (found > np.bincount(group[i], minlength=len(key)))[group[i]]
+    else:
+        take = np.zeros(len(i), bool)
+        for x in (i, j):
+            order = np.lexsort((near, c[x], group[x]))
+            side, at = c[x][order], group[x][order]
+            new = np.ones(len(x), bool)
+            new[1:] = (side[1:] != side[:-1]) | (at[1:] != at[:-1])
+            rank = np.arange(len(x)) - np.maximum.accumulate(np.where(new, np.arange(len(x)), 0))
+            take[order[rank < limit]] = True
+        more = np.isin(group[i], group[i][~take])[take]
+        i, j = i[take], j[take]
+    a, b = np.minimum(node[i], node[j]), np.maximum(node[i], node[j])
+    return pa.table({"key": pa.array(key[i]), "a": pa.array(a), "b": pa.array(b), "more": pa.array(more)})
 
 
 def linked(pairs: DataFrame, entries: DataFrame, nodes: DataFrame, alike: Callable, confirm: Callable, block: int = 2000) -> DataFrame:
     """(id, component) of the nodes that links join.
 
-    ``pairs`` (a, b) has each node with its keys' centres, ``entries`` (key, node) the keys of three
-    nodes and more, ``nodes`` a sketch of each node (node and the sketch's columns). A
+    ``pairs`` (a, b) are the nodes of keys that only two have, ``entries`` (key, node) the keys of
+    three nodes and more, ``nodes`` a sketch of each node (node and the sketch's columns). A
     link needs a common key, sketches that are ``alike`` (a distance, or -1 if the nodes
     can't be linked) and confirmation: confirm(pairs) gives the pairs that hold.
 
-    First each node is compared with its keys' centres. What that doesn't bring into one
-    component is then compared by the sketches alone, all nodes of a key that are in different
-    components, and the nearest pairs of each two components are confirmed, 16 times as
-    many in each round until none is left. So a group of copies costs its size, and no link
-    is lost. Keys of more than ``block`` such nodes are compared in blocks.
+    The nodes of a key are compared by their sketches, in blocks where a key has more than
+    ``block`` of them. First each node is confirmed with the one that is alike to most. Of the keys that have
+    other such pairs, what isn't in one component yet is then compared, and each component's 64
+    nearest pairs are confirmed, 64 times as many in each further round until none is
+    left. So a group of copies costs its size, and no link is lost.
     """
     sketch = [c for c in nodes.columns if c != "node"]
-    both = pairs.distinct()
+    both = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     for x in "ab":
         both = both.join(nodes.select(F.col("node").alias(f"_{x}"), *(F.col(c).alias(f"{c}_{x}") for c in sketch)), F.col(x) == F.col(f"_{x}")).drop(f"_{x}")
 
@@ -138,32 +167,33 @@ def linked(pairs: DataFrame, entries: DataFrame, nodes: DataFrame, alike: Callab
             x, y = ({c: batch.column(f"{c}_{i}").to_numpy() for c in sketch} for i in "ab")
             yield batch.select(["a", "b"]).filter(pa.array(alike(x, y) >= 0))
 
-    tested = materialise(both.select("a", "b", *(f"{c}_{x}" for x in "ab" for c in sketch)).mapInArrow(may_be, "a long, b long"), "stars")
-    links = materialise(confirm(tested), "links")
-    tested = tested.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    found, limit = components(links), 8
+    both = both.select("a", "b", *(f"{c}_{x}" for x in "ab" for c in sketch)).mapInArrow(may_be, "a long, b long")
+    found = links = tested = limit = None
     while True:
-        rows = entries.join(found, F.col("node") == F.col("id"), "left").select("key", "node", F.coalesce("component", "node").alias("c"))
-        rows = materialise(rows, "entries")
-        mixed = rows.groupBy("key").agg(F.min("c").alias("_low"), F.max("c").alias("_high"), F.count(F.lit(1)).alias("_many")).where("_low < _high")
-        mixed = mixed.select(F.col("key").alias("_key"), F.ceil(F.col("_many") / block).alias("_blocks"))
-        rows = rows.join(mixed.hint("shuffle_hash"), F.col("key") == F.col("_key")).join(nodes.withColumnRenamed("node", "_n"), F.col("node") == F.col("_n"))
-        own = F.pmod(F.xxhash64("node"), F.col("_blocks"))
-        rows = rows.withColumn("own", own).withColumn("_other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_blocks") - 1)))
+        groups = max(64, entries.count() // 10_000)
+        rows = entries.withColumn("c", F.col("node")) if found is None else entries.join(found, F.col("node") == F.col("id"), "left").select("key", "node", F.coalesce("component", "node").alias("c"))
+        counts = rows.groupBy("key").agg(F.count(F.lit(1)).alias("_many"), F.min("c").alias("_low"), F.max("c").alias("_high"))
+        large = counts.where(F.col("_many") > block).select(F.col("key").alias("_key"), F.ceil(F.col("_many") / block).alias("_blocks"))
+        if found is not None:
+            rows = materialise(rows.join(counts.where("_low < _high").select("key"), "key", "left_semi"), "entries")
+        rows = rows.join(large, F.col("key") == F.col("_key"), "left").withColumn("_blocks", F.coalesce("_blocks", F.lit(1).cast("long")))
+        rows = rows.join(nodes.withColumnRenamed("node", "_n"), F.col("node") == F.col("_n"))
+        rows = rows.withColumn("own", F.pmod(F.xxhash64("node"), F.col("_blocks"))).withColumn("_other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_blocks") - 1)))
         rows = rows.withColumn("l", F.least("own", "_other")).withColumn("r", F.greatest("own", "_other"))
         # small keys share groups, those in blocks have groups of their own
-        rows = rows.withColumn("_group", F.when(F.col("_blocks") == 1, F.pmod(F.xxhash64("key"), F.lit(1 << 10))).otherwise(F.col("key")))
+        rows = rows.withColumn("_group", F.when(F.col("_blocks") == 1, F.pmod(F.xxhash64("key"), F.lit(groups))).otherwise(F.col("key")))
         rows = rows.select("_group", "l", "r", "key", "node", "c", "own", *sketch)
         at_most = limit
-        near = rows.groupBy("_group", "l", "r").applyInArrow(lambda t: crossing(t, sketch, alike, at_most), "a long, b long, more boolean")
-        near = materialise(near.groupBy("a", "b").agg(F.max("more").alias("more")), "near")
-        more = materialise(near.join(tested, ["a", "b"], "left_anti"), "near")
-        left = more.agg(F.count(F.lit(1))).first()[0]
-        cut = near.agg(F.max("more")).first()[0]
-        if left:
-            new = materialise(confirm(more.select("a", "b")), "links")
-            links, tested = links.unionByName(new), tested.unionByName(more.select("a", "b"))
+        near = materialise(rows.groupBy("_group", "l", "r").applyInArrow(lambda t: crossing(t, sketch, alike, at_most), "key long, a long, b long, more boolean"), "near")
+        fresh = near.select("a", "b")
+        fresh = fresh.unionByName(both).distinct() if tested is None else fresh.distinct().join(tested, ["a", "b"], "left_anti")
+        fresh = materialise(fresh, "fresh")
+        if found is None or not fresh.isEmpty():
+            new = materialise(confirm(fresh), "links")
+            links, tested = (new, fresh) if found is None else (links.unionByName(new), tested.unionByName(fresh))
             found = components(links)
-        if not cut:
+        cut = near.where("more").select("key").distinct()
+        if cut.isEmpty():
             return found
-        limit *= 16
+        # the keys of which not all pairs were given
+        entries, limit = entries.join(cut, "key", "left_semi"), 64 * limit if limit else 64

@@ -174,7 +174,7 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, rows: int =
     centres = entries.groupBy("key").agg(F.min("node").alias("centre"), F.count(F.lit(1)).alias("many")).where("many > 1")
     # the centres are few beside the entries: hashing them spares the sort of both
     entries = materialise(entries.join(centres.hint("shuffle_hash"), "key"), "entries")
-    pairs = entries.where("node <> centre").select(F.col("node").alias("a"), F.col("centre").alias("b"))
+    pairs = entries.where("many = 2 AND node <> centre").select(F.col("node").alias("a"), F.col("centre").alias("b"))
 
     def confirm(pairs: DataFrame) -> DataFrame:
         wanted = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
