@@ -24,8 +24,8 @@ class WordIds:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
-        # words of Latin letters, digits and signs are lower-cased, split and looked up part by part; others go to the tokenizer whole
+        # words of Latin letters, digits and signs are lower-cased, split and looked up part by part; others, and
+        # those that may hold one of the vocabulary's special tokens, go to the tokenizer whole
         self.simple = regex.compile("[!-~¡-¬®-įı-ſ]+")
         self.parts = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
         visible = [*range(33, 127), *range(161, 173), *range(174, 256)]  # byte-level BPE writes the other bytes as letters from 256 on
@@ -44,7 +44,7 @@ class WordIds:
         return ids
 
     def _word(self, word: str) -> np.ndarray:
-        if self.simple.fullmatch(word):
+        if "<|" not in word and self.simple.fullmatch(word):
             ids = [i for part in self.parts.findall(word.lower()) for i in self._part(part)]
         else:
             ids = self.tokenizer.encode(word, add_special_tokens=False).ids
@@ -230,8 +230,9 @@ def pack_documents(docs: DataFrame, size: int = 4096, path: str | None = None) -
     """doc_id, piece, start, length, ids_crc32, sequence_id and offset of every piece of every row of ``docs``.
 
     Null text: one piece with the end id. Documents longer than ``size`` are cut, others
-    never. Repeated rows are each packed. Empty table: empty result. Other columns are
-    ignored.
+    never. Special tokens of the vocabulary that stand in a text are encoded as such, as
+    the tokenizer does by default. Repeated rows and null ids are each packed. Empty table:
+    empty result. Other columns are ignored.
     """
     return pack(materialise(tokenised_pieces(docs, size, path=path), "pieces"), size)
 
