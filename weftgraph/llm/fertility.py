@@ -66,11 +66,15 @@ def pieces(folder: str | None) -> Pieces:
     return _pieces[folder]
 
 
-def _repeat_words(codes: np.ndarray) -> int:
-    """Words in 3-word windows that are found twice or more."""
+def _repeat_words(codes: np.ndarray, bits: int = 21) -> int:
+    """Words in 3-word windows that are found twice or more. Three codes of ``bits`` are one number; larger codes are numbered by pairs first."""
     if len(codes) < 4:
         return 0
-    key = (codes[:-2] << 42) | (codes[1:-1] << 21) | codes[2:]
+    if int(codes.max()) >> bits:
+        size = int(codes.max()) + 1
+        key = np.unique(codes[:-2] * size + codes[1:-1], return_inverse=True)[1] * size + codes[2:]
+    else:
+        key = (codes[:-2] << 2 * bits) | (codes[1:-1] << bits) | codes[2:]
     _, inverse, count = np.unique(key, return_inverse=True, return_counts=True)
     at = np.flatnonzero(count[inverse] > 1)
     covered = np.zeros(len(codes), bool)
