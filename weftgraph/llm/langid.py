@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from .common import bucket, chunks, documents
+from .common import bucket, chunks, documents, free_name, materialise
 
 #: Families of languages by ISO 639-1 code. A learned language that isn't here is a family of its own.
 FAMILIES = {
@@ -56,9 +56,8 @@ def features(texts: pa.Array) -> np.ndarray:
 
 
 def fit_svm(x: np.ndarray, y: np.ndarray, c: float = 10.0, rounds: int = 40) -> np.ndarray:
-    """Weights (bias last) of a linear SVM with squared hinge loss for labels y of -1 and 1, by dual coordinate descent."""
-    x = np.hstack([x, np.ones((len(x), 1), np.float32)]).astype(np.float64)
-    w, alpha, diag = np.zeros(x.shape[1]), np.zeros(len(x)), (x * x).sum(1) + 0.5 / c
+    """Weights of a linear SVM with squared hinge loss for labels y of -1 and 1, by dual coordinate descent; the last column of x is 1, for the bias."""
+    w, alpha, diag = np.zeros(x.shape[1]), np.zeros(len(x)), np.einsum("ij,ij->i", x, x, dtype=np.float64) + 0.5 / c
     rng = np.random.default_rng(0)
     for _ in range(rounds):
         moved = 0.0
@@ -83,6 +82,7 @@ class Model:
         self.members = [[k for k, x in enumerate(self.langs) if family(x) == f] for f in self.families]
         y = np.array([self.langs.index(x) for x in langs])
         of = np.array([self.families.index(family(x)) for x in langs])
+        x = np.hstack([x, np.ones((len(x), 1), np.float32)])
         machines: list[np.ndarray] = []
         if len(self.families) > 1:
             machines += [fit_svm(x, np.where(of == k, 1.0, -1.0)) for k in range(len(self.families))]
@@ -93,7 +93,7 @@ class Model:
                     rows = (y == a) | (y == b)
                     self.pairs.append((a, b, len(machines)))
                     machines.append(fit_svm(x[rows], np.where(y[rows] == a, 1.0, -1.0)))
-        self.w = np.array(machines, np.float32).reshape(len(machines), x.shape[1] + 1)
+        self.w = np.array(machines, np.float32).reshape(len(machines), x.shape[1])
 
     def predict(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Places in ``langs`` and scores. Ties go to the first family and the first language."""
@@ -123,14 +123,16 @@ class Model:
 def fit(labelled: DataFrame, per_language: int = 400) -> Model | None:
     """Fits on at most ``per_language`` rows of each lang of ``labelled`` (doc_id, text, lang), chosen by a hash of the row.
 
-    That bound is the only sample. Rows without lang, or whose text is null or has no
-    letter, aren't learned from. None if nothing is left.
+    That bound is the only sample, and what reaches the driver is so many vectors for each
+    language that the labels name. Rows without lang, or whose text is null or has no
+    letter, aren't learned from; rows that repeat an id are drawn alike, in the order of
+    their texts. None if nothing is left.
     """
     rows = labelled.where(F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}"))
     draw = F.pmod(F.xxhash64(F.lit("langid"), F.col("doc_id")), F.lit(1 << 30)).cast("double") / (1 << 30)
-    counts = labelled.where(F.col("lang").isNotNull()).groupBy("lang").agg(F.count(F.lit(1)).alias("_n"))
+    counts = materialise(rows.groupBy("lang").agg(F.count(F.lit(1)).alias("_n")), "languages")  # once written, Spark knows how few they are
     # a first draw of twice as many keeps the ranking below small; fewer labelled rows than that are all taken
-    rows = rows.select("doc_id", "text", "lang", draw.alias("_u")).join(F.broadcast(counts.limit(10_000)), "lang")
+    rows = rows.select("doc_id", "text", "lang", draw.alias("_u")).join(counts, "lang")
     rows = rows.where(F.col("_u") * F.col("_n") < 2 * per_language)
     rows = rows.withColumn("_r", F.row_number().over(Window.partitionBy("lang").orderBy("_u", "doc_id", "text"))).where(F.col("_r") <= per_language)
 
@@ -183,5 +185,11 @@ def op1_language_id(spark, sf_dir: str) -> DataFrame:
 
 
 def keep_identified(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: drops documents whose language can't be told (no text, or no letter in it)."""
-    return identify(docs, fit(docs)).where("lang_pred <> 'und'").select(*docs.columns)
+    """Pipeline stage: drops documents whose language can't be told (no text, or no letter in it).
+
+    Null langs and ids, repeated rows and very long texts are predicted like any other; an
+    empty table stays empty, and every column that came in goes on, with its values.
+    """
+    own = {c: free_name(docs, f"_own_{c}") for c in ("lang_pred", "score") if c in docs.columns}
+    kept = identify(docs.withColumnsRenamed(own), fit(docs)).where("lang_pred <> 'und'").drop("lang_pred", "score")
+    return kept.withColumnsRenamed({v: k for k, v in own.items()}).select(*docs.columns)
