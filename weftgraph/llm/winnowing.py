@@ -60,12 +60,15 @@ def dealt_for_next(docs: DataFrame, span: int = 256) -> DataFrame:
     """Deals rows so that a window over _span (by _extra, _key descending) sees each row's follower.
 
     The follower is the row with the next smaller doc_id; after the last comes the first.
-    Rows are dealt by doc_id // span, so no task sees more than ``span`` ids; the largest
-    id of each span is also sent to the span above it that isn't empty. Equal ids are
-    ordered by their text's hash. Null ids count as the smallest.
+    Rows are dealt by ranges of doc_id that have ``span`` rows on average, also where ids are
+    sparse; the largest id of each range is also sent to the range above it that isn't
+    empty. Equal ids are ordered by their text's hash. Null ids count as the smallest.
     """
-    key = F.coalesce(F.col("doc_id"), F.lit(-(1 << 62)))
-    docs = docs.withColumn("_key", key).withColumn("_span", F.floor(F.col("_key") / span))
+    low, high, n = docs.agg(F.min("doc_id"), F.max("doc_id"), F.count(F.lit(1))).first()
+    low, high = (0, 0) if low is None else (int(low), int(high))
+    width = max(1, (high - low + 1) * span // max(1, n))
+    key = F.coalesce(F.col("doc_id").cast("long"), F.lit(low - 1))
+    docs = docs.withColumn("_key", key).withColumn("_span", F.floor((F.col("_key").cast("double") - float(low)) / float(width)))
     heads = docs.groupBy("_span").agg(F.max("_key").alias("_head")).withColumn("_group", F.floor(F.col("_span") / 4096))
     groups = heads.groupBy("_group").agg(F.max("_head").alias("_first"))
     everything = Window.orderBy(F.col("_group").desc())
