@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import documents, materialise, n_words
+from .common import documents, free_name, materialise, n_words
 
 #: Expected copies are counted in units of 2**-SCALE, so that ranks times copies stay exact integers.
 SCALE = 24
@@ -79,9 +79,22 @@ def systematic_mix(docs: DataFrame, size: str = "size", weights=(1, 2, 3), cap:
 
 
 def mix_sources(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: each document as often as the mix to the weights 1, 2, 3 takes it."""
-    mixed = systematic_mix(docs.withColumn("_size", n_words(F.col("text"))), size="_size").where("copies > 0")
-    return mixed.withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies")))).select(*docs.columns)
+    """Pipeline stage: each document as often as the mix to the weights 1, 2, 3 takes it.
+
+    Nulls, sizes of 0, ties and repeated rows as in systematic_mix, which gets ids, sources and
+    sizes alone; the texts are dealt once, for the copies. Of rows that repeat an id, source
+    and text each is taken as often as the others, or once more. An empty table stays empty,
+    and every column that came in goes on, with its values.
+    """
+    key, d, copies, rows, copy = (free_name(docs, x) for x in ("_key", "_doc", "_copies", "_rows", "_copy"))
+    keyed = docs.withColumn(key, F.xxhash64("doc_id", "source", "text")).withColumn(d, F.coalesce(F.col("doc_id").cast("long"), F.lit(0)))
+    sized = keyed.select(F.col(key).alias("k"), F.col(d).alias("d"), "doc_id", "source", n_words(F.col("text")).alias("size"))
+    mixed = systematic_mix(materialise(sized, "mixing-sizes")).groupBy("k", "d").agg(F.sum("copies").alias(copies), F.count(F.lit(1)).alias(rows)).where(F.col(copies) > 0)
+    taken = keyed.join(materialise(mixed.withColumnsRenamed({"k": key, "d": d}), "mixed"), [key, d])
+    place = F.row_number().over(Window.partitionBy(key, d).orderBy(key))  # as the join has dealt and sorted the rows
+    times = F.floor(F.col(copies) / F.col(rows)) + F.when(place <= F.col(copies) % F.col(rows), 1).otherwise(0)
+    taken = taken.withColumn(copies, times).where(F.col(copies) > 0)
+    return taken.withColumn(copy, F.explode(F.sequence(F.lit(1).cast("long"), F.col(copies)))).select(*docs.columns)
 
 
 def op7_mixing_sources(spark, sf_dir: str) -> DataFrame:
