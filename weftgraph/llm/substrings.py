@@ -19,7 +19,8 @@ from .common import chunks, documents, materialise, shared_dir, shuffles_removed
 from .neardup import gram_hashes, word_hashes
 
 
-WHOLE = -1
+#: In a row's place: all windows of a text, or KNOWN - place of a window that is known to go.
+WHOLE, KNOWN = -1, -2
 
 
 def window_anchors(g: np.ndarray, span: int) -> np.ndarray:
@@ -141,12 +142,20 @@ class FingerprintIndex:
                 yield pa.RecordBatch.from_arrays([pa.array(gone), pa.array(np.zeros(len(gone), np.int32)), pa.array(gone), pa.array(np.full(len(gone), WHOLE, np.int32))], ["w", "c", "doc_id", "at"])
                 keep &= ~copy[own.doc]
                 at, doc = own.at[keep], own.doc[keep]
-                full = gram_hashes(own.h, words)[at] if len(at) else own.h[:0]
-                check = gram_hashes(own.h[::-1], words)[::-1][at] if len(at) else own.h[:0]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(full.view(np.int64)), pa.array((check >> np.uint64(32)).astype(np.uint32).view(np.int32)), batch.column(0).take(pa.array(doc)), pa.array((at - own.starts[doc]).astype(np.int32))],
-                    ["w", "c", "doc_id", "at"],
-                )
+                if not len(at):
+                    continue
+                full = gram_hashes(own.h, words)[at].view(np.int64)
+                check = (gram_hashes(own.h[::-1], words)[::-1][at] >> np.uint64(32)).astype(np.uint32).view(np.int32)
+                who, start = ids[doc], (at - own.starts[doc]).astype(np.int32)
+                # what a smaller id of the same batch has is known to go: such rows are dealt by their document, not by a window that many have
+                order = np.lexsort((who, check, full))
+                same = np.zeros(len(order), bool)
+                same[1:] = (full[order][1:] == full[order][:-1]) & (check[order][1:] == check[order][:-1])
+                first = np.maximum.accumulate(np.where(same, 0, np.arange(len(order))))
+                known = np.zeros(len(order), bool)
+                known[order] = who[order] > who[order][first]
+                columns = np.where(known, who, full), np.where(known, 0, check), who, np.where(known, KNOWN - start, start)
+                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(columns, (pa.int64(), pa.int32(), pa.int64(), pa.int32()), strict=True)], ["w", "c", "doc_id", "at"])
 
         windows = texts.join(lists, F.col("doc_id") == F.col("_d")).select("doc_id", "text", "anchors").mapInArrow(expand, "w long, c int, doc_id long, at int")
 
@@ -159,9 +168,11 @@ class FingerprintIndex:
                 new = np.ones(len(w), bool)
                 new[1:] = (w[1:] != w[:-1]) | (c[1:] != c[:-1])
                 new[0] = last != (w[0], c[0])
+                new |= at < 0  # these rows only pass through
                 owner = np.append(doc, first if first is not None else 0)[np.maximum.accumulate(np.where(new, np.arange(len(w)), -1))]
                 last, first = (w[-1], c[-1]), owner[-1]
-                yield batch.select(["doc_id", "at"]).filter(pa.array((doc > owner) | (at == WHOLE)))
+                place = np.where(at <= KNOWN, KNOWN - at, at)
+                yield pa.RecordBatch.from_arrays([batch.column(2), pa.array(place, pa.int32())], ["doc_id", "at"]).filter(pa.array((doc > owner) | (at < 0)))
 
         # equal windows meet in one task in order of doc_id, and stream through it
         dealt = windows.repartition(F.col("w"), F.col("c")).sortWithinPartitions("w", "c", "doc_id")
