@@ -232,6 +232,22 @@ def test_fertility_counts(spark, docs, empty):
     assert cjk.byte_share > 0
 
 
+def test_repeated_words_with_many_codes():
+    rng = np.random.default_rng(6)
+    for _ in range(30):
+        codes = rng.integers(0, 9, rng.integers(0, 60))
+        assert fertility._repeat_words(codes, bits=2) == fertility._repeat_words(codes)
+
+
+@pytest.mark.parametrize("name,low,high", [("piece_chars", 1.2, 8.0), ("byte_chars", 1.45, 8.0), ("byte_share", 0.0, 0.25), ("entropy", 0.25, 1.0)])
+def test_each_measure_rejects(spark, name, low, high):
+    fine = {"piece_chars": 3.0, "byte_chars": 3.0, "byte_share": 0.0, "entropy": 0.8}
+    values = [low, high, low - 0.01, high + 0.01]
+    rows = [("latin", None, *(fine | {name: v}).values()) for v in values]
+    out = fertility.verdict(spark.createDataFrame(rows, "script string, lang string, piece_chars double, byte_chars double, byte_share double, entropy double")).collect()
+    assert [r.rejected for r in out] == [[], [], [name], [name]]
+
+
 # 6
 
 
@@ -241,7 +257,8 @@ def test_packing(spark, docs, empty):
     import public_tokenizers
 
     tokenizer = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
-    tokenizer.encode_special_tokens = True
+    odd = ["a <|endoftext|> b", "x<|endoftext|>y <|startoftext|>", "<|ENDOFTEXT|> <| |>", "it's don't I'LL 12ab <|endoftext|>'s"]
+    docs = docs.unionByName(spark.createDataFrame([(1000 + i, t, "", "", 0) for i, t in enumerate(odd)], docs.schema))
     out = packing.pack_documents(docs, size=128).collect()
     rows = docs.collect()
     total = 0
