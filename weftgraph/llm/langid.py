@@ -163,12 +163,12 @@ def identify(docs: DataFrame, model: Model | None, with_text: bool = True) -> Da
 
     def predict(batches):
         m = shared.value
-        for batch in chunks(batches, "text", 2_000_000):
+        for batch in chunks(batches, "text", 1_000_000):
             text = batch.column(batch.schema.get_field_index("text"))
             langs, scores = np.full(batch.num_rows, "und", object), np.zeros(batch.num_rows)
             letters = pc.fill_null(pc.match_substring_regex(text, r"\p{L}"), False).to_numpy(zero_copy_only=False)
             rows = np.flatnonzero(letters)
-            for part in np.array_split(rows, max(1, -(-len(rows) // 512))) if m is not None and len(rows) else []:
+            for part in np.array_split(rows, max(1, -(-len(rows) // 256))) if m is not None and len(rows) else []:
                 best, score = m.predict(features(text.take(pa.array(part))))
                 langs[part], scores[part] = np.array(m.langs, object)[best], score
             yield pa.RecordBatch.from_arrays([*(batch.column(batch.schema.get_field_index(c)) for c in names), pa.array(langs, pa.string()), pa.array(scores)], [*names, "lang_pred", "score"])
