@@ -456,9 +456,10 @@ def test_sketches_of_lines_change_by_two_bits_an_edit():
         edits = int(rng.integers(0, 9))
         y[rng.choice(40, edits, replace=False)] = rng.integers(0, 1 << 63, edits, np.uint64)
         a, b = linededup.parities(np.concatenate([x, y]), np.array([0, 40, 80]))
-        assert np.bitwise_count((a ^ b).view(np.uint64)).sum() <= 2 * edits
+        assert np.bitwise_count((a ^ b)[:4].view(np.uint64)).sum() <= 2 * edits
+        assert np.abs(a[4:].view(np.uint8).astype(int) - b[4:].view(np.uint8)).sum() <= 2 * edits
     same, other = linededup.parities(np.repeat(np.array([3, 4], np.uint64) << np.uint64(40), 60), np.array([0, 60, 120]))
-    assert np.bitwise_count((same ^ other).view(np.uint64)).sum() > 2 * 12
+    assert np.bitwise_count((same ^ other)[:4].view(np.uint64)).sum() > 2 * 12
 
 
 def test_edit_similarity():
@@ -537,6 +538,22 @@ def test_links_of_a_crowd_that_is_not_one(spark, block):
     assert len(asked) == len({frozenset(p) for p in asked}) < 300  # of 780 pairs
 
 
+@pytest.mark.parametrize("blocks", [1, 3])
+def test_large_keys_have_centres(blocks):
+    """300 nodes of a key in three kinds, and 40 that are like nothing: each kind is joined by pairs of its own."""
+    v = np.concatenate([np.repeat([0, 1000, 2000], 100) + np.tile(np.arange(100) % 7, 3), 5000 + 100 * np.arange(40)])
+    test = lambda x, y: np.where(np.abs(x["v"] - y["v"]) <= 9, np.abs(x["v"] - y["v"]), -1)
+    own, found = np.arange(340) % blocks, []
+    for l, r in [(l, r) for r in range(blocks) for l in range(r + 1)]:
+        at = np.flatnonzero((own == l) | (own == r))
+        rows = pa.table({"key": np.full(len(at), 5), "node": at, "c": at, "own": own[at], "l": np.full(len(at), l), "r": np.full(len(at), r), "v": v[at]})
+        out = buckets.crossing(rows, ["v"], test, None).to_pylist()
+        assert all(r["more"] for r in out) and len(out) < 2 * len(at)
+        found += [(r["a"], r["b"]) for r in out]
+    top = joined(found, range(340))
+    assert len(set(top.values())) == 43 and all(abs(v[a] - v[b]) <= 9 for a, b in found)
+
+
 def test_crossing_gives_nearest_pairs_first():
     rows = pa.table({"key": [1] * 6, "node": list(range(6)), "c": [0, 0, 0, 3, 3, 3], "own": [0] * 6, "l": [0] * 6, "r": [0] * 6, "v": [0, 4, 9, 5, 20, 7]})
     test = lambda x, y: np.abs(x["v"] - y["v"])

@@ -15,7 +15,7 @@ from .components import components
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
-def list_rows(keys: np.ndarray, nodes: np.ndarray, buckets: int, beside: list, own: int) -> pa.RecordBatch:
+def list_rows(keys: np.ndarray, nodes: np.ndarray, buckets: int, beside: dict, own: int) -> pa.RecordBatch:
     """(key, node) entries as one row for each bucket, and one row of bucket ``own`` with the columns ``beside``.
 
     A bucket holds 48 bits of its keys, as high and low; its number has others.
@@ -27,10 +27,9 @@ def list_rows(keys: np.ndarray, nodes: np.ndarray, buckets: int, beside: list, o
     ends = pa.array(np.concatenate([first, [len(bucket)] * 2]).astype(np.int32))
     high, low = (keys >> np.uint64(16)).astype(np.uint32).view(np.int32), keys.astype(np.uint16).view(np.int16)
     lists = [pa.ListArray.from_arrays(ends, pa.array(x)) for x in (high, low, nodes)]
-    n = pa.array([0] * (len(first) + 1) + [len(beside[0])], pa.int32())
-    names = ["bucket", "high", "low", "node", "h", "doc_id", "t", "line", "n", "s0", "s1", "s2", "s3"][: 4 + len(beside)]
+    n = pa.array([0] * (len(first) + 1) + [len(next(iter(beside.values())))], pa.int32())
     number = pa.array(np.append(bucket[first], own).astype(np.int32))
-    return pa.RecordBatch.from_arrays([number, *lists, *(pa.ListArray.from_arrays(n, x if isinstance(x, pa.Array) else pa.array(x)) for x in beside)], names)
+    return pa.RecordBatch.from_arrays([number, *lists, *(pa.ListArray.from_arrays(n, x if isinstance(x, pa.Array) else pa.array(x)) for x in beside.values())], ["bucket", "high", "low", "node", *beside])
 
 
 def pairs_and_entries(table: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -63,29 +62,85 @@ def pairs_and_entries(table: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarr
     return kind, np.concatenate([pairs[:, 0], full[more].view(np.int64)]), np.concatenate([pairs[:, 1], node[more]])
 
 
-def _candidates(begin: np.ndarray, size: np.ndarray, c: np.ndarray, own: np.ndarray, l: int, r: int, most: int = 500_000):
-    """Pairs (i, j) of rows of the same key and different components, about ``most`` at a time, given where each key's rows begin and how many they are."""
+def _ranked(x: np.ndarray, near: np.ndarray, limit: int) -> np.ndarray:
+    """Which pairs are among the ``limit`` nearest of their entry in ``x``."""
+    order = np.lexsort((near, x))
+    new = np.ones(len(x), bool)
+    new[1:] = x[order][1:] != x[order][:-1]
+    rank = np.arange(len(x)) - np.maximum.accumulate(np.where(new, np.arange(len(x)), 0))
+    take = np.zeros(len(x), bool)
+    take[order[rank < limit]] = True
+    return take
 
-    def differing(i: np.ndarray, j: np.ndarray):
-        keep = c[i] != c[j]
-        return i[keep], j[keep]
 
-    if l < r:  # of a key dealt into blocks: rows of block l with rows of block r
-        left, right = np.flatnonzero(own == l), np.flatnonzero(own == r)
-        step = max(1, most // max(1, len(right)))
-        for k in range(0, len(left), step):
-            yield differing(np.repeat(left[k : k + step], len(right)), np.tile(right, len(left[k : k + step])))
-        return
+def _centres(rows: np.ndarray, test: Callable, sample: int = 32) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Pairs of rows with a centre that they are alike to, of a key of many rows, without all pairs of it.
+
+    The centre is the one of ``sample`` rows that most of the others are alike to; those go, and
+    the next one is chosen from what is left. Rows that nothing is alike to go unpaired.
+    """
+    out = []
+    while len(rows) > 1:
+        some = rows[:sample]
+        near = test(np.repeat(some, len(rows)), np.tile(rows, len(some))).reshape(len(some), -1) >= 0
+        near[np.arange(len(some)), np.arange(len(some))] = False
+        best = near.sum(axis=1).argmax()
+        hit = near[best]
+        if hit.any():
+            out.append((np.full(hit.sum(), some[best]), rows[hit]))
+            hit[best] = True
+            rows = rows[~hit]
+        else:
+            rows = rows[sample:]
+    return out
+
+
+def crossing(table: pa.Table, sketch: list[str], alike: Callable, limit: int | None, most: int = 300_000) -> pa.Table:
+    """(key, a, b, more): pairs of nodes of different components that share a key and may be alike.
+
+    Of a key, each component's ``limit`` pairs with the nearest sketches are given; without a
+    limit, pairs of each node with one that many are alike to, its centre. ``more`` says whether the
+    key may have others. Of a key that was dealt into blocks l and r, those of both are
+    compared. About ``most`` pairs are held at a time.
+    """
+    order = np.argsort(table.column("key").to_numpy(), kind="stable")
+    key, node, c, own = (table.column(x).to_numpy()[order] for x in ("key", "node", "c", "own"))
+    attr = {x: table.column(x).to_numpy()[order] for x in sketch}
+    l, r = (table.column(x)[0].as_py() for x in "lr")
+    new = np.concatenate([[True], key[1:] != key[:-1]])
+    begin, group = np.flatnonzero(new), np.cumsum(new) - 1
+    size, cut = np.diff(np.append(begin, len(key))), np.zeros(len(begin), bool)
+    kept = [(np.zeros(0, np.int64),) * 3]
+
+    def test(i: np.ndarray, j: np.ndarray) -> np.ndarray:
+        return alike({x: v[i] for x, v in attr.items()}, {x: v[j] for x, v in attr.items()})
+
+    def keep(i: np.ndarray, j: np.ndarray) -> None:
+        differ = c[i] != c[j]
+        i, j = i[differ], j[differ]
+        near = test(i, j)
+        hit = near >= 0
+        i, j, near = i[hit], j[hit], near[hit]
+        if limit and len(i) > limit:
+            take = _ranked(i, near, limit)
+            cut[group[i[~take]]] = True
+            i, j, near = i[take], j[take], near[take]
+        kept.append((i, j, near))
+
     for n in np.unique(size[size > 1]):
         same = begin[size == n]
-        if n <= 128:
+        if n <= 128 and l == r:
             x, y = np.triu_indices(n, 1)
             step = max(1, most // len(x))
             for k in range(0, len(same), step):
                 at = same[k : k + step, None]
-                yield differing((at + x).ravel(), (at + y).ravel())
+                keep((at + x).ravel(), (at + y).ravel())
             continue
         for a in same:
+            if limit is None:
+                kept += [(i, j, np.zeros(len(i), np.int64)) for i, j in _centres(np.arange(a, a + n), test)]
+                cut[group[a]] = True
+                continue
             # the largest component last: its rows needn't be compared with each other
             kinds, of, count = np.unique(c[a : a + n], return_inverse=True, return_counts=True)
             rows = a + np.argsort(of == count.argmax(), kind="stable")
@@ -93,54 +148,28 @@ def _candidates(begin: np.ndarray, size: np.ndarray, c: np.ndarray, own: np.ndar
             for k in range(0, first, step):
                 x = np.arange(k, min(k + step, first))
                 x, y = np.repeat(x, n - k), np.tile(np.arange(k, n), len(x))
-                later = y > x
-                yield differing(rows[x[later]], rows[y[later]])
-
-
-def crossing(table: pa.Table, sketch: list[str], alike: Callable, limit: int | None) -> pa.Table:
-    """(key, a, b, more): pairs of nodes of different components that share a key and may be alike.
-
-    Of a key, each component's ``limit`` pairs with the nearest sketches are given; without a limit, each
-    component's pair with the one that has most such pairs, its centre. ``more`` says whether the
-    key has others. Of a key that was dealt into blocks l and r, only pairs between the two
-    are compared (l < r), or those within one (l = r).
-    """
-    order = np.argsort(table.column("key").to_numpy(), kind="stable")
-    key, node, c, own = (table.column(x).to_numpy()[order] for x in ("key", "node", "c", "own"))
-    attr = {x: table.column(x).to_numpy()[order] for x in sketch}
-    l, r = (table.column(x)[0].as_py() for x in "lr")
-    begin = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
-    kept = [(np.zeros(0, np.int64),) * 3]
-    for i, j in _candidates(begin, np.diff(np.append(begin, len(key))), c, own, l, r):
-        near = alike({x: v[i] for x, v in attr.items()}, {x: v[j] for x, v in attr.items()})
-        hit = near >= 0
-        kept.append((i[hit], j[hit], near[hit]))
+                later = (y > x) if l == r else (y > x) & (own[rows[x]] != own[rows[y]])
+                keep(rows[x[later]], rows[y[later]])
     i, j, near = (np.concatenate(x) for x in zip(*kept, strict=True))
-    group = np.cumsum(np.concatenate([[True], key[1:] != key[:-1]])) - 1
     if limit is None:
-        # the best of a node's pairs has the highest number of pairs, then place, on its other side
+        # of small keys, the best of a node's pairs: the one with most pairs on its other side
         many = np.bincount(np.concatenate([i, j]), minlength=len(key))
         best = np.full(len(key), -1, np.int64)
         for x, y in ((i, j), (j, i)):
             np.maximum.at(best, x, (many[y] << 32) | y)
         x = np.flatnonzero(best >= 0)
         y = best[x] & 0xFFFFFFFF
-        found = np.bincount(group[i], minlength=len(key))
+        found = np.bincount(group[i], minlength=len(begin))
         i, j = np.unique(np.stack([np.minimum(x, y), np.maximum(x, y)]), axis=1) if len(x) else (x, y)
-        more = (found > np.bincount(group[i], minlength=len(key)))[group[i]]
+        cut |= found > np.bincount(group[i], minlength=len(begin))
     else:
-        take = np.zeros(len(i), bool)
-        for x in (i, j):
-            order = np.lexsort((near, c[x], group[x]))
-            side, at = c[x][order], group[x][order]
-            new = np.ones(len(x), bool)
-            new[1:] = (side[1:] != side[:-1]) | (at[1:] != at[:-1])
-            rank = np.arange(len(x)) - np.maximum.accumulate(np.where(new, np.arange(len(x)), 0))
-            take[order[rank < limit]] = True
-        more = np.isin(group[i], group[i][~take])[take]
+        # components have numbers of their own in each key
+        names = np.unique(np.stack([group, c]), axis=1, return_inverse=True)[1].ravel() if len(key) else c
+        take = _ranked(names[i], near, limit) | _ranked(names[j], near, limit)
+        cut[group[i[~take]]] = True
         i, j = i[take], j[take]
     a, b = np.minimum(node[i], node[j]), np.maximum(node[i], node[j])
-    return pa.table({"key": pa.array(key[i]), "a": pa.array(a), "b": pa.array(b), "more": pa.array(more)})
+    return pa.table({"key": pa.array(key[i]), "a": pa.array(a), "b": pa.array(b), "more": pa.array(cut[group[i]])})
 
 
 def linked(pairs: DataFrame, entries: DataFrame, nodes: DataFrame, alike: Callable, confirm: Callable, block: int = 2000) -> DataFrame:
