@@ -126,7 +126,7 @@ def test_gradients_match_differences(spark, directed, on):
     rng = np.random.default_rng(1)
     w1, w2 = rng.standard_normal((3, 4)), rng.standard_normal((4, 2))
     loss = lambda a, b: -model(m, x, a, b, on)[np.arange(6), y][train].mean()
-    got = T.collect_gradients(g, w1.tolist(), w2.tolist())
+    got, _ = T.collect_gradients(g, w1.tolist(), w2.tolist())
     for layer, w in ((1, w1), (2, w2)):
         for i in range(w.shape[0]):
             for j in range(w.shape[1]):
@@ -143,3 +143,43 @@ def test_training_reduces_the_loss(spark):
     loss = lambda w: -model(m, x, np.array(w[0]), np.array(w[1]), True)[np.arange(6), y][train].mean()
     assert loss(last) < loss(first)
     assert np.isclose(first[0][1][2], graphs.uniform_number(1, 2, 1))
+
+
+def test_loss_of_blocks(spark):
+    g, m, x, y, train = small_graph(spark, True, True)
+    g.config.loss_blocks = 3
+    w1, w2 = np.random.default_rng(2).standard_normal((3, 4)), np.random.default_rng(3).standard_normal((4, 2))
+    got, _ = T.collect_gradients(g, w1.tolist(), w2.tolist())
+    def loss(b):
+        own = -model(m, x, w1, b, True)[np.arange(6), y]
+        return sum(own[i : i + 2][train[i : i + 2]].mean() for i in (0, 2))  # the third block has no training node
+
+    for i in range(4):
+        for j in range(2):
+            up, down = w2.copy(), w2.copy()
+            up[i, j] += 1e-6
+            down[i, j] -= 1e-6
+            assert abs(got[(2, i, j)] - (loss(up) - loss(down)) / 2e-6) < 1e-6
+
+
+def test_pagerank_is_the_inverse(spark):
+    nodes, adj = ids(spark, 4), spark.createDataFrame([(0, 1, 0.5), (1, 0, 0.5), (1, 2, 0.5), (2, 1, 0.5), (3, 3, 1.0)], "src long, dst long, w double")
+    want = 0.5 * np.linalg.inv(np.eye(4) - 0.5 * dense(adj, 4))
+    assert np.abs(dense(prepare.pagerank(adj, nodes, 0.5, 1e-3), 4) - want).max() < 1e-3
+
+
+def test_a_users_graph(spark, tmp_path):
+    nodes = spark.createDataFrame([(30, [1.0], 0, "train"), (10, [2.0], 1, "val"), (20, [3.0], 0, "train")], graphs.NODES)
+    nodes.write.parquet(f"{tmp_path}/nodes")
+    edges(spark, [(10, 30), (20, 10), (10, 30)]).write.csv(f"{tmp_path}/edges")
+    n, e = graphs.read_graph(spark, f"{tmp_path}/nodes", f"{tmp_path}/edges", "csv")
+    assert {r.node_id: r.x for r in n.collect()} == {0: [2.0], 1: [3.0], 2: [1.0]}
+    assert sorted((r.src, r.dst) for r in e.collect()) == [(0, 2), (0, 2), (1, 0)]
+    for rows, pairs in (([(None, [1.0], 0, "a")], []), ([(0, [None], 0, "a")], []), ([(0, [1.0], 0, "a")] * 2, []), ([(0, [1.0], 0, "a")], [(0, 5)]), ([(0, [1.0], 0, "a")], [(None, 0)])):
+        with pytest.raises(ValueError):
+            graphs.checked_graph(spark.createDataFrame(rows, graphs.NODES), edges(spark, pairs))
+    config = T.TrainConfig(hidden=2, classes=2, features=1, all_train=True, inward=False, runs=2)
+    g = T.prepared(n, prepare.distinct_edges(e), 3, config)
+    T.save(g, f"{tmp_path}/saved")
+    first, again = (sorted(map(tuple, T.history(x, 2).collect())) for x in (g, T.open_saved(spark, f"{tmp_path}/saved", config)))
+    assert first == again and len(first) == 4 and {r[-1] for r in first} == {1, 2} and {r[0] for r in first} == {"train"}

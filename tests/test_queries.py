@@ -20,10 +20,10 @@ def sql():
     return con
 
 
-SLOW = {"train_history", "best_epoch", "train_step_2"}
 
 
-@pytest.mark.parametrize("name", sorted(set(catalog.QUERIES) - SLOW))
+
+@pytest.mark.parametrize("name", sorted(catalog.QUERIES))
 def test_query_matches_sql(spark, sql, name):
     got = catalog.QUERIES[name](spark, D).toPandas()
     want = sql.execute(catalog.ORACLES[name]).df()

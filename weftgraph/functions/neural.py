@@ -24,9 +24,9 @@ def log_softmax(df, column: str = "x"):
     return df.withColumn(column, F.transform(column, lambda v: v - F.col("_top") - F.col("_norm"))).drop("_top", "_norm")
 
 
-def log_softmax_grad(p, g):
-    """Gradient at the scores, given log-probabilities p and the gradient g at them."""
-    return F.transform(F.arrays_zip(p.alias("p"), g.alias("g")), lambda s: s["g"] - F.exp(s["p"]) * total(g))
+def log_softmax_grad(p, g, summed):
+    """Gradient at the scores, given log-probabilities p, the gradient g at them, and ``summed``, a column with g's sum."""
+    return F.zip_with(p, g, lambda a, b: b - F.exp(a) * summed)
 
 
 def argmax(x):

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.store import store
+
 
 def distinct_edges(edges: DataFrame) -> DataFrame:
     return edges.select("src", "dst").distinct()
@@ -70,6 +72,18 @@ def pagerank_step(adj: DataFrame, state: DataFrame | None, ids: DataFrame, alpha
     return moved.unionByName(stay).groupBy("src", "dst").agg(F.sum("w").alias("w"))
 
 
+def pagerank(adj: DataFrame, ids: DataFrame, alpha: float, tolerance: float) -> DataFrame:
+    """Personalised PageRank alpha (I - (1 - alpha) T)^-1 as (src, dst, w), by steps from the identity until what is left out is below ``tolerance``.
+
+    After k steps the columns differ from the limit by (1 - alpha)^k of the identity's
+    share; each step is written, so the plan stays short.
+    """
+    state, left = None, 1.0
+    while left > tolerance:
+        state, left = store(pagerank_step(adj, state, ids, alpha), "pagerank"), left * (1 - alpha)
+    return state
+
+
 def column_top(state: DataFrame, k: int) -> DataFrame:
     """The k largest entries of each column, ties by row, divided by their sum."""
     largest = F.row_number().over(Window.partitionBy("dst").orderBy(F.desc("w"), "src"))

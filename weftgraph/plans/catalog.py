@@ -221,6 +221,20 @@ def ppr_topk(spark, d):
     return prepare.column_top(state, 128).select("src", "dst", F.round("w", 6).alias("w"))
 
 
+_NAMED = """
+ids AS (SELECT p_partkey * 3 + 1 AS raw, dense_rank() OVER (ORDER BY p_partkey) - 1 AS node_id FROM part),
+named AS (SELECT DISTINCT l_partkey * 3 + 1 AS src, l_suppkey * 3 + 1 AS dst FROM lineitem)"""
+
+
+@query(f"WITH {_NAMED} SELECT a.node_id, count(*) AS d, min(b.node_id) AS first_dst FROM named JOIN ids a ON a.raw = src JOIN ids b ON b.raw = dst GROUP BY ALL")
+def load_graph(spark, d):
+    """Out-degrees of a graph whose ids have gaps, numbered anew when it is loaded."""
+    nodes = graphs.table(spark, d, "part").select((F.col("p_partkey") * 3 + 1).alias("node_id"))
+    edges = graphs.table(spark, d, "lineitem").select((F.col("l_partkey") * 3 + 1).alias("src"), (F.col("l_suppkey") * 3 + 1).alias("dst"))
+    _, numbered = graphs.checked_graph(nodes, edges)
+    return prepare.distinct_edges(numbered).groupBy(F.col("src").alias("node_id")).agg(F.count(F.lit(1)).alias("d"), F.min("dst").alias("first_dst"))
+
+
 # --- layouts -----------------------------------------------------------------
 
 
@@ -426,7 +440,7 @@ def log_softmax_grad(spark, d):
     x = graphs.nodes(spark, d)
     g = linalg.spmm(_adj(spark, d), x, 64).withColumnRenamed("x", "g")
     rows = neural.log_softmax(x).join(g, "node_id").withColumn("t", neural.total("g"))
-    return _long(rows.select("node_id", F.zip_with("g", "x", lambda a, p: a - F.exp(p) * F.col("t")).alias("x")))
+    return _long(rows.select("node_id", neural.log_softmax_grad("x", "g", F.col("t")).alias("x")))
 
 
 @query(f"SELECT 1 AS layer, i, j, v FROM ({sql_weights(64, 16, 1)}) UNION ALL SELECT 2, i, j, v FROM ({sql_weights(16, 10, 2)})")

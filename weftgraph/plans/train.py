@@ -8,13 +8,21 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import neural
-from ..operators import linalg, prepare
+from ..operators import linalg, partition, prepare
 from ..sources import graphs
+from ..sources.store import store
 
 
 @dataclass
 class TrainConfig:
-    """What a run does; ``activations`` off leaves both layers linear, ``normalise`` off sums plain neighbours."""
+    """What a run does.
+
+    ``activations`` off leaves both layers linear, ``normalise`` off sums plain neighbours,
+    ``all_train`` trains on every node, ``inward`` off sums over a node's out-neighbours
+    instead of its in-neighbours, ``runs`` repeats a run from the same start.
+    ``loss_blocks`` of k > 0 takes the sum of the mean losses of k blocks of node ids
+    instead of the mean of all.
+    """
 
     hidden: int = 16
     classes: int = 10
@@ -24,6 +32,9 @@ class TrainConfig:
     activations: bool = True
     normalise: bool = True
     loss_blocks: int = 0
+    all_train: bool = False
+    inward: bool = True
+    runs: int = 1
 
 
 @dataclass
@@ -37,12 +48,31 @@ class Graph:
     config: TrainConfig = field(default_factory=TrainConfig)
 
 
-def load(spark: SparkSession, sf_dir: str, config: TrainConfig | None = None) -> Graph:
-    config = config or TrainConfig()
-    nodes = graphs.nodes(spark, sf_dir)
-    edges = prepare.with_self_loops(prepare.symmetric(graphs.coo_edges(spark, sf_dir)), nodes)
+def prepared(nodes: DataFrame, edges: DataFrame, n: int, config: TrainConfig) -> Graph:
+    """A graph to train on from nodes and distinct edges: the adjacency and the aggregated features are written once."""
+    if config.all_train:
+        nodes = nodes.withColumn("split", F.lit("train"))
+    edges = prepare.with_self_loops(edges, nodes)
     adj = prepare.normalised(edges, nodes) if config.normalise else edges.withColumn("w", F.lit(1.0))
-    return Graph(nodes, adj, linalg.spmm(adj, nodes, config.features), graphs.node_count(spark, sf_dir), config)
+    adj = store(adj if config.inward else prepare.transpose(adj), "adj")
+    return Graph(nodes, adj, store(linalg.spmm(adj, nodes, config.features), "mx"), n, config)
+
+
+def load(spark: SparkSession, sf_dir: str, config: TrainConfig | None = None) -> Graph:
+    """The graph of the test tables, see graphs.nodes and graphs.coo_edges."""
+    edges = prepare.symmetric(graphs.coo_edges(spark, sf_dir))
+    return prepared(graphs.nodes(spark, sf_dir), edges, graphs.node_count(spark, sf_dir), config or TrainConfig())
+
+
+def save(g: Graph, path: str) -> None:
+    """Writes a prepared graph, to be opened by a later session."""
+    for name in ("nodes", "adj", "mx"):
+        getattr(g, name).write.mode("overwrite").parquet(f"{path}/{name}")
+
+
+def open_saved(spark: SparkSession, path: str, config: TrainConfig | None = None) -> Graph:
+    nodes, adj, mx = (spark.read.parquet(f"{path}/{name}") for name in ("nodes", "adj", "mx"))
+    return Graph(nodes, adj, mx, nodes.count(), config or TrainConfig())
 
 
 def layer1(g: Graph, w1) -> tuple[DataFrame, DataFrame]:
@@ -71,20 +101,21 @@ def start(config: TrainConfig):
 
 
 def output_grad(g: Graph, out: DataFrame) -> DataFrame:
-    """(node_id, x): gradient of the mean loss at z2; nodes that don't train have none and don't come."""
-    train = g.nodes.where("split = 'train'").select("node_id", "y")
-    count = g.nodes.where("split = 'train'").agg(F.count(F.lit(1)).alias("n"))
-    rows = out.join(train, "node_id").crossJoin(F.broadcast(count))
+    """(node_id, x): gradient of the mean loss (or sum of block means) at z2; nodes that don't train have none and don't come."""
+    block = partition.ceil_block(F.col("node_id"), g.n, g.config.loss_blocks)[0] if g.config.loss_blocks else F.lit(0)
+    train = g.nodes.where("split = 'train'").select("node_id", "y", block.alias("block"))
+    count = train.groupBy("block").agg(F.count(F.lit(1)).alias("n"))
+    rows = out.join(train, "node_id").join(F.broadcast(count), "block")  # a row for each block of the setting
     hot = neural.one_hot(F.col("y"), g.config.classes)
     grad = F.zip_with("x", hot, lambda p, h: F.exp(p) - h) if g.config.activations else F.transform(hot, lambda h: -h)
     return rows.withColumn("x", grad).withColumn("x", F.transform("x", lambda v: v / F.col("n"))).select("node_id", "x")
 
 
 def gradients(g: Graph, w1, w2) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(dw1, dw2, outputs), gradients as (i, j, v)."""
+    """(dw1, dw2, outputs), gradients as (i, j, v). The outputs and the gradient behind the product are written, as both layers read them."""
     z1, h1 = layer1(g, w1)
-    out = outputs(g, layer2(g, h1, w2))
-    back = linalg.spmm(prepare.transpose(g.adj), output_grad(g, out), g.config.classes)
+    out = store(outputs(g, layer2(g, h1, w2)), "out")
+    back = store(linalg.spmm(prepare.transpose(g.adj), output_grad(g, out), g.config.classes), "back")
     dw2 = linalg.gram(h1, back)
     dh1 = linalg.node_transform(back, [list(c) for c in zip(*w2, strict=True)])
     g1 = dh1
@@ -123,28 +154,35 @@ class Adam:
         return out
 
 
-def collect_gradients(g: Graph, w1, w2) -> dict[tuple[int, int, int], float]:
-    """One job for both layers; what comes to the driver has the size of the weights."""
-    dw1, dw2, _ = gradients(g, w1, w2)
+def collect_gradients(g: Graph, w1, w2) -> tuple[dict[tuple[int, int, int], float], DataFrame]:
+    """Both layers' gradients, in one job, and the outputs; what comes to the driver has the size of the weights."""
+    dw1, dw2, out = gradients(g, w1, w2)
     rows = dw1.withColumn("layer", F.lit(1)).unionByName(dw2.withColumn("layer", F.lit(2))).collect()
-    return {(r.layer, r.i, r.j): r.v for r in rows}
+    return {(r.layer, r.i, r.j): r.v for r in rows}, out
 
 
-def train(g: Graph, epochs: int | None = None):
-    """Weights after each step: a list of (w1, w2), the starting ones first."""
+def steps(g: Graph, epochs: int | None = None):
+    """After each step: the new weights (w1, w2) and the outputs of its forward pass, from before the update."""
     w1, w2 = start(g.config)
-    adam, out = Adam(g.config.rate), [(w1, w2)]
+    adam = Adam(g.config.rate)
     for _ in range(g.config.epochs if epochs is None else epochs):
-        new = adam.step({1: w1, 2: w2}, collect_gradients(g, w1, w2))
+        grads, out = collect_gradients(g, w1, w2)
+        new = adam.step({1: w1, 2: w2}, grads)
         w1, w2 = new[1], new[2]
-        out.append((w1, w2))
-    return out
+        yield (w1, w2), out
+
+
+def train(g: Graph, epochs: int | None = None):
+    """Weights after each step: a list of (w1, w2), the starting ones first."""
+    return [start(g.config), *(w for w, _ in steps(g, epochs))]
 
 
 def history(g: Graph, epochs: int) -> DataFrame:
-    """epoch, split, loss, accuracy of the forward pass of each step, before its update."""
+    """run, epoch, split, loss, accuracy of the forward pass of each step, before its update."""
     parts = None
-    for epoch, (w1, w2) in enumerate(train(g, epochs)[:-1], 1):
-        part = losses(g, forward(g, w1, w2)).groupBy("split").agg(F.avg("loss").alias("loss"), F.avg(F.col("hit").cast("double")).alias("accuracy")).withColumn("epoch", F.lit(epoch))
-        parts = part if parts is None else parts.unionByName(part)
+    for run in range(1, g.config.runs + 1):
+        for epoch, (_, out) in enumerate(steps(g, epochs), 1):
+            part = losses(g, out).groupBy("split").agg(F.avg("loss").alias("loss"), F.avg(F.col("hit").cast("double")).alias("accuracy"))
+            part = part.withColumn("epoch", F.lit(epoch)).withColumn("run", F.lit(run))
+            parts = part if parts is None else parts.unionByName(part)
     return parts

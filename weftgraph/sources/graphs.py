@@ -2,10 +2,55 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from .store import store
+
 PRIME = 2147483647
+NODES = "node_id long, x array<double>, y int, split string"
+EDGES = "src long, dst long"
+
+
+def read_graph(spark: SparkSession, nodes_path: str, edges_path: str, edges_format: str = "parquet") -> tuple[DataFrame, DataFrame]:
+    """A user's graph: a Parquet table of nodes (NODES) and one of edges (EDGES), or CSV edges without a header; see checked_graph."""
+    nodes = spark.read.schema(NODES).parquet(nodes_path)
+    return checked_graph(nodes, spark.read.schema(EDGES).format(edges_format).load(edges_path))
+
+
+def checked_graph(nodes: DataFrame, edges: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Nodes and edges (src, dst) whose ids run from 0 to n - 1: as they come, or numbered by rising id where they have gaps.
+
+    Raises ValueError if an id or a feature is null, an id is repeated, or an edge has an
+    end that is no node.
+    """
+    empty = [F.col(c).isNull() for c in nodes.columns if c in ("node_id", "x")]
+    if "x" in nodes.columns:
+        empty.append(F.exists("x", lambda v: v.isNull()))
+    missing = F.count(F.when(F.array_max(F.array(*[F.coalesce(e, F.lit(False)) for e in empty])), 1))
+    low, high, n, distinct, bad = nodes.agg(F.min("node_id"), F.max("node_id"), F.count(F.lit(1)), F.count_distinct("node_id"), missing).first()
+    if bad or edges.where("src IS NULL OR dst IS NULL").take(1):
+        raise ValueError("null ids or features")
+    if distinct < n:
+        raise ValueError("repeated node ids")
+    ends = edges.select(F.explode(F.array("src", "dst")).alias("node_id")).distinct()
+    if ends.join(nodes.select("node_id"), "node_id", "left_anti").take(1):
+        raise ValueError("edges to nodes that aren't there")
+    if not n or (low == 0 and high == n - 1):
+        return nodes, edges.select("src", "dst")
+    number = dense_ids(nodes)
+    a, b = (number.select(F.col("node_id").alias(c), F.col("number").alias(f"_{c}")) for c in ("src", "dst"))
+    edges = edges.select("src", "dst").join(a, "src").join(b, "dst").select(F.col("_src").alias("src"), F.col("_dst").alias("dst"))
+    return nodes.join(number, "node_id").drop("node_id").withColumnRenamed("number", "node_id").select(*nodes.columns), edges
+
+
+def dense_ids(ids: DataFrame) -> DataFrame:
+    """(node_id, number): distinct ids numbered from 0 in rising order, each range of ids in a task of its own."""
+    ranges = store(ids.select("node_id").distinct().repartitionByRange("node_id").withColumn("_range", F.spark_partition_id()), "ids")
+    before = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)  # over a row for each range
+    starts = ranges.groupBy("_range").agg(F.count(F.lit(1)).alias("_n")).select("_range", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))
+    rank = F.row_number().over(Window.partitionBy("_range").orderBy("node_id")) - 1
+    return ranges.withColumn("_rank", rank).join(F.broadcast(starts), "_range").select("node_id", (F.col("_start") + F.col("_rank")).cast("long").alias("number"))
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
