@@ -16,8 +16,6 @@ TEMPLATES = {
     "BSD-3-Clause": "Redistribution and use in source and binary forms, with or without modification, are permitted.",
     "MPL-2.0": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.",
 }
-#: A line that has none of these isn't compared. Every template has at least one.
-MARKS = ["licensed", "license", "licence", "redistribution", "cc"]
 TOKEN = "[^a-z0-9.]+"
 
 
@@ -32,6 +30,9 @@ def line_scores(files: DataFrame, least: float = 0.6) -> DataFrame:
     A term's weight is its count in the line times ln((1 + lines) / (1 + lines with it)) + 1,
     counted over all lines of all files; a word that no template has weighs as one that
     is in no other line. Ties go to the first licence by name.
+
+    Only lines with one of a template's heavy terms are compared: the others' share of the
+    template's norm is below ``least``, and so would be the cosine.
     """
     spark = files.sparkSession
     lines = files.select("path", F.posexplode(F.split("text", "\n")).alias("line", "t")).select("path", "line", _tokens("t").alias("tokens")).where(F.size("tokens") > 0)
@@ -46,7 +47,10 @@ def line_scores(files: DataFrame, least: float = 0.6) -> DataFrame:
     weights = templates.join(idf, "term").select("licence", "term", (F.col("tf") * F.col("idf")).alias("w"))
     weights = weights.withColumn("norm", F.sqrt(F.sum(F.col("w") * F.col("w")).over(Window.partitionBy("licence"))))
 
-    marked = lines.where(F.arrays_overlap("tokens", F.array(*map(F.lit, MARKS)))).select("path", "line", F.explode("tokens").alias("term"))
+    lighter = Window.partitionBy("licence").orderBy("w", "term")
+    rest = F.sqrt(F.sum(F.col("w") * F.col("w")).over(lighter)) / F.col("norm")
+    heavy = sorted({r.term for r in weights.withColumn("rest", rest).where(F.col("rest") >= least - 1e-5).select("term").collect()})  # of the fixed templates
+    marked = lines.where(F.arrays_overlap("tokens", F.array(*map(F.lit, heavy)))).select("path", "line", F.explode("tokens").alias("term"))
     counts = marked.groupBy("path", "line", "term").agg(F.count(F.lit(1)).alias("tf"))
     # all tables below but counts have as many rows as the templates have terms
     vector = counts.join(F.broadcast(idf.select("term", "idf")), "term", "left").crossJoin(F.broadcast(idf.agg(F.max("rest").alias("rest"))))
@@ -83,22 +87,34 @@ def licence_scan(files: DataFrame, least: float = 0.6) -> DataFrame:
     return files.select("path").join(found.withColumn("origin", F.col("path")).unionByName(near), "path", "left")
 
 
+def laid_out(docs: DataFrame) -> DataFrame:
+    """doc_id, path and text: documents have no paths, so they are laid out as source/hundreds/doc_id.txt.
+
+    Ids that end in 4 are licence files of their directory, ids that end in 9 of their
+    source. Null sources are "-", null ids have no path.
+    """
+    source, hundred, name = F.coalesce("source", F.lit("-")), F.floor(F.col("doc_id") / 100).cast("string"), F.col("doc_id").cast("string")
+    last = F.pmod("doc_id", F.lit(10))
+    licence = F.concat(F.lit("LICENSE."), name)
+    path = F.when(last == 9, F.concat_ws("/", source, licence)).when(last == 4, F.concat_ws("/", source, hundred, licence))
+    path = path.otherwise(F.concat_ws("/", source, hundred, F.concat(name, F.lit(".txt"))))
+    return docs.select("doc_id", F.when(F.col("doc_id").isNotNull(), path).alias("path"), "text")
+
+
 def op3_licence_scan(spark, sf_dir: str) -> DataFrame:
-    """Licences of all documents. They have no paths, so they are laid out as source/hundreds/doc_id.txt; every hundredth is its directory's LICENSE."""
-    docs = documents(spark, sf_dir)
-    name = F.when(F.col("doc_id") % 100 == 0, "LICENSE").otherwise(F.concat(F.col("doc_id").cast("string"), F.lit(".txt")))
-    path = F.concat_ws("/", F.coalesce("source", F.lit("-")), F.floor(F.col("doc_id") / 100).cast("string"), name)
-    paths = docs.select("doc_id", path.alias("path"), "text")
+    """Licences of all documents, which are laid out in directories by laid_out."""
+    paths = laid_out(documents(spark, sf_dir))
     return paths.select("doc_id", "path").join(licence_scan(paths.select("path", "text")).dropDuplicates(["path"]), "path", "left")
 
 
 OP3_SQL = r"""
 WITH templates(licence, t) AS (VALUES %s),
 files AS (
-  SELECT doc_id, text, concat_ws('/', coalesce(source, '-'), (doc_id // 100)::VARCHAR,
-         CASE WHEN doc_id %% 100 = 0 THEN 'LICENSE' ELSE doc_id::VARCHAR || '.txt' END) AS path FROM documents
+  SELECT doc_id, text, CASE WHEN doc_id IS NULL THEN NULL ELSE coalesce(source, '-') || '/' || CASE doc_id %% 10
+           WHEN 9 THEN 'LICENSE.' || doc_id WHEN 4 THEN (doc_id // 100) || '/LICENSE.' || doc_id ELSE (doc_id // 100) || '/' || doc_id || '.txt' END END AS path
+  FROM documents
 ), split_lines AS (
-  SELECT path, unnest(string_split(text, chr(10))) AS t, unnest(range(len(string_split(text, chr(10))))) AS line FROM files
+  SELECT path, unnest(string_split(text, chr(10))) AS t, unnest(range(len(string_split(text, chr(10))))) AS line FROM files WHERE path IS NOT NULL
 ), lines AS (
   SELECT path, line, list_filter(regexp_split_to_array(regexp_replace(regexp_replace(lower(t), '\.([^0-9])', ' \1', 'g'), '\.$', ' '), '[^a-z0-9.]+'), lambda x: x <> '') AS tokens FROM split_lines
 ), used AS (SELECT * FROM lines WHERE len(tokens) > 0
@@ -114,9 +130,7 @@ files AS (
 ), w AS (
   SELECT licence, term, tf * idf AS w, sqrt(sum(tf * idf * tf * idf) OVER (PARTITION BY licence)) AS norm FROM tt JOIN idf USING (term)
 ), counts AS (
-  SELECT path, line, term, count(*) AS tf FROM (
-    SELECT path, line, unnest(tokens) AS term FROM used WHERE list_has_any(tokens, ['licensed', 'license', 'licence', 'redistribution', 'cc'])
-  ) GROUP BY ALL
+  SELECT path, line, term, count(*) AS tf FROM (SELECT path, line, unnest(tokens) AS term FROM used) GROUP BY ALL
 ), vec AS (
   SELECT path, line, term, tf * coalesce(idf, ln((1.0 + lines) / 2) + 1) AS v FROM counts LEFT JOIN idf USING (term), n
 ), norms AS (SELECT path, line, sqrt(sum(v * v)) AS own FROM vec GROUP BY ALL
@@ -126,10 +140,13 @@ files AS (
   SELECT path, licence, score FROM scores WHERE score >= 0.6
   QUALIFY row_number() OVER (PARTITION BY path ORDER BY score DESC, licence) = 1
 ), declared AS (
-  SELECT path[:-9] AS dir, licence, score FROM found WHERE path LIKE '%%/LICENSE'
+  SELECT regexp_replace(path, '/[^/]*$', '') AS dir, arg_min(licence, path) AS licence, arg_min(score, path) AS score
+  FROM found WHERE regexp_matches(path, '/LICENSE[^/]*$') GROUP BY 1
 ), own AS (
-  SELECT doc_id, files.path, licence, score, CASE WHEN licence IS NOT NULL THEN files.path END AS origin FROM files LEFT JOIN found USING (path)
+  SELECT doc_id, f.path, licence, score, regexp_replace(f.path, '/[^/]*$', '') AS near, split_part(f.path, '/', 1) AS far
+  FROM files f LEFT JOIN found USING (path)
 )
-SELECT doc_id, path, coalesce(own.licence, d.licence) AS licence, coalesce(own.score, d.score) AS score, coalesce(origin, d.dir) AS origin
-FROM own LEFT JOIN declared d ON own.licence IS NULL AND d.dir = own.path[:length(own.path) - strpos(reverse(own.path), '/')]
+SELECT doc_id, path, coalesce(own.licence, a.licence, b.licence) AS licence, coalesce(own.score, a.score, b.score) AS score,
+       CASE WHEN own.licence IS NOT NULL THEN path ELSE coalesce(a.dir, b.dir) END AS origin
+FROM own LEFT JOIN declared a ON own.licence IS NULL AND a.dir = near LEFT JOIN declared b ON own.licence IS NULL AND b.dir = far
 """ % ", ".join(f"('{k}', '{t}')" for k, t in TEMPLATES.items())
