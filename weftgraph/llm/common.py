@@ -95,7 +95,10 @@ def split_words(texts: pa.Array, lower: bool = False) -> tuple[np.ndarray, np.nd
 
 
 def chunks(batches, column: str, most: int = 8_000_000):
-    """Slices of Arrow batches that hold about ``most`` bytes of ``column`` at most, one row at least."""
+    """Slices of Arrow batches that hold about ``most`` bytes of ``column`` at most, one row at least.
+
+    After the last one, Arrow gives back the memory that it keeps: Spark's Python workers live on.
+    """
     for batch in batches:
         sizes = pc.fill_null(pc.binary_length(batch.column(batch.schema.get_field_index(column))), 0).to_numpy(zero_copy_only=False)
         start, total = 0, 0
@@ -106,3 +109,4 @@ def chunks(batches, column: str, most: int = 8_000_000):
             total += int(n)
         if start < batch.num_rows:
             yield batch.slice(start)
+    pa.default_memory_pool().release_unused()
