@@ -589,6 +589,24 @@ def test_repeated_passages(spark, docs, batches):
     assert sum(v[1] for v in want.values()) > 100
 
 
+def test_index_is_opened_again(spark, docs, tmp_path):
+    rows = docs.where("doc_id IS NOT NULL").orderBy("doc_id").collect()
+    parts = [spark.createDataFrame(rows[i : i + 12], docs.schema) for i in range(0, len(rows), 12)]
+    index = substrings.FingerprintIndex(spark, buckets=8, path=f"{tmp_path}/index")
+    hits = index.add(parts[0])
+    for i, part in enumerate(parts[1:], 1):
+        for run in index.runs:
+            spark.sql(f"DROP TABLE {run}")  # as in a session that has never seen it; the files stay
+        index = substrings.FingerprintIndex.opened(spark, f"{tmp_path}/index", docs.where(F.col("doc_id") < part.agg(F.min("doc_id")).first()[0]))
+        assert index.version >= i and (index.words, index.buckets) == (13, 8)
+        if i % 2 == 0:
+            index.compact()
+            assert len(index.runs) == 1
+        hits = hits.unionByName(index.add(part))
+    out = {r.doc_id: (r.n_words, r.n_removed, r.kept_sha256) for r in substrings.cut_out(docs, hits).collect()}
+    assert len(parts) > 3 and out == brute_passages(docs.collect())
+
+
 def test_repeated_passages_of_nothing(spark, empty):
     assert substrings.without_repeats(empty).count() == 0
     one = spark.createDataFrame([(None, "a b"), (1, None)], "doc_id long, text string")

@@ -22,6 +22,8 @@ from .neardup import gram_hashes, word_hashes
 #: In a row's place: all windows of a text, or KNOWN - place of a window that is known to go.
 WHOLE, KNOWN = -1, -2
 
+MANIFEST = "version int, place int, run string, words int, gram int, buckets int, fan int"
+
 
 def window_anchors(g: np.ndarray, span: int) -> np.ndarray:
     """For each window of ``span`` consecutive hashes the place of the smallest, of equal ones the rightmost."""
@@ -72,30 +74,57 @@ class Windows:
 
 
 class FingerprintIndex:
-    """Windows of all documents that were added so far.
+    """Windows of all documents that were added so far, kept in a folder.
+
+    ``path`` is a folder that driver and executors share, by default a new one below the
+    shared folder. It holds the runs and a manifest, to which every change appends a
+    version that names the runs which count from then on; a write that fails leaves the
+    version before it. ``opened`` goes on from the last version, in any later session.
+    ``fan`` runs are compacted into one before the next batch is joined with it.
 
-    ``buckets`` and the sizes hold for the life of an index. ``fan`` runs are compacted
-    into one. The documents that were added are read again to verify what is shared, so
-    they have to stay where they were read from.
+    The documents that were added are read again to verify what is shared, so their table
+    has to stay: an index that is opened gets it as ``texts`` (doc_id, text; further rows
+    do no harm as long as their ids aren't in the index).
     """
 
-    def __init__(self, spark: SparkSession, words: int = 13, gram: int = 6, buckets: int = 64, fan: int = 4):
+    def __init__(self, spark: SparkSession, words: int = 13, gram: int = 6, buckets: int = 64, fan: int = 4, path: str | None = None):
         self.spark, self.words, self.gram, self.buckets, self.fan = spark, words, gram, buckets, fan
+        self.path = path or f"{shared_dir(spark)}/tables/index-{uuid.uuid4().hex}"
         self.runs: list[str] = []
+        self.version = 0
         self.texts: DataFrame | None = None
 
+    @classmethod
+    def opened(cls, spark: SparkSession, path: str, texts: DataFrame) -> FingerprintIndex:
+        """The index that was kept in ``path``, with the documents that were added to it."""
+        manifest = spark.read.schema(MANIFEST).parquet(f"{path}/manifest")
+        last = manifest.where(F.col("version") == manifest.agg(F.max("version")).first()[0]).orderBy("place").collect()  # one row for each run
+        index = cls(spark, last[0].words, last[0].gram, last[0].buckets, last[0].fan, path)
+        index.runs, index.version = [r.run for r in last], last[0].version
+        for run in index.runs:
+            layout = f"CLUSTERED BY (h) SORTED BY (h, doc_id) INTO {index.buckets} BUCKETS"
+            spark.sql(f"CREATE TABLE IF NOT EXISTS {run} (h BIGINT, doc_id BIGINT) USING parquet {layout} LOCATION '{path}/{run}'")
+        index.texts = texts.select(F.col("doc_id").cast("long"), "text").where("doc_id IS NOT NULL")
+        return index
+
     def _write(self, rows: DataFrame) -> str:
         name = f"run_{uuid.uuid4().hex}"
         with shuffles_removed(self.spark):
-            rows.write.bucketBy(self.buckets, "h").sortBy("h", "doc_id").option("path", f"{shared_dir(self.spark)}/tables/{name}").saveAsTable(name)
+            rows.write.bucketBy(self.buckets, "h").sortBy("h", "doc_id").option("path", f"{self.path}/{name}").saveAsTable(name)
         return name
 
+    def _keep(self, runs: list[str]) -> None:
+        """From now on the index consists of ``runs``."""
+        rows = [(self.version + 1, i, run, self.words, self.gram, self.buckets, self.fan) for i, run in enumerate(runs)]
+        self.spark.createDataFrame(rows, MANIFEST).coalesce(1).write.mode("append").parquet(f"{self.path}/manifest")
+        self.runs, self.version = runs, self.version + 1
+
     def compact(self) -> None:
         """Merges all runs into one. They are bucketed alike, so nothing is shuffled."""
         merged = self.spark.table(self.runs[0])
         for name in self.runs[1:]:
             merged = merged.join(self.spark.table(name), ["h", "doc_id"], "full_outer")
-        self.runs = [self._write(merged)]
+        self._keep([self._write(merged)])
 
     def add(self, docs: DataFrame) -> DataFrame:
         """Adds a batch (doc_id, text) and returns (doc_id, at): starts of its windows that a smaller doc_id has too.
@@ -113,6 +142,8 @@ class FingerprintIndex:
                 doc, anchor = Windows(batch.column(1), words, gram).anchors()
                 yield pa.RecordBatch.from_arrays([pa.array(anchor), batch.column(0).take(pa.array(doc))], ["h", "doc_id"])
 
+        if len(self.runs) >= self.fan:
+            self.compact()
         found = docs.mapInArrow(anchors, "h long, doc_id long")
         run = self._write(found.repartition(self.buckets, "h"))
         new = self.spark.table(run)
@@ -178,41 +209,16 @@ class FingerprintIndex:
         dealt = windows.repartition(F.col("w"), F.col("c")).sortWithinPartitions("w", "c", "doc_id")
         hits = dealt.mapInArrow(repeated, "doc_id long, at int")
         hits = materialise(hits.groupBy("doc_id").agg(F.collect_list("at").alias("at")), "repeats")
-        self.runs.append(run)
+        self._keep([*self.runs, run])
         hits = hits if self.texts is None else hits.join(docs.select("doc_id").distinct(), "doc_id", "left_semi")
         self.texts = texts
-        if len(self.runs) >= self.fan:
-            self.compact()
         return hits
 
 
-def without_repeats(docs: DataFrame, words: int = 13, batches: int = 2) -> DataFrame:
-    """doc_id, n_words, n_removed, kept_text and kept_sha256 of every row: its text without repeated passages.
-
-    A word goes if a window of ``words`` consecutive words that covers it also starts in a
-    document with a smaller doc_id. Windows are those of the input, not of what is left;
-    words are compared as they are, and kept ones are joined by one space. The documents
-    are added to an index in ``batches`` ranges of doc_id, smallest first.
-
-    Null or empty text: no words, the hash of the empty string. Texts shorter than a
-    window lose nothing. Rows with null doc_id lose nothing. Rows that repeat a doc_id are
-    one document: they don't remove each other's words. Empty table: empty result. Other
-    columns are ignored.
-    """
-    spark = docs.sparkSession
-    docs = docs.select(F.col("doc_id").cast("long"), "text")
-    low, high, n = docs.agg(F.min("doc_id"), F.max("doc_id"), F.count(F.lit(1))).first()
-    index = FingerprintIndex(spark, words, buckets=max(16, 1 << (n // 4000).bit_length()))
-    cuts = sorted({low + (high - low + 1) * i // batches for i in range(batches)}) if low is not None else []
-    hits = None
-    for i, cut in enumerate(cuts):
-        batch = docs.where(F.col("doc_id") >= cut)
-        found = index.add(batch.where(F.col("doc_id") < cuts[i + 1]) if i + 1 < len(cuts) else batch)
-        hits = found if hits is None else hits.unionByName(found)
-    if len(index.runs) > 1:
-        index.compact()
+def cut_out(docs: DataFrame, hits: DataFrame, words: int = 13) -> DataFrame:
+    """doc_id, n_words, n_removed, kept_text and kept_sha256 of every row, without the windows of ``words`` words that ``hits`` (doc_id, at) lists."""
 
-    def cut_out(batches):
+    def cut(batches):
         for batch in chunks(batches, "text"):
             codes, starts, vocab = split_words(batch.column(1))
             entries = vocab.to_pylist()
@@ -235,8 +241,33 @@ def without_repeats(docs: DataFrame, words: int = 13, batches: int = 2) -> DataF
             )
 
     fields = "doc_id long, n_words long, n_removed long, kept_text string, kept_sha256 string"
-    rows = docs.withColumn("at", F.lit(None).cast("array<int>")) if hits is None else docs.join(hits, "doc_id", "left").select("doc_id", "text", "at")
-    return rows.mapInArrow(cut_out, fields)
+    return docs.select(F.col("doc_id").cast("long"), "text").join(hits, "doc_id", "left").select("doc_id", "text", "at").mapInArrow(cut, fields)
+
+
+def without_repeats(docs: DataFrame, words: int = 13, batches: int = 3) -> DataFrame:
+    """doc_id, n_words, n_removed, kept_text and kept_sha256 of every row: its text without repeated passages.
+
+    A word goes if a window of ``words`` consecutive words that covers it also starts in a
+    document with a smaller doc_id. Windows are those of the input, not of what is left;
+    words are compared as they are, and kept ones are joined by one space. The documents
+    are added to an index in ``batches`` ranges of doc_id, smallest first; its runs are
+    compacted before the third and every later one.
+
+    Null or empty text: no words, the hash of the empty string. Texts shorter than a
+    window lose nothing. Rows with null doc_id lose nothing. Rows that repeat a doc_id are
+    one document: they don't remove each other's words. Empty table: empty result. Other
+    columns are ignored.
+    """
+    spark = docs.sparkSession
+    docs = docs.select(F.col("doc_id").cast("long"), "text")
+    low, high, n = docs.agg(F.min("doc_id"), F.max("doc_id"), F.count(F.lit(1))).first()
+    index = FingerprintIndex(spark, words, buckets=max(16, 1 << (n // 4000).bit_length()), fan=2)
+    cuts = sorted({low + (high - low + 1) * i // batches for i in range(batches)}) if low is not None else []
+    hits = spark.createDataFrame([], "doc_id long, at array<int>")
+    for i, cut in enumerate(cuts):
+        batch = docs.where(F.col("doc_id") >= cut)
+        hits = hits.unionByName(index.add(batch.where(F.col("doc_id") < cuts[i + 1]) if i + 1 < len(cuts) else batch))
+    return cut_out(docs, hits, words)
 
 
 def op10_substring_dedup(spark, sf_dir: str) -> DataFrame:
