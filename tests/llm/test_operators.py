@@ -13,7 +13,7 @@ import xxhash
 from pyspark.sql import functions as F
 
 from weftgraph.llm import buckets, fertility, gru, langid, licences, linededup, lmscore, mixing, neardup, packing, substrings, winnowing
-from weftgraph.llm.common import materialise, split_words
+from weftgraph.llm.common import materialise, settings, split_words
 from weftgraph.llm.components import components
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -607,6 +607,15 @@ def test_index_is_opened_again(spark, docs, tmp_path):
     assert len(parts) > 3 and out == brute_passages(docs.collect())
 
 
+def test_runs_are_merged_as_they_are_stored(spark, docs):
+    index = substrings.FingerprintIndex(spark, buckets=8)
+    for part in ("doc_id < 50", "doc_id >= 50"):
+        index.add(docs.where(part))
+    with settings(spark, substrings.AS_STORED | {"spark.sql.autoBroadcastJoinThreshold": "-1"}):
+        plan = index._merged()._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Exchange" not in plan and "Sort [" not in plan
+
+
 def test_repeated_passages_of_nothing(spark, empty):
     assert substrings.without_repeats(empty).count() == 0
     one = spark.createDataFrame([(None, "a b"), (1, None)], "doc_id long, text string")

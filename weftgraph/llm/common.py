@@ -29,15 +29,21 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 @contextmanager
-def shuffles_removed(spark: SparkSession):
-    """While it holds, Spark removes an execution's shuffle files when the execution ends."""
-    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
-    before = spark.conf.get(key, None)
-    spark.conf.set(key, "true")
+def settings(spark: SparkSession, values: dict[str, str]):
+    """While it holds, the session has these settings."""
+    before = {key: spark.conf.get(key, None) for key in values}
+    for key, value in values.items():
+        spark.conf.set(key, value)
     try:
         yield
     finally:
-        spark.conf.unset(key) if before is None else spark.conf.set(key, before)
+        for key, value in before.items():
+            spark.conf.unset(key) if value is None else spark.conf.set(key, value)
+
+
+def shuffles_removed(spark: SparkSession):
+    """While it holds, Spark removes an execution's shuffle files when the execution ends."""
+    return settings(spark, {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true"})
 
 
 def materialise(df: DataFrame, label: str) -> DataFrame:

@@ -15,13 +15,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import chunks, documents, materialise, shared_dir, shuffles_removed, split_words
+from .common import chunks, documents, materialise, settings, shared_dir, shuffles_removed, split_words
 from .neardup import gram_hashes, word_hashes
 
 
 #: In a row's place: all windows of a text, or KNOWN - place of a window that is known to go.
 WHOLE, KNOWN = -1, -2
 
+#: Runs hold one sorted file a bucket: joins take their order as it is, and their buckets do for joins by more columns than the bucket's.
+AS_STORED = {"spark.sql.legacy.bucketedTableScan.outputOrdering": "true", "spark.sql.requireAllClusterKeysForCoPartition": "false"}
+
 MANIFEST = "version int, place int, run string, words int, gram int, buckets int, fan int"
 
 
@@ -109,7 +112,7 @@ class FingerprintIndex:
 
     def _write(self, rows: DataFrame) -> str:
         name = f"run_{uuid.uuid4().hex}"
-        with shuffles_removed(self.spark):
+        with shuffles_removed(self.spark), settings(self.spark, AS_STORED):
             rows.write.bucketBy(self.buckets, "h").sortBy("h", "doc_id").option("path", f"{self.path}/{name}").saveAsTable(name)
         return name
 
@@ -120,11 +123,14 @@ class FingerprintIndex:
         self.runs, self.version = runs, self.version + 1
 
     def compact(self) -> None:
-        """Merges all runs into one. They are bucketed alike, so nothing is shuffled."""
+        """Merges all runs into one. They are bucketed and sorted alike, so nothing is shuffled, nor sorted before it is merged."""
+        self._keep([self._write(self._merged())])
+
+    def _merged(self) -> DataFrame:
         merged = self.spark.table(self.runs[0])
         for name in self.runs[1:]:
             merged = merged.join(self.spark.table(name), ["h", "doc_id"], "full_outer")
-        self._keep([self._write(merged)])
+        return merged
 
     def add(self, docs: DataFrame) -> DataFrame:
         """Adds a batch (doc_id, text) and returns (doc_id, at): starts of its windows that a smaller doc_id has too.
@@ -208,7 +214,8 @@ class FingerprintIndex:
         # equal windows meet in one task in order of doc_id, and stream through it
         dealt = windows.repartition(F.col("w"), F.col("c")).sortWithinPartitions("w", "c", "doc_id")
         hits = dealt.mapInArrow(repeated, "doc_id long, at int")
-        hits = materialise(hits.groupBy("doc_id").agg(F.collect_list("at").alias("at")), "repeats")
+        with settings(self.spark, AS_STORED):
+            hits = materialise(hits.groupBy("doc_id").agg(F.collect_list("at").alias("at")), "repeats")
         self._keep([*self.runs, run])
         hits = hits if self.texts is None else hits.join(docs.select("doc_id").distinct(), "doc_id", "left_semi")
         self.texts = texts
