@@ -129,16 +129,17 @@ def best_fit(lengths: list[int], size: int) -> list[list[int]]:
 def _exchange(low: list[int], high: list[int], room: int, n: list[int]) -> tuple[list[int], list[int]] | None:
     """What to give from the emptier bin and take from the fuller one so that the fuller one gains most, at most ``room``."""
     best, gain = None, 0
-    gives = [[i] for i in low] + [[i, j] for k, i in enumerate(low) for j in low[k + 1 :]]
-    takes = sorted([(0, [])] + [(n[i], [i]) for i in high] + [(n[i] + n[j], [i, j]) for k, i in enumerate(high) for j in high[k + 1 :]])
-    sums = [x[0] for x in takes]
-    for give in gives:
+    pair_up = lambda items: [[i, j] for k, i in enumerate(items) for j in items[k + 1 :]]
+    singles = sorted((n[i], [i]) for i in high)
+    pairs = sorted((n[i] + n[j], [i, j]) for i, j in pair_up(high))
+    takes = [[(0, []), *singles], pairs]
+    sums = [[x[0] for x in found] for found in takes]
+    for give in [[i] for i in low] + pair_up(low):
         total = sum(n[i] for i in give)
-        at = bisect.bisect_left(sums, total - room)  # the least that makes enough room
-        for found in takes[at : at + 8]:
-            if len(give) + len(found[1]) <= 3 and total > found[0] and (g := total - found[0]) > gain:
-                best, gain = (give, found[1]), g
-                break
+        for found, own in list(zip(takes, sums, strict=True))[: 3 - len(give)]:
+            at = bisect.bisect_left(own, total - room)  # the least that makes enough room
+            if at < len(own) and (g := total - own[at]) > gain:
+                best, gain = (give, found[at][1]), g
     return best
 
 
