@@ -1,8 +1,11 @@
 """Each operator against brute force on a small table with nulls, empty, short and long texts, ties, copies and extra columns."""
 
 import hashlib
+import itertools
 import math
+import random
 import re
+import textwrap
 import zlib
 from collections import Counter, defaultdict
 
@@ -58,7 +61,6 @@ def test_components(spark):
 
 
 def test_language_id(spark, make):
-    import random
 
     from tests.llm.conftest import FREMD
 
@@ -141,6 +143,72 @@ def test_licences(spark):
     assert licences.licence_scan(spark.createDataFrame([], "path string, text string")).count() == 0
 
 
+def test_headers_and_licence_files(spark, make):
+    def wrapped(text, mark, width):
+        lines = textwrap.wrap(text, width)
+        return "\n".join(f"{mark} {x}".rstrip() if x else mark for y in (lines[:2], [""], lines[2:]) for x in y)
+
+    rng, files, expected = random.Random(4), [], {}
+    for licence, texts in licences.TEMPLATES.items():
+        for k, text in enumerate(texts):
+            for mark, width in (("#", 50), (" *", 72), ("//", 90)):
+                path = f"{licence}/{k}/{width}/code.x"
+                files.append((path, "\n".join(["/*", wrapped(text, mark, width)] if mark == " *" else [wrapped(text, mark, width)]) + "\n" + make.prose(rng, 300)))
+                expected[path] = licence
+            path = f"whole/{licence}{k}/LICENSE.md"
+            files.append((path, "\n\n".join(["The licence", "Copyright (c) 2020 Some One", *textwrap.wrap(text, 300)])))
+            expected[path] = licence
+            files.append((f"whole/{licence}{k}/deep/er/main.x", make.prose(rng, 50)))
+            expected[files[-1][0]] = licence
+    files += [(f"clean/{i}", "\n".join(make.prose(rng, 12) for _ in range(9))) for i in range(40)]
+    out = {r.path: r for r in licences.licence_scan(spark.createDataFrame(files, "path string, text string")).collect()}
+    assert {p: out[p].licence for p in expected} == expected
+    assert all(out[p].origin == (p.rsplit("/", 3)[0] if p.endswith("main.x") else p) for p in expected)
+    assert all(out[p].licence is None for p, _ in files if p.startswith("clean"))
+
+
+def test_cosine_of_every_unit(spark):
+    """Brute force over all lines, blocks and whole files, without the choice by rare terms."""
+    rng = random.Random(9)
+    terms = sorted({w for texts in licences.TEMPLATES.values() for t in texts for w in own_tokens(t)})
+    files = []
+    for i in range(60):
+        lines = []
+        for _ in range(rng.randrange(1, 9)):
+            lines.append(rng.choice(["", "# ", " * ", "  ", "// "]) + " ".join(rng.choice(terms if rng.random() < 0.8 else ["stone", "river", "2.0."]) for _ in range(rng.randrange(0, 9))))
+        texts = rng.choice(rng.choice(list(licences.TEMPLATES.values()))).split()
+        cut = rng.randrange(len(texts))
+        files.append((f"d{i}/" + ("LICENSE" if i % 3 else "f"), "\n".join([*lines, " ".join(texts[cut // 2 : cut + 4]), *lines[:2]])))
+    out = {r.path: (r.licence, r.score) for r in licences.unit_scores(spark.createDataFrame(files, "path string, text string"), 0.5).collect()}
+    every = [own_tokens(x) for _, t in files for x in t.split("\n") if own_tokens(x)]
+    df = Counter(w for x in every for w in set(x))
+    weight = lambda w: math.log((1 + len(every)) / (1 + (df[w] if w in terms else 1))) + 1
+    vector = lambda x: {w: c * weight(w) for w, c in Counter(x).items()}
+    templates = [(k, vector(own_tokens(t))) for k, texts in licences.TEMPLATES.items() for t in texts]
+    length = lambda v: math.sqrt(sum(x * x for x in v.values()))
+    marked = re.compile(licences.COMMENT)
+    for path, text in files:
+        units, block, before = [own_tokens(x) for x in text.split("\n")], [], False
+        if path.endswith("LICENSE"):
+            units.append(own_tokens(text))
+        for x in text.split("\n"):
+            if not x.strip() or (before and not marked.match(x)):
+                units.append(block)
+                block = []
+            block, before = block + own_tokens(x), bool(marked.match(x))
+        units.append(block)
+        best = min((-round(sum(u[w] * t.get(w, 0) for w in u) / length(u) / length(t), 6), k) for u in map(vector, filter(None, units)) for k, t in templates)
+        if -best[0] >= 0.5:
+            assert out[path][0] == best[1] and abs(out[path][1] + best[0]) < 2e-6
+        else:
+            assert path not in out
+    assert len(out) > 20
+
+
+def own_tokens(text):
+    return [w for w in re.split("[^a-z0-9.]+", re.sub(r"\.(?=[^0-9]|$)", " ", text.lower())) if w]
+
+
 # 4
 
 
@@ -289,6 +357,19 @@ def test_local_search_empties_bins():
     assert all(sum(n[i] for i in b) <= 10 for b in out) and len(out) < len(start)
 
 
+def test_the_best_allowed_exchange_is_found():
+    rng = random.Random(5)
+    for _ in range(200):
+        n = [rng.randrange(1, 60) for _ in range(rng.randrange(3, 14))]
+        low, high = list(range(len(n) // 3)), list(range(len(n) // 3, len(n)))
+        room = rng.randrange(1, 30)
+        some = lambda items, k: [c for r in k for c in itertools.combinations(items, r)]
+        gains = [sum(n[i] for i in g) - sum(n[i] for i in t) for g in some(low, (1, 2)) for t in some(high, (0, 1, 2)) if len(g) + len(t) <= 3]
+        best = max((g for g in gains if 0 < g <= room), default=None)
+        found = packing._exchange(low, high, room, n)
+        assert (found and sum(n[i] for i in found[0]) - sum(n[i] for i in found[1])) == best
+
+
 def test_groups_of_pieces_meet_again(spark):
     rows = [(i, 0, 0, 10 + i % 50, i, i) for i in range(400)]
     pieces = spark.createDataFrame(rows, "doc_id long, piece int, start long, length long, ids_crc32 long, salt long")
@@ -393,7 +474,6 @@ def near_lines(make, rng):
 
 
 def test_similar_lines_share_a_key(make):
-    import random
 
     pairs = near_lines(make, random.Random(12))
     codes, starts, vocab, per_word = linededup.line_words(pa.array([x for p in pairs for x in p]))
@@ -406,7 +486,6 @@ def test_similar_lines_share_a_key(make):
 
 
 def test_line_dedup(spark, make, empty):
-    import random
 
     rng = random.Random(11)
     base = [make.prose(rng, 30) for _ in range(4)]
@@ -490,7 +569,6 @@ def test_near_duplicates(spark, docs, empty, k, percent):
 
 
 def test_crowds_of_near_copies(spark, make):
-    import random
 
     rng = random.Random(2)
     base = make.prose(rng, 80).split()

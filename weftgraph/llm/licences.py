@@ -1,22 +1,87 @@
-"""Licence scans: TF-IDF cosine of header lines and licence files to templates, then inheritance from the nearest directory."""
+"""Licence scans: TF-IDF cosine of headers and licence files to templates, then inheritance from the nearest directory."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import documents
+from .common import documents, materialise
 
-#: Short licence notices by SPDX id.
+_AS_IS = """THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE
+WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS"""
+
+_BSD_START = """Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:
+1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.
+2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer
+in the documentation and/or other materials provided with the distribution.
+"""
+
+_BSD_END = """THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES,
+INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED.
+IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR
+CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS;
+OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING
+NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE."""
+
+_GNU_HEADER = """This program is free software: you can redistribute it and/or modify it under the terms of the GNU %s General Public License as published by
+the Free Software Foundation, either version 3 of the License, or (at your option) any later version.
+This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of
+MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU %s General Public License for more details.
+You should have received a copy of the GNU %s General Public License along with this program. If not, see <https://www.gnu.org/licenses/>."""
+
+#: Licence notices, file headers and short licences as published, by SPDX id.
 TEMPLATES = {
-    "Apache-2.0": "Licensed under the Apache License, Version 2.0.",
-    "MIT": "Released under the MIT License.",
-    "GPL-3.0": "This work is licensed under the GNU General Public License, version 3.",
-    "CC-BY-NC-4.0": "Licensed under CC BY-NC 4.0.",
-    "BSD-3-Clause": "Redistribution and use in source and binary forms, with or without modification, are permitted.",
-    "MPL-2.0": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.",
+    "Apache-2.0": [
+        "Licensed under the Apache License, Version 2.0.",
+        """Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License.
+You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0
+Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an "AS IS" BASIS,
+WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions
+and limitations under the License.""",
+    ],
+    "MIT": [
+        "Released under the MIT License.",
+        """Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files
+(the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish,
+distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to
+the following conditions:
+The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.
+"""
+        + _AS_IS
+        + """ OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE,
+ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.""",
+    ],
+    "GPL-3.0": ["This work is licensed under the GNU General Public License, version 3.", _GNU_HEADER.replace("%s ", "")],
+    "LGPL-3.0": [_GNU_HEADER.replace("%s", "Lesser")],
+    "AGPL-3.0": [_GNU_HEADER.replace("%s", "Affero")],
+    "CC-BY-NC-4.0": ["Licensed under CC BY-NC 4.0."],
+    "BSD-2-Clause": [_BSD_START + _BSD_END],
+    "BSD-3-Clause": [
+        "Redistribution and use in source and binary forms, with or without modification, are permitted.",
+        _BSD_START
+        + """3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived
+from this software without specific prior written permission.
+"""
+        + _BSD_END,
+    ],
+    "ISC": [
+        """Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that
+the above copyright notice and this permission notice appear in all copies.
+THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF
+MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY
+DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION,
+ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE."""
+    ],
+    "MPL-2.0": [
+        "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.",
+        """This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.
+If a copy of the MPL was not distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/.""",
+    ],
 }
 TOKEN = "[^a-z0-9.]+"
+#: How a comment line begins, and the names of licence files.
+COMMENT = r"[ \t]*(?:#|//|/\*|\*|--|;|%|<!--)"
+LICENCE_FILE = r"^(LICENSE|LICENCE|COPYING)(\..*)?$"
 
 
 def _tokens(text):
@@ -24,59 +89,81 @@ def _tokens(text):
     return F.filter(F.split(plain, TOKEN), lambda x: x != "")
 
 
-def line_scores(files: DataFrame, least: float = 0.6) -> DataFrame:
-    """(path, licence, score): the best template of each file's lines, if its cosine is at least ``least``.
+def _blocks(text):
+    """Runs of lines without a blank one; where comment lines end, a run ends too."""
+    return F.split(F.regexp_replace(text, rf"(?md)^({COMMENT}.*)\n(?!{COMMENT})", "$1\n\n"), r"\n[ \t\r]*\n")
 
-    A term's weight is its count in the line times ln((1 + lines) / (1 + lines with it)) + 1,
-    counted over all lines of all files; a word that no template has weighs as one that
-    is in no other line. Ties go to the first licence by name.
 
-    Only lines with one of a template's heavy terms are compared: the others' share of the
+def unit_scores(files: DataFrame, least: float = 0.6, templates: dict[str, list[str]] = TEMPLATES) -> DataFrame:
+    """(path, licence, score): the best template of each file's units, if its cosine is at least ``least``.
+
+    Units are a file's lines, its blocks (runs of lines without a blank one, such as a
+    header's comment) and, of licence files, the whole text. A term's weight is its
+    count in the unit times ln((1 + lines) / (1 + lines with it)) + 1, counted over all lines
+    of all files; a word that no template has weighs as one that is in no other line. Ties
+    go to the first licence by name.
+
+    Only units with a rare term of a template are compared: the other terms' share of the
     template's norm is below ``least``, and so would be the cosine.
     """
     spark = files.sparkSession
-    lines = files.select("path", F.posexplode(F.split("text", "\n")).alias("line", "t")).select("path", "line", _tokens("t").alias("tokens")).where(F.size("tokens") > 0)
-    rows = [(k, t) for k, t in TEMPLATES.items()]
-    templates = spark.createDataFrame(rows, "licence string, t string").select("licence", F.explode(_tokens("t")).alias("term")).groupBy("licence", "term").agg(F.count(F.lit(1)).alias("tf"))
-    terms = sorted(r.term for r in templates.select("term").distinct().collect())  # of the fixed templates
+    blocks = files.select("path", F.xxhash64("text").alias("h"), F.posexplode(_blocks(F.col("text"))).alias("block", "t"))
+    blocks = blocks.select("path", "h", "block", F.transform(F.split("t", "\n"), _tokens).alias("lines"))
+    rows = [(k, n, t) for k, texts in templates.items() for n, t in enumerate(texts)]
+    tf = spark.createDataFrame(rows, "licence string, n int, t string").select("licence", "n", F.explode(_tokens("t")).alias("term")).groupBy("licence", "n", "term").agg(F.count(F.lit(1)).alias("tf"))
+    terms = sorted(r.term for r in tf.select("term").distinct().collect())  # of the fixed templates
     known = F.array(*map(F.lit, terms))
-    df = lines.select(F.explode(F.array_intersect("tokens", known)).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    total = lines.agg(F.count(F.lit(1)).alias("lines"))
+    # a term's lines, and as the empty term all lines that have any
+    df = blocks.select(F.explode("lines").alias("tokens")).where(F.size("tokens") > 0)
+    df = materialise(df.select(F.explode(F.array_append(F.array_intersect("tokens", known), F.lit(""))).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("df")), "df")
+    total = df.agg(F.coalesce(F.max(F.when(F.col("term") == "", F.col("df"))), F.lit(0)).alias("lines"))
     idf = spark.createDataFrame([(t,) for t in terms], "term string").join(df, "term", "left").crossJoin(F.broadcast(total))  # one row of totals
     idf = idf.select("term", (F.log((1 + F.col("lines")) / (1 + F.coalesce("df", F.lit(0)))) + 1).alias("idf"), (F.log((1.0 + F.col("lines")) / 2) + 1).alias("rest"))
-    weights = templates.join(idf, "term").select("licence", "term", (F.col("tf") * F.col("idf")).alias("w"))
-    weights = weights.withColumn("norm", F.sqrt(F.sum(F.col("w") * F.col("w")).over(Window.partitionBy("licence"))))
-
-    lighter = Window.partitionBy("licence").orderBy("w", "term")
-    rest = F.sqrt(F.sum(F.col("w") * F.col("w")).over(lighter)) / F.col("norm")
-    heavy = sorted({r.term for r in weights.withColumn("rest", rest).where(F.col("rest") >= least - 1e-5).select("term").collect()})  # of the fixed templates
-    marked = lines.where(F.arrays_overlap("tokens", F.array(*map(F.lit, heavy)))).select("path", "line", F.explode("tokens").alias("term"))
-    counts = marked.groupBy("path", "line", "term").agg(F.count(F.lit(1)).alias("tf"))
+    weights = tf.join(idf, "term").select("licence", "n", "term", "idf", (F.col("tf") * F.col("idf")).alias("w"))
+    weights = weights.withColumn("norm", F.sqrt(F.sum(F.col("w") * F.col("w")).over(Window.partitionBy("licence", "n"))))
+
+    commoner = Window.partitionBy("licence", "n").orderBy("idf", "term").rowsBetween(Window.unboundedPreceding, 0)
+    share = F.sqrt(F.sum(F.col("w") * F.col("w")).over(commoner)) / F.col("norm")
+    rare = sorted({r.term for r in weights.withColumn("share", share).where(F.col("share") >= least - 1e-5).select("term").collect()})  # of the fixed templates
+    gate = F.array(*map(F.lit, rare))
+    has = lambda tokens: F.arrays_overlap(tokens, gate)
+    # the block is unit -1 of its lines, the whole text is block -1
+    whole = files.where(F.element_at(F.split("path", "/"), -1).rlike(LICENCE_FILE)).select("path", F.xxhash64("text").alias("h"), F.lit(-1).alias("block"), F.lit(-1).alias("line"), _tokens("text").alias("tokens"))
+    of = blocks.where(F.exists("lines", has)).select("path", "h", "block", F.explode(F.concat(
+        F.transform("lines", lambda x, i: F.struct(i.alias("line"), x.alias("tokens"))),
+        F.when(F.size(F.filter("lines", lambda x: F.size(x) > 0)) > 1, F.array(F.struct(F.lit(-1).alias("line"), F.flatten("lines").alias("tokens")))).otherwise(F.array()),
+    )).alias("u")).select("path", "h", "block", "u.*")
+    unit = ["path", "h", "block", "line"]
+    counts = of.unionByName(whole).where(has("tokens")).select(*unit, F.explode("tokens").alias("term")).groupBy(*unit, "term").agg(F.count(F.lit(1)).alias("tf"))
     # all tables below but counts have as many rows as the templates have terms
     vector = counts.join(F.broadcast(idf.select("term", "idf")), "term", "left").crossJoin(F.broadcast(idf.agg(F.max("rest").alias("rest"))))
-    vector = vector.select("path", "line", "term", (F.col("tf") * F.coalesce("idf", "rest")).alias("v"))
-    norms = vector.groupBy("path", "line").agg(F.sqrt(F.sum(F.col("v") * F.col("v"))).alias("own"))
-    dots = vector.join(F.broadcast(weights), "term").groupBy("path", "line", "licence", "norm").agg(F.sum(F.col("v") * F.col("w")).alias("dot"))
-    scores = dots.join(norms, ["path", "line"]).select("path", "licence", F.round(F.col("dot") / F.col("norm") / F.col("own"), 6).alias("score")).where(F.col("score") >= least)
+    vector = vector.select(*unit, "term", (F.col("tf") * F.coalesce("idf", "rest")).alias("v"))
+    norms = vector.groupBy(*unit).agg(F.sqrt(F.sum(F.col("v") * F.col("v"))).alias("own"))
+    dots = vector.join(F.broadcast(weights), "term").groupBy(*unit, "licence", "n", "norm").agg(F.sum(F.col("v") * F.col("w")).alias("dot"))
+    scores = dots.join(norms, unit).select("path", "licence", F.round(F.col("dot") / F.col("norm") / F.col("own"), 6).alias("score")).where(F.col("score") >= least)
     best = scores.groupBy("path", "licence").agg(F.max("score").alias("score"))
     return best.groupBy("path").agg(F.min(F.struct((-F.col("score")).alias("minus"), "licence")).alias("b")).select("path", F.col("b.licence").alias("licence"), (-F.col("b.minus")).alias("score"))
 
 
-def licence_scan(files: DataFrame, least: float = 0.6) -> DataFrame:
+def licence_scan(files: DataFrame, least: float = 0.6, templates: dict[str, list[str]] = TEMPLATES) -> DataFrame:
     """path, licence, score and origin of every file (path, text).
 
-    origin is the file itself where one of its lines matches, else the path of the
-    nearest directory above it that has a licence file (named LICENSE, LICENCE or
-    COPYING, with any ending) that matches; licence, score and origin are null if there is
-    none. Of several licence files in a directory the first by name counts.
+    ``templates`` are texts by licence; whole licences of any length may be given.
+    origin is the file itself where one of its lines, blocks or (a licence file) its whole
+    text matches, else the path of the nearest directory above it that has a licence file
+    (named LICENSE, LICENCE or COPYING, with any ending) that matches; licence, score and
+    origin are null if there is none. Of several licence files in a directory the first by
+    name counts.
 
     Null and empty texts match nothing; null paths get no licence. Repeated paths are one
-    file of several texts and keep one row for each. Empty table: empty result.
+    file of several texts and keep one row for each. Very long texts are compared whole.
+    Other columns are ignored. Empty table: empty result.
     """
-    found = line_scores(files.where(F.col("path").isNotNull() & F.col("text").isNotNull()), least)
+    files = files.select("path", "text")
+    found = materialise(unit_scores(files.where(F.col("path").isNotNull() & F.col("text").isNotNull()), least, templates), "licences")
     parts = F.split("path", "/")
     depth = F.size("parts")
-    declared = found.withColumn("parts", parts).where(F.element_at("parts", -1).rlike(r"^(LICENSE|LICENCE|COPYING)(\..*)?$"))
+    declared = found.withColumn("parts", parts).where(F.element_at("parts", -1).rlike(LICENCE_FILE))
     declared = declared.select(F.array_join(F.slice("parts", 1, depth - 1), "/").alias("dir"), "path", "licence", "score")
     declared = declared.groupBy("dir").agg(F.min(F.struct("path", "licence", "score")).alias("d"))
     need = files.select("path").distinct().join(found, "path", "left_anti").withColumn("parts", parts)
@@ -107,35 +194,44 @@ def op3_licence_scan(spark, sf_dir: str) -> DataFrame:
     return paths.select("doc_id", "path").join(licence_scan(paths.select("path", "text")).dropDuplicates(["path"]), "path", "left")
 
 
+_SQL_TOKENS = r"list_filter(regexp_split_to_array(regexp_replace(regexp_replace(lower(t), '\.([^0-9])', ' \1', 'g'), '\.$', ' '), '[^a-z0-9.]+'), lambda x: x <> '')"
+
 OP3_SQL = r"""
-WITH templates(licence, t) AS (VALUES %s),
+WITH templates(licence, n, t) AS (VALUES %s),
 files AS (
   SELECT doc_id, text, CASE WHEN doc_id IS NULL THEN NULL ELSE coalesce(source, '-') || '/' || CASE doc_id %% 10
            WHEN 9 THEN 'LICENSE.' || doc_id WHEN 4 THEN (doc_id // 100) || '/LICENSE.' || doc_id ELSE (doc_id // 100) || '/' || doc_id || '.txt' END END AS path
   FROM documents
+), texts AS (SELECT DISTINCT path, text FROM files WHERE path IS NOT NULL AND text IS NOT NULL
+), numbered AS (SELECT path, md5(text) AS h, string_split(text, chr(10)) AS lines FROM texts
 ), split_lines AS (
-  SELECT path, unnest(string_split(text, chr(10))) AS t, unnest(range(len(string_split(text, chr(10))))) AS line FROM files WHERE path IS NOT NULL
+  SELECT path, h, unnest(lines) AS t, unnest(range(len(lines))) AS line FROM numbered
+), flags AS (
+  SELECT *, regexp_matches(t, '^[ \t]*(#|//|/\*|\*|--|;|%%|<!--)') AS comment, regexp_matches(t, '^[ \t\r]*$') AS blank FROM split_lines
+), begins AS (
+  SELECT *, blank OR (NOT comment AND coalesce(lag(comment) OVER (PARTITION BY path, h ORDER BY line), false)) AS fresh FROM flags
 ), lines AS (
-  SELECT path, line, list_filter(regexp_split_to_array(regexp_replace(regexp_replace(lower(t), '\.([^0-9])', ' \1', 'g'), '\.$', ' '), '[^a-z0-9.]+'), lambda x: x <> '') AS tokens FROM split_lines
+  SELECT path, h, line, sum(fresh::int) OVER (PARTITION BY path, h ORDER BY line) AS block, %s AS tokens FROM begins
 ), used AS (SELECT * FROM lines WHERE len(tokens) > 0
 ), tt AS (
-  SELECT licence, term, count(*) AS tf FROM (
-    SELECT licence, unnest(list_filter(regexp_split_to_array(regexp_replace(regexp_replace(lower(t), '\.([^0-9])', ' \1', 'g'), '\.$', ' '), '[^a-z0-9.]+'), lambda x: x <> '')) AS term FROM templates
-  ) GROUP BY ALL
+  SELECT licence, n, term, count(*) AS tf FROM (SELECT licence, n, unnest(%s) AS term FROM (SELECT licence, n, replace(t, chr(10), ' ') AS t FROM templates)) GROUP BY ALL
 ), df AS (
   SELECT term, count(*) AS df FROM (SELECT unnest(list_distinct(tokens)) AS term FROM used) WHERE term IN (SELECT term FROM tt) GROUP BY term
 ), n AS (SELECT count(*) AS lines FROM used
 ), idf AS (
   SELECT term, ln((1 + lines) / (1 + coalesce(df, 0))) + 1 AS idf FROM (SELECT DISTINCT term FROM tt) LEFT JOIN df USING (term), n
 ), w AS (
-  SELECT licence, term, tf * idf AS w, sqrt(sum(tf * idf * tf * idf) OVER (PARTITION BY licence)) AS norm FROM tt JOIN idf USING (term)
+  SELECT licence, n, term, tf * idf AS w, sqrt(sum(tf * idf * tf * idf) OVER (PARTITION BY licence, n)) AS norm FROM tt JOIN idf USING (term)
+), words AS (SELECT path, h, line, block, unnest(tokens) AS term FROM used
 ), counts AS (
-  SELECT path, line, term, count(*) AS tf FROM (SELECT path, line, unnest(tokens) AS term FROM used) GROUP BY ALL
+  SELECT path, h, 'line ' || line AS unit, term, count(*) AS tf FROM words GROUP BY ALL
+  UNION ALL SELECT path, h, 'block ' || block, term, count(*) FROM words GROUP BY ALL
+  UNION ALL SELECT path, h, 'whole', term, count(*) FROM words WHERE regexp_matches(path, '/LICENSE[^/]*$') GROUP BY ALL
 ), vec AS (
-  SELECT path, line, term, tf * coalesce(idf, ln((1.0 + lines) / 2) + 1) AS v FROM counts LEFT JOIN idf USING (term), n
-), norms AS (SELECT path, line, sqrt(sum(v * v)) AS own FROM vec GROUP BY ALL
+  SELECT path, h, unit, term, tf * coalesce(idf, ln((1.0 + lines) / 2) + 1) AS v FROM counts LEFT JOIN idf USING (term), n
+), norms AS (SELECT path, h, unit, sqrt(sum(v * v)) AS own FROM vec GROUP BY ALL
 ), scores AS (
-  SELECT path, licence, round(sum(v * w) / norm / own, 6) AS score FROM vec JOIN w USING (term) JOIN norms USING (path, line) GROUP BY path, line, licence, norm, own
+  SELECT path, licence, round(sum(v * w) / norm / own, 6) AS score FROM vec JOIN w USING (term) JOIN norms USING (path, h, unit) GROUP BY path, h, unit, licence, n, norm, own
 ), found AS (
   SELECT path, licence, score FROM scores WHERE score >= 0.6
   QUALIFY row_number() OVER (PARTITION BY path ORDER BY score DESC, licence) = 1
@@ -149,4 +245,4 @@ files AS (
 SELECT doc_id, path, coalesce(own.licence, a.licence, b.licence) AS licence, coalesce(own.score, a.score, b.score) AS score,
        CASE WHEN own.licence IS NOT NULL THEN path ELSE coalesce(a.dir, b.dir) END AS origin
 FROM own LEFT JOIN declared a ON own.licence IS NULL AND a.dir = near LEFT JOIN declared b ON own.licence IS NULL AND b.dir = far
-""" % ", ".join(f"('{k}', '{t}')" for k, t in TEMPLATES.items())
+""" % (", ".join(f"('{k}', {n}, '{t}')" for k, texts in TEMPLATES.items() for n, t in enumerate(texts)), _SQL_TOKENS, _SQL_TOKENS)
