@@ -135,6 +135,7 @@ def unit_scores(files: DataFrame, least: float = 0.6, templates: dict[str, list[
     )).alias("u")).select("path", "h", "block", "u.*")
     unit = ["path", "h", "block", "line"]
     counts = of.unionByName(whole).where(has("tokens")).select(*unit, F.explode("tokens").alias("term")).groupBy(*unit, "term").agg(F.count(F.lit(1)).alias("tf"))
+    counts = materialise(counts, "terms")  # is read twice
     # all tables below but counts have as many rows as the templates have terms
     vector = counts.join(F.broadcast(idf.select("term", "idf")), "term", "left").crossJoin(F.broadcast(idf.agg(F.max("rest").alias("rest"))))
     vector = vector.select(*unit, "term", (F.col("tf") * F.coalesce("idf", "rest")).alias("v"))
