@@ -61,7 +61,6 @@ def test_components(spark):
 
 
 def test_language_id(spark, make):
-
     from tests.llm.conftest import FREMD
 
     rng = random.Random(3)
@@ -474,7 +473,6 @@ def near_lines(make, rng):
 
 
 def test_similar_lines_share_a_key(make):
-
     pairs = near_lines(make, random.Random(12))
     codes, starts, vocab, per_word = linededup.line_words(pa.array([x for p in pairs for x in p]))
     sizes = np.array([len(w) for w in vocab.to_pylist()], np.uint64)
@@ -486,7 +484,6 @@ def test_similar_lines_share_a_key(make):
 
 
 def test_line_dedup(spark, make, empty):
-
     rng = random.Random(11)
     base = [make.prose(rng, 30) for _ in range(4)]
     texts = [x for p in near_lines(make, rng) for x in p]
@@ -569,7 +566,6 @@ def test_near_duplicates(spark, docs, empty, k, percent):
 
 
 def test_crowds_of_near_copies(spark, make):
-
     rng = random.Random(2)
     base = make.prose(rng, 80).split()
     texts = []
