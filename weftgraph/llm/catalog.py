@@ -11,6 +11,7 @@ from .mixing import OP7_SQL, op7_mixing_sources
 from .neardup import op9_minhash_near_dedup
 from .packing import op6_best_fit_packing
 from .substrings import op10_substring_dedup
+from .tries import OP13_SQL, op13_source_divergence
 from .turns import OP12_SQL, op12_turn_repair
 from .warc import OP11_SQL, op11_warc
 from .winnowing import op2_document_fingerprints
@@ -28,5 +29,6 @@ QUERIES = {
     "op10_substring_dedup": op10_substring_dedup,
     "op11_warc": op11_warc,
     "op12_turn_repair": op12_turn_repair,
+    "op13_source_divergence": op13_source_divergence,
 }
-ORACLES = {"op3_licence_scan": OP3_SQL, "op7_mixing_sources": OP7_SQL, "op11_warc": OP11_SQL, "op12_turn_repair": OP12_SQL}
+ORACLES = {"op3_licence_scan": OP3_SQL, "op7_mixing_sources": OP7_SQL, "op11_warc": OP11_SQL, "op12_turn_repair": OP12_SQL, "op13_source_divergence": OP13_SQL}
