@@ -8,10 +8,13 @@ of each pair of sources and each group's most typical terms, ties in UTF-8 order
 
 from __future__ import annotations
 
+import gc
 from collections.abc import Iterable, Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -21,7 +24,7 @@ from .common import chunks, documents, materialise, split_words
 #: Documents of a language that have to have a term, added to each count, scale of shares, ranks of terms.
 LEAST_DOCUMENTS, ADDED, SCALE, TOP = 30, 5, 1_000_000_000, 50
 #: Leaves that a trie holds before it is given on, terms of a block, sources whose pairs are taken at once.
-LEAVES, BLOCK, SLICE = 100_000, 4096, 256
+LEAVES, BLOCK, SLICE = 300_000, 4096, 256
 LEAF = "lang string, term binary, docs long, sources array<string>, counts array<long>"
 
 #: Bytes of terms: ASCII letters, lower-cased, and whatever isn't ASCII; others become spaces.
@@ -41,36 +44,60 @@ def only_terms(texts: pa.Array) -> pa.Array:
     return pa.LargeStringArray.from_buffers(len(texts), pa.py_buffer((offsets - offsets[0]).tobytes()), pa.py_buffer(_BYTES[data].tobytes()))
 
 
+@contextmanager
+def uncollected():
+    """While it holds, Python doesn't look for cyclic garbage: tries have no cycles, and looking at each of their nodes again and again costs a third of the time."""
+    on = gc.isenabled()
+    gc.disable()
+    try:
+        yield
+    finally:
+        if on:
+            gc.enable()
+
+
 class Trie:
-    """A radix trie over bytes. A node is [label, children by first byte, documents, counts by source]; inner nodes have no counts."""
+    """A radix trie over bytes. A node is [label, children by first byte, documents, counts by source]; inner nodes have no counts.
+
+    ``path`` leads to the term that was added last, so that terms in order need few steps.
+    """
 
     def __init__(self):
-        self.root = [b"", {}, 0, None]
+        self.root = [b"", None, 0, None]
+        self.path = [(b"", self.root)]
         self.leaves = 0
 
     def add(self, term: bytes, docs: int, counts: Iterable[tuple[int, int]]) -> None:
         """Adds to a term's documents and to its counter of each source."""
-        node, at, n = self.root, 0, len(term)
+        path = self.path
+        prefix, node = path[-1]
+        while not term.startswith(prefix):
+            path.pop()
+            prefix, node = path[-1]
+        at, n = len(prefix), len(term)
         while at < n:
-            child = node[1].get(term[at])
+            children = node[1]
+            if children is None:
+                children = node[1] = {}
+            child = children.get(term[at])
             if child is None:
-                child = [term[at:], {}, 0, None]
-                node[1][term[at]] = child
-                node = child
-                break
-            label = child[0]
-            size = len(label)
-            if term.startswith(label, at):
-                node, at = child, at + size
-                continue
-            # the edge is split where the term leaves it
-            same, most = 1, min(size, n - at)
-            while same < most and label[same] == term[at + same]:
-                same += 1
-            middle = [label[:same], {label[same]: child}, 0, None]
-            child[0] = label[same:]
-            node[1][middle[0][0]] = middle
-            node, at = middle, at + same
+                child = children[term[at]] = [term[at:], None, 0, None]
+                at = n
+            else:
+                label = child[0]
+                size = len(label)
+                if term.startswith(label, at):
+                    at += size
+                else:
+                    # the edge is split where the term leaves it
+                    same, most = 1, min(size, n - at)
+                    while same < most and label[same] == term[at + same]:
+                        same += 1
+                    middle = children[term[at]] = [label[:same], {label[same]: child}, 0, None]
+                    child[0] = label[same:]
+                    child, at = middle, at + same
+            node = child
+            path.append((term[:at], node))
         if node[3] is None:
             node[3] = {}
             self.leaves += 1
@@ -92,8 +119,9 @@ class Trie:
             if node[3] is not None:
                 yield term, node[2], node[3]
             children = node[1]
-            for first in sorted(children, reverse=True):
-                stack.append((term, children[first]))
+            if children:
+                for first in sorted(children, reverse=True):
+                    stack.append((term, children[first]))
 
 
 def leaf_batches(lang: str, trie: Trie, names: list[str], least: int = 0, size: int = 20_000) -> Iterator[pa.RecordBatch]:
@@ -129,7 +157,7 @@ def count_terms(docs: DataFrame, leaves: int = LEAVES) -> DataFrame:
     they have ``leaves`` leaves together, so a term can come several times.
     """
 
-    def count(batches):
+    def counted(batches):
         tries: dict[str, Trie] = {}
         names: dict[str, int] = {}
 
@@ -142,9 +170,13 @@ def count_terms(docs: DataFrame, leaves: int = LEAVES) -> DataFrame:
             own = np.array([names.setdefault(s, len(names)) for s in batch.column("source").to_pylist()], np.int64)
             codes, starts, vocab = split_words(only_terms(batch.column("text")))
             doc = np.repeat(np.arange(len(which)), np.diff(starts))
-            words, width = [v.encode() for v in vocab.to_pylist()], max(1, len(vocab))
+            # terms are numbered in their order, so that tries are filled in order
+            order = pc.array_sort_indices(vocab).to_numpy()
+            place = np.empty(len(order), np.int64)
+            place[order] = np.arange(len(order))
+            codes, words, width = place[codes], vocab.take(pa.array(order)).cast(pa.large_binary()).to_pylist(), max(1, len(vocab))
             # one document's term once, then documents of each language's terms
-            pair = np.unique(doc * width + codes)
+            pair = np.unique(doc * width + codes, return_counts=True)[0]  # with counts it sorts, which is faster
             cell, docs_of = np.unique(which[pair // width] * width + pair % width, return_counts=True)
             # occurrences of (language, term, source)
             wide = len(names)
@@ -166,13 +198,32 @@ def count_terms(docs: DataFrame, leaves: int = LEAVES) -> DataFrame:
                 tries, names = {}, {}
         yield from given()
 
+    def count(batches):
+        with uncollected():
+            yield from counted(batches)
+
     return docs.mapInArrow(count, LEAF)
 
 
+def likely(batch: pa.RecordBatch, least: int) -> np.ndarray:
+    """Which rows of a sorted batch belong to the empty term, to a term of ``least`` documents or to one that may go on in another batch."""
+    n = batch.num_rows
+    new = np.ones(n, bool)
+    for c in ("lang", "term"):
+        x = batch.column(c)
+        differs = pc.not_equal(x.slice(1), x.slice(0, n - 1)).to_numpy(zero_copy_only=False) if n > 1 else np.zeros(0, bool)
+        new[1:] = differs if c == "lang" else new[1:] | differs
+    begin = np.flatnonzero(new)
+    enough = np.add.reduceat(batch.column("docs").to_numpy(), begin) >= least if n else np.zeros(0, bool)
+    enough[[0, -1][: len(enough)]] = True
+    return np.repeat(enough, np.diff(np.append(begin, n))) | (pc.binary_length(batch.column("term")).to_numpy() == 0)
+
+
 def merged(leaves: DataFrame, least: int, most: int = LEAVES, block: int = BLOCK) -> DataFrame:
     """LEAF rows of terms of at least ``least`` documents (and the empty term), each once, with ``block``, a number that neighbouring terms share.
 
     Leaves are dealt out by ranges of (lang, term) and come sorted; a trie is given on as soon as it is large and the next term is another.
+    A term whose leaves all lie within a batch and have too few documents together needn't go into it.
     """
 
     def merge(batches):
@@ -192,6 +243,7 @@ def merged(leaves: DataFrame, least: int, most: int = LEAVES, block: int = BLOCK
                         number, filled = number + 1, 0
 
         for batch in batches:
+            batch = batch.filter(pa.array(likely(batch, least)))
             sources, counts = batch.column("sources"), batch.column("counts")
             ends = (sources.offsets.to_numpy() - sources.offsets[0].as_py()).tolist()
             own, times = sources.flatten().to_pylist(), counts.flatten().to_pylist()
