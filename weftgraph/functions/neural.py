@@ -24,6 +24,13 @@ def log_softmax(df, column: str = "x"):
     return df.withColumn(column, F.transform(column, lambda v: v - F.col("_top") - F.col("_norm"))).drop("_top", "_norm")
 
 
+def log_norm(z):
+    """(node_id, norm) of scores in several rows a node: the logarithm of the sum of all exponentials, shifted by each row's largest score, then by the node's."""
+    row = z.select("node_id", F.array_max("x").alias("top"), "x").withColumn("s", total(F.transform("x", lambda v: F.exp(v - F.col("top")))))
+    tops = row.groupBy("node_id").agg(F.max("top").alias("top"), F.collect_list(F.struct("top", "s")).alias("parts"))  # two numbers a block
+    return tops.select("node_id", (F.col("top") + F.log(F.aggregate("parts", F.lit(0.0), lambda a, p: a + p["s"] * F.exp(p["top"] - F.col("top"))))).alias("norm"))
+
+
 def log_softmax_grad(p, g, summed):
     """Gradient at the scores, given log-probabilities p, the gradient g at them, and ``summed``, a column with g's sum."""
     return F.zip_with(p, g, lambda a, b: b - F.exp(a) * summed)

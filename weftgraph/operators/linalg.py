@@ -7,61 +7,21 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .partition import ceil_block, floor_block, grid_side, stage_owner
-
 
 def to_long(m: DataFrame, value: str = "v", index: str = "f") -> DataFrame:
     return m.select("node_id", F.posexplode("x").alias(index, value))
 
 
-def _summed(rows: DataFrame, keys: list, width: int) -> DataFrame:
+def summed(rows: DataFrame, keys: list, width: int) -> DataFrame:
     """Sums w * x of rows (keys, w, x) by keys, element by element: one row a key and task goes through the shuffle."""
     sums = rows.groupBy(*keys).agg(*(F.sum(F.col("w") * F.col("x")[k]).alias(f"s{k}") for k in range(width)))
     return sums.select(*keys, F.array(*(f"s{k}" for k in range(width))).alias("x"))
 
 
-def _added(parts: DataFrame, width: int) -> DataFrame:
-    return _summed(parts.withColumn("w", F.lit(1.0)), ["node_id"], width)
-
-
 def spmm(adj: DataFrame, h: DataFrame, width: int) -> DataFrame:
     """(node_id, x): for each dst the sum of w times the source's row. Spark picks a broadcast or a shuffle join."""
     rows = adj.join(h.select(F.col("node_id").alias("src"), "x"), "src").select(F.col("dst").alias("node_id"), "w", "x")
-    return _summed(rows, ["node_id"], width)
-
-
-def _joined(adj: DataFrame, h: DataFrame) -> DataFrame:
-    return adj.join(h.select(F.col("node_id").alias("src"), "x"), "src")
-
-
-def spmm_1d(adj: DataFrame, h: DataFrame, width: int, n: int, parts: int) -> DataFrame:
-    """Row blocks of dst; a partial sum for each source block, then their sum."""
-    rows = _joined(adj, h).withColumn("stage", ceil_block(F.col("src"), n, parts)[0])
-    return _added(_summed(rows.withColumnRenamed("dst", "node_id"), ["node_id", "stage"], width), width)
-
-
-def spmm_15d(adj: DataFrame, h: DataFrame, width: int, n: int, parts: int, replicas: int) -> DataFrame:
-    """Each replica sums its share of the source blocks; the replicas' sums are added."""
-    block = ceil_block(F.col("src"), n, parts // replicas)[0]
-    rows = _joined(adj, h).withColumn("replica", stage_owner(block, parts, replicas))
-    return _added(_summed(rows.withColumnRenamed("dst", "node_id"), ["node_id", "replica"], width), width)
-
-
-def spmm_2d(adj: DataFrame, h: DataFrame, width: int, n: int, parts: int) -> DataFrame:
-    """Square grid: a partial sum for each inner block k, added over k."""
-    side = grid_side(parts, 2)
-    rows = _joined(adj, h).withColumn("k", floor_block(F.col("src"), n, side)[0])
-    return _added(_summed(rows.withColumnRenamed("dst", "node_id"), ["node_id", "k"], width), width)
-
-
-def spmm_3d(adj: DataFrame, h: DataFrame, width: int, n: int, parts: int) -> DataFrame:
-    """Cubic grid: inner blocks are split into layers; partial sums by layer are added."""
-    side = grid_side(parts, 3)
-    k, local = floor_block(F.col("src"), n, side)
-    size = F.when(k == side - 1, n - (side - 1) * (n // side)).otherwise(n // side)
-    layer = F.least(F.floor(local / F.greatest(F.floor(size / side), F.lit(1))), F.lit(side - 1))
-    rows = _joined(adj, h).withColumn("layer", layer)
-    return _added(_summed(rows.withColumnRenamed("dst", "node_id"), ["node_id", "layer"], width), width)
+    return summed(rows, ["node_id"], width)
 
 
 def node_transform(h: DataFrame, w: list[list[float]]) -> DataFrame:
@@ -72,6 +32,12 @@ def node_transform(h: DataFrame, w: list[list[float]]) -> DataFrame:
     return h.crossJoin(F.broadcast(one)).withColumn("x", F.transform("w", dot)).drop("w")
 
 
+def transform_by_table(h: DataFrame, w: DataFrame, width: int) -> DataFrame:
+    """(node_id, x W) with W a table (i, row): each feature meets its row of the weights, and a node's products are summed."""
+    rows = h.select("node_id", F.posexplode("x").alias("i", "w")).join(w.withColumnRenamed("row", "x"), "i")
+    return summed(rows.select("node_id", "w", "x"), ["node_id"], width)
+
+
 def gram(a: DataFrame, b: DataFrame) -> DataFrame:
     """(i, j, v): the transpose of a times b, rows matched by node_id. Each task sends one matrix, so no row is made for a product."""
     both = a.select("node_id", F.col("x").alias("a")).join(b.select("node_id", F.col("x").alias("b")), "node_id").select("a", "b")

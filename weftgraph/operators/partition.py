@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import functions as F
 
 
@@ -31,9 +29,3 @@ def grid_side(size: int, dims: int) -> int:
     if side**dims != size:
         raise ValueError(f"{size} isn't a whole number to the power {dims}")
     return side
-
-
-def square_groups(size: int) -> list[tuple[str, int, int]]:
-    """(kind, group, rank) of the rows and columns of a square grid."""
-    side = math.isqrt(size)
-    return [("row", r // side, r) for r in range(size)] + [("col", r % side, r) for r in range(size)]

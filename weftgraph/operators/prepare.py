@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..sources.store import store
+from ..sources.store import Tables
+from . import hubs
 
 
 def distinct_edges(edges: DataFrame) -> DataFrame:
@@ -72,26 +73,49 @@ def pagerank_step(adj: DataFrame, state: DataFrame | None, ids: DataFrame, alpha
     return moved.unionByName(stay).groupBy("src", "dst").agg(F.sum("w").alias("w"))
 
 
-def pagerank(adj: DataFrame, ids: DataFrame, alpha: float, tolerance: float) -> DataFrame:
-    """Personalised PageRank alpha (I - (1 - alpha) T)^-1 as (src, dst, w), by steps from the identity until what is left out is below ``tolerance``.
+def push_step(adj: DataFrame, state: DataFrame, roots: DataFrame, alpha: float, eps: float, bound: int = 10_000_000) -> tuple[DataFrame, DataFrame]:
+    """(front, next state) of one round of ``push_pagerank``. ``roots`` is (node_id, g), the root of each degree; a state is (src, dst, p, r)."""
+    a, b = (roots.select(F.col("node_id").alias(c), F.col("g").alias(f"g_{c}")) for c in ("src", "dst"))
+    marked = state.join(a, "src").join(b, "dst").withColumn("push", F.col("r") > eps * F.col("g_src") * F.col("g_dst"))
+    front = marked.where("push").select("src", "dst", F.col("r").alias("w"))
+    stay = marked.select("src", "dst", F.when(F.col("push"), F.col("p") + alpha * F.col("r")).otherwise(F.col("p")).alias("p"), F.when(F.col("push"), 0.0).otherwise(F.col("r")).alias("r"))
+    moved = hubs.multiply(adj, front, bound).select("src", "dst", F.lit(0.0).alias("p"), ((1 - alpha) * F.col("w")).alias("r"))
+    return front, stay.unionByName(moved).groupBy("src", "dst").agg(F.sum("p").alias("p"), F.sum("r").alias("r"))
 
-    After k steps the columns differ from the limit by (1 - alpha)^k of the identity's
-    share; each step is written, so the plan stays short.
+
+def push_pagerank(adj: DataFrame, ids: DataFrame, degree: DataFrame, alpha: float, eps: float, steps: int | None = None) -> DataFrame:
+    """Personalised PageRank alpha (I - (1 - alpha) T)^-1 by pushing residuals, as (src, dst, p, r): estimate p and what is left to push, r.
+
+    T is the symmetric normalisation of a graph with the degrees ``degree`` (node_id, d). An entry whose residual exceeds ``eps`` times the root of the degrees of its
+    row and column is pushed: alpha of it is kept as estimate, the rest goes to the neighbours; what is below waits for
+    more. It ends when nothing is above (or after ``steps`` rounds). Then each estimate is at most eps sqrt(d_src d_dst) too low, and the state never has
+    more than 1 / (alpha eps) rows a column, whatever the number of nodes: a push of a node of degree d takes alpha eps d of a column's mass, of which there is 1, and makes d rows.
+
+    Each round is written and the one before it deleted. Nodes of degree 0 keep alpha of their own.
     """
-    state, left = None, 1.0
-    while left > tolerance:
-        state, left = store(pagerank_step(adj, state, ids, alpha), "pagerank"), left * (1 - alpha)
+    tables = Tables(adj.sparkSession, "push")
+    roots = tables.put(degree.select("node_id", F.sqrt(F.greatest("d", F.lit(1))).alias("g")), "roots")
+    adj = adj.select("src", "dst", "w")
+    state = tables.put(ids.select(F.col("node_id").alias("src"), F.col("node_id").alias("dst"), F.lit(0.0).alias("p"), F.lit(1.0).alias("r")), "state")
+    done = 0
+    while steps is None or done < steps:
+        front, following = push_step(adj, state, roots, alpha, eps)
+        if front.isEmpty():
+            break
+        before, state = state, tables.put(following, "state")
+        tables.drop(before)
+        done += 1
     return state
 
 
-def column_top(state: DataFrame, k: int) -> DataFrame:
-    """The k largest entries of each column, ties by row, divided by their sum."""
-    largest = F.row_number().over(Window.partitionBy("dst").orderBy(F.desc("w"), "src"))
+def column_top(state: DataFrame, k: int, by: str = "w") -> DataFrame:
+    """The k largest entries of each column (by ``by``), ties by row, divided by their sum."""
+    largest = F.row_number().over(Window.partitionBy("dst").orderBy(F.desc(by), "src"))
     kept = state.withColumn("_k", largest).where(F.col("_k") <= k)
     return kept.select("src", "dst", (F.col("w") / F.sum("w").over(Window.partitionBy("dst"))).alias("w"))
 
 
 def multiply(left: DataFrame, right: DataFrame) -> DataFrame:
-    """Sparse times sparse, both (src, dst, w)."""
+    """Sparse times sparse, both (src, dst, w), for inner indices of moderate degree; see hubs.multiply for others."""
     r = right.select(F.col("src").alias("_k"), F.col("dst").alias("_c"), F.col("w").alias("_w"))
     return left.join(r, F.col("dst") == F.col("_k")).groupBy("src", F.col("_c").alias("dst")).agg(F.sum(F.col("w") * F.col("_w")).alias("w"))

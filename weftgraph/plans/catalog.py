@@ -6,9 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import neural
-from ..operators import linalg, partition, prepare
+from ..operators import blocks, hubs, linalg, partition, prepare
 from ..sources import graphs
-from . import metrics
 from . import train as T
 
 QUERIES: dict = {}
@@ -221,6 +220,38 @@ def ppr_topk(spark, d):
     return prepare.column_top(state, 128).select("src", "dst", F.round("w", 6).alias("w"))
 
 
+_EPS, _ALPHA = 2.5e-5, 0.05
+
+
+def _sql_push(steps: int) -> str:
+    out = ["q0 AS (SELECT node_id AS src, node_id AS dst, 0.0::DOUBLE AS p, 1.0::DOUBLE AS r FROM nodes)"]
+    for k in range(steps):
+        out.append(f"f{k} AS (SELECT s.src, s.dst, s.r FROM q{k} s JOIN deg a ON a.node_id = s.src JOIN deg b ON b.node_id = s.dst WHERE s.r > {_EPS} * sqrt(a.d) * sqrt(b.d))")
+        stay = f"SELECT s.src, s.dst, s.p + {_ALPHA} * coalesce(f.r, 0) AS p, CASE WHEN f.r IS NULL THEN s.r ELSE 0 END AS r FROM q{k} s LEFT JOIN f{k} f USING (src, dst)"
+        moved = f"SELECT a.src, f.dst, 0, sum({1 - _ALPHA} * a.w * f.r) FROM f{k} f JOIN adj a ON a.dst = f.src GROUP BY ALL"
+        out.append(f"q{k + 1} AS (SELECT src, dst, sum(p) AS p, sum(r) AS r FROM ({stay} UNION ALL {moved}) GROUP BY ALL)")
+    return ",\n".join(out)
+
+
+def _pushed(spark, d, steps: int) -> DataFrame:
+    edges, ids = _loops(spark, d)
+    return prepare.push_pagerank(_adj(spark, d), ids, prepare.degrees(edges, ids), _ALPHA, _EPS, steps)
+
+
+@query(sql("SELECT src, dst, round(p, 9) AS p, round(r, 9) AS r FROM q3", _sql_push(3)))
+def ppr_push(spark, d):
+    """Three rounds of pushing residuals above a threshold."""
+    return _pushed(spark, d, 3).select("src", "dst", F.round("p", 9).alias("p"), F.round("r", 9).alias("r"))
+
+
+@query(sql("SELECT src, dst, round(p / sum(p) OVER (PARTITION BY dst), 6) AS w FROM (SELECT * FROM q2 WHERE p > 0 QUALIFY row_number() OVER (PARTITION BY dst ORDER BY round(p, 9) DESC, src) <= 128)", _sql_push(2)))
+def ppr_push_topk(spark, d):
+    """The 128 largest estimates of each column after two rounds, divided by their sum."""
+    state = _pushed(spark, d, 2).where("p > 0").select("src", "dst", F.col("p").alias("w"))
+    top = prepare.column_top(state.withColumn("_p", F.round("w", 9)), 128, "_p")
+    return top.select("src", "dst", F.round("w", 6).alias("w"))
+
+
 _NAMED = """
 ids AS (SELECT p_partkey * 3 + 1 AS raw, dense_rank() OVER (ORDER BY p_partkey) - 1 AS node_id FROM part),
 named AS (SELECT DISTINCT l_partkey * 3 + 1 AS src, l_suppkey * 3 + 1 AS dst FROM lineitem)"""
@@ -307,28 +338,35 @@ def block_nnz_3d(spark, d):
     return rows.groupBy("brow", "bcol", layer.alias("layer")).agg(F.count(F.lit(1)).alias("nnz"))
 
 
-@query("SELECT 'row' AS kind, r // 3 AS grp, r AS rank FROM (SELECT unnest(range(9)) AS r) UNION ALL SELECT 'col', r % 3, r FROM (SELECT unnest(range(9)) AS r)")
-def proc_groups(spark, d):
-    return spark.createDataFrame(partition.square_groups(9), "kind string, grp long, rank long")
-
-
-@query(sql("SELECT block, replica, coalesce(words, 0) AS words FROM (SELECT unnest(range(4)) AS block) CROSS JOIN (SELECT unnest(range(2)) AS replica) LEFT JOIN (SELECT least(b // 2, 1) AS replica, sum(c * 106)::BIGINT AS words FROM (SELECT " + _ceil("node_id", 4)[0] + " AS b, count(*) AS c FROM nodes, n GROUP BY ALL) GROUP BY ALL) USING (replica)"))
-def comm_words_15d(spark, d):
-    out = metrics.words_15d(graphs.nodes(spark, d), graphs.node_count(spark, d), 8, 2)
-    return out.select(F.col("block").cast("long"), F.col("replica").cast("long"), "words")
-
+_CELLS = {
+    "1d": (_ceil("src", 4)[0], "0", 1, 4),
+    "15d": (f"least({_ceil('src', 4)[0]} // 2, 1)", _ceil("dst", 4)[0], 4, 2),
+    "2d": (_floor("src", 3)[0], _floor("dst", 3)[0], 3, 3),
+    "3d": (f"({_floor('src', 2)[0]}) * 2 + " + _LAYER.format(at=f"({_floor('src', 2)[1]})", k=f"({_floor('src', 2)[0]})"), _floor("dst", 2)[0], 2, 4),
+}
+_PARTS = {"1d": 4, "15d": 8, "2d": 9, "3d": 8}
 
-_WIDTHS = "(VALUES (0, 64), (1, 16), (2, 16), (3, 10)) AS t(product, width)"
 
-
-@query(sql(f"SELECT product, width, n * (width // 3) AS dense_words, (SELECT 3 * count(*) FROM loops, n WHERE {_floor('src', 3)[0]} = 0) AS sparse_words FROM n, {_WIDTHS}"))
-def comm_words_2d(spark, d):
-    return metrics.words_grid(_loops(spark, d)[0], graphs.node_count(spark, d), 9, 2)
+def _sql_traffic() -> str:
+    out = []
+    for kind, (column, row, _, columns) in _CELLS.items():
+        cell = f"({row}) * {columns} + ({column})"
+        out.append(f"SELECT '{kind}' AS layout, cell::INT AS cell, count(*) AS edges, count(DISTINCT src) AS sources, count(DISTINCT dst) AS sums FROM (SELECT {cell} AS cell, src, dst FROM loops, n) GROUP BY cell")
+    return " UNION ALL ".join(out)
 
 
-@query(sql(f"SELECT product, width, ((n // 2) // 2 + (n - n // 2) // 2) * (width // 2) AS dense_words, (SELECT 3 * count(*) FROM (SELECT {_floor('dst', 2)[0]} AS k, {_floor('dst', 2)[1]} AS pos, n FROM loops, n WHERE {_floor('src', 2)[0]} = 0) WHERE {_LAYER.format(at='pos', k='k')} = 0) AS sparse_words FROM n, {_WIDTHS}"))
-def comm_words_3d(spark, d):
-    return metrics.words_grid(_loops(spark, d)[0], graphs.node_count(spark, d), 8, 3)
+@query(sql(_sql_traffic()))
+def block_traffic(spark, d):
+    """For each layout and cell: its edges, the sources whose rows it uses, and the partial sums that it sends on. What moves is sources and sums; edges stay."""
+    n = graphs.node_count(spark, d)
+    edges = _loops(spark, d)[0]
+    parts = None
+    for kind, size in _PARTS.items():
+        lay = blocks.layout(kind, n, size)
+        rows = edges.withColumn("cell", lay.cell(F.col("src"), F.col("dst"))).groupBy("cell")
+        part = rows.agg(F.count(F.lit(1)).alias("edges"), F.count_distinct("src").alias("sources"), F.count_distinct("dst").alias("sums")).select(F.lit(kind).alias("layout"), "cell", "edges", "sources", "sums")
+        parts = part if parts is None else parts.unionByName(part)
+    return parts
 
 
 # --- products ----------------------------------------------------------------
@@ -345,24 +383,67 @@ def spmm(spark, d):
     return _long(linalg.spmm(_adj(spark, d), graphs.nodes(spark, d), 64))
 
 
+def _blocked(spark, d, kind: str) -> DataFrame:
+    stored = blocks.store_blocks(_adj(spark, d), blocks.layout(kind, graphs.node_count(spark, d), _PARTS[kind]))
+    return _long(blocks.spmm(stored, graphs.nodes(spark, d), 64))
+
+
 @query(sql(_LONG.format("mx"), MX))
 def spmm_1d(spark, d):
-    return _long(linalg.spmm_1d(_adj(spark, d), graphs.nodes(spark, d), 64, graphs.node_count(spark, d), 4))
+    return _blocked(spark, d, "1d")
 
 
 @query(sql(_LONG.format("mx"), MX))
 def spmm_15d(spark, d):
-    return _long(linalg.spmm_15d(_adj(spark, d), graphs.nodes(spark, d), 64, graphs.node_count(spark, d), 8, 2))
+    return _blocked(spark, d, "15d")
 
 
 @query(sql(_LONG.format("mx"), MX))
 def spmm_2d(spark, d):
-    return _long(linalg.spmm_2d(_adj(spark, d), graphs.nodes(spark, d), 64, graphs.node_count(spark, d), 9))
+    return _blocked(spark, d, "2d")
 
 
 @query(sql(_LONG.format("mx"), MX))
 def spmm_3d(spark, d):
-    return _long(linalg.spmm_3d(_adj(spark, d), graphs.nodes(spark, d), 64, graphs.node_count(spark, d), 8))
+    return _blocked(spark, d, "3d")
+
+
+_TRADE = """
+trade AS (SELECT l_suppkey * 2 + 1 AS src, l_partkey * 2 AS dst, count(*)::DOUBLE AS w FROM lineitem GROUP BY ALL),
+ways AS (SELECT * FROM trade UNION ALL SELECT dst, src, w FROM trade),
+things AS (SELECT DISTINCT src AS node_id FROM ways),
+own AS (SELECT node_id, unnest(range(4)) AS f FROM things)"""
+
+
+def _trade(spark, d) -> tuple[DataFrame, DataFrame]:
+    """Suppliers (odd ids) and parts (even ids) that they sell, in both directions with the number of sales; four features of each node. A supplier is a hub."""
+    pairs = graphs.table(spark, d, "lineitem").groupBy((F.col("l_suppkey") * 2 + 1).alias("src"), (F.col("l_partkey") * 2).alias("dst"))
+    one = pairs.agg(F.count(F.lit(1)).cast("double").alias("w"))
+    both = one.unionByName(prepare.transpose(one))
+    ids = both.select(F.col("src").alias("node_id")).distinct()
+    return both, ids.withColumn("x", F.transform(F.sequence(F.lit(0), F.lit(3)), lambda f: graphs.uniform(F.col("node_id"), f, 11)))
+
+
+@query(f"WITH {_TRADE} SELECT dst AS node_id, f::INT AS f, round(sum(w * {sql_uniform('node_id', 'f', 11)}), 6) AS v FROM ways JOIN own ON node_id = src GROUP BY ALL")
+def spmm_hubs(spark, d):
+    """Sums over a graph with hubs: a node of more than 200 edges is split into parts of so many."""
+    adj, x = _trade(spark, d)
+    heavy = hubs.heavy_keys(adj, "src", 200)
+    return linalg.to_long(hubs.spmm(hubs.with_part(adj, "src", heavy, ["dst"]), x, 4, heavy)).select("node_id", "f", F.round("v", 6).alias("v"))
+
+
+_COBUY = """
+bought AS (SELECT l_orderkey AS src, l_partkey AS dst, sum(l_quantity) AS w FROM lineitem GROUP BY ALL),
+sold AS (SELECT l_partkey AS src, l_suppkey AS dst, count(*)::DOUBLE AS w FROM lineitem GROUP BY ALL)"""
+
+
+@query(f"WITH {_COBUY} SELECT a.src, b.dst, round(sum(a.w * b.w), 6) AS w FROM bought a JOIN sold b ON a.dst = b.src GROUP BY ALL")
+def spspmm_hubs(spark, d):
+    """Orders times suppliers by the parts between them; parts of more than 1,000 products are split."""
+    lines = graphs.table(spark, d, "lineitem")
+    bought = lines.groupBy(F.col("l_orderkey").alias("src"), F.col("l_partkey").alias("dst")).agg(F.sum("l_quantity").alias("w"))
+    sold = lines.groupBy(F.col("l_partkey").alias("src"), F.col("l_suppkey").alias("dst")).agg(F.count(F.lit(1)).cast("double").alias("w"))
+    return hubs.multiply(bought, sold, 1000).select("src", "dst", F.round("w", 6).alias("w"))
 
 
 _IJ = "SELECT i::INT AS i, j::INT AS j, round(v, 6) + 0.0 AS v FROM {}"
@@ -607,10 +688,62 @@ def best_epoch(spark, d):
     return rows.agg(best.alias("b")).select("b.epoch", "b.val", "b.test")
 
 
-@query("SELECT run, seconds FROM (SELECT n_nationkey AS run, n_nationkey * 7 % 25 + 0.5 AS seconds FROM nation) ORDER BY seconds, run LIMIT 1 OFFSET (SELECT (count(*) - 1) // 2 FROM nation)")
-def median_run(spark, d):
-    """The run of the lower median time; here of made-up times, one a nation."""
-    runs = graphs.table(spark, d, "nation").select(F.col("n_nationkey").alias("run"), (F.col("n_nationkey") * 7 % 25 + 0.5).cast("double").alias("seconds"))
-    ranked = F.sort_array(F.collect_list(F.struct("seconds", "run")))  # a handful of runs
-    chosen = runs.agg(ranked.alias("r")).select(F.element_at("r", F.floor((F.size("r") + 1) / 2).cast("int")).alias("m"))
-    return chosen.select("m.run", "m.seconds")
+# --- state of training ---------------------------------------------------------------
+
+_STEP3 = f"{_STEP2}, {sql_forward(2)}, {sql_backward(2)}, {sql_adam(2)}"
+
+
+def _sql_state(k: int) -> str:
+    return " UNION ALL ".join(f"SELECT {layer} AS layer, i::INT AS i, j::INT AS j, round(w.v, 6) + 0.0 AS w, round(a.m, 8) + 0.0 AS m, round(a.q, 10) + 0.0 AS v, {k} AS t FROM w{layer}_{k} w JOIN a{layer}_{k} a USING (i, j)" for layer in (1, 2))
+
+
+def _rounded(state: DataFrame) -> DataFrame:
+    return state.select("layer", "i", "j", r6("w").alias("w"), (F.round("m", 8) + 0.0).alias("m"), (F.round("v", 10) + 0.0).alias("v"), "t")
+
+
+@query(sql(_sql_state(2), _STEP2))
+def adam_state(spark, d):
+    """Weights and moments after two epochs, the second one of a run that went on from the first one's checkpoint."""
+    g, _ = _model(spark, d)
+    path = f"{g.tables.folder}/checkpoint"
+    T.train(g, 1, path)
+    T.train(g, 2, path)
+    epoch, weights, adam = T.read_state(spark, path, g.config)
+    return _rounded(spark.createDataFrame(T.state_rows(weights, adam), T.STATE))
+
+
+@query(sql(_sql_state(3), _STEP3))
+def adam_table(spark, d):
+    """Weights and moments after three steps in which they are tables all along."""
+    g, _ = _model(spark, d)
+    return _rounded(T.table_steps(g, 3))
+
+
+@query(sql(_IJ.format("dw2_0"), BACKWARD))
+def backward_class_blocks_w2(spark, d):
+    """The second layer's gradient from outputs in three blocks of classes."""
+    g, w = _model(spark, d)
+    return _ij(T.blocked_gradients(g, *w, 3)[1])
+
+
+@query(sql(_IJ.format("dw1_0"), BACKWARD))
+def backward_class_blocks_w1(spark, d):
+    g, w = _model(spark, d)
+    return _ij(T.blocked_gradients(g, *w, 3)[0])
+
+
+# --- a directed graph ----------------------------------------------------------------
+
+_DIRECTED = """
+arcs AS (SELECT DISTINCT src, dst FROM raw WHERE src <> dst UNION ALL SELECT node_id, node_id FROM nodes),
+mo AS (SELECT a.src AS node_id, f, sum(v) AS v FROM arcs a JOIN x ON x.node_id = a.dst GROUP BY ALL),
+zo AS (SELECT node_id, j AS f, sum(m.v * w.v) AS v FROM mo m JOIN w1_0 w ON f = i GROUP BY ALL)"""
+
+
+@query(sql("SELECT node_id, f::INT AS f, round(greatest(v, 0), 6) + 0.0 AS v FROM zo", W0, _DIRECTED))
+def gcn_outward(spark, d):
+    """The first layer over a directed graph, summed over out-neighbours and not normalised."""
+    config = T.TrainConfig(inward=False, normalise=False)
+    edges = prepare.distinct_edges(graphs.coo_edges(spark, d))
+    g = T.prepared(graphs.nodes(spark, d), edges, graphs.node_count(spark, d), config)
+    return _long(T.layer1(g, T.start(config)[0])[1])
