@@ -125,16 +125,16 @@ def fit(labelled: DataFrame, per_language: int = 400) -> Model | None:
 
     That bound is the only sample, and what reaches the driver is so many vectors for each
     language that the labels name. Rows without lang, or whose text is null or has no
-    letter, aren't learned from; rows that repeat an id are drawn alike, in the order of
-    their texts. None if nothing is left.
+    letter, aren't learned from. Every language that labels name is learned, from ``per_language`` rows or all that it has, also if its rows
+    share an id or have none: id and text draw together, and rows that are equal are drawn one by one. None if nothing is left.
     """
     rows = labelled.where(F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}"))
-    draw = F.pmod(F.xxhash64(F.lit("langid"), F.col("doc_id")), F.lit(1 << 30)).cast("double") / (1 << 30)
-    counts = materialise(rows.groupBy("lang").agg(F.count(F.lit(1)).alias("_n")), "languages")  # once written, Spark knows how few they are
-    # a first draw of twice as many keeps the ranking below small; fewer labelled rows than that are all taken
-    rows = rows.select("doc_id", "text", "lang", draw.alias("_u")).join(counts, "lang")
-    rows = rows.where(F.col("_u") * F.col("_n") < 2 * per_language)
-    rows = rows.withColumn("_r", F.row_number().over(Window.partitionBy("lang").orderBy("_u", "doc_id", "text"))).where(F.col("_r") <= per_language)
+    rows = rows.select("doc_id", "text", "lang", F.xxhash64(F.lit("langid"), "doc_id", "text").alias("_u"))
+    least = Window.partitionBy("lang").orderBy("_u")  # Spark keeps so many of each task before it ranks them
+    drawn = rows.select("lang", "_u").withColumn("_r", F.row_number().over(least)).where(F.col("_r") <= per_language)
+    last = materialise(drawn.groupBy("lang").agg(F.max("_u").alias("_last")), "languages")  # once written, Spark knows how few they are
+    rows = rows.join(last, "lang").where(F.col("_u") <= F.col("_last"))
+    rows = rows.withColumn("_r", F.row_number().over(least)).where(F.col("_r") <= per_language)
 
     def vectors(batches):
         for batch in batches:

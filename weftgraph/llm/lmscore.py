@@ -82,7 +82,9 @@ class Scorer:
             p, n = gru.train(p, lay, to_ids(words, table.column("text").combine_chunks())[0])
             return pa.table({"weights": pa.array([gru.flat(p)], pa.list_(pa.float32())), "n": pa.array([n], pa.int64())})
 
-        dealt = docs.select("text", F.pmod(F.xxhash64("doc_id", "text"), F.lit(shards)).alias("shard"))
+        # the row's number in its task as well, so that equal rows don't meet in one shard
+        dealt = docs.select("text", F.pmod(F.xxhash64("doc_id", "text", F.monotonically_increasing_id()), F.lit(shards)).alias("shard"))
+
         def weigh(batches):
             total, count = 0.0, 0
             for batch in batches:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -56,27 +58,49 @@ def likeness(a: str, b: str):
     return F.when((F.size(a) == 0) & (F.size(b) == 0), 1.0).otherwise(both / (F.size(a) + F.size(b) - both))
 
 
+def spans(docs: DataFrame, span: int = 256, most: int = 1024) -> DataFrame:
+    """Deals rows (doc_id, text) into ranges of their order: adds _key, _hash and _span.
+
+    The order is by _key (doc_id, null below all) and then against _hash (of the text, complemented). Quantiles of the ids, ``most``
+    at most, part them; an id that is a quantile is a part of its own, and so is null. A part of one id is divided evenly by _hash, others by
+    _key, into ranges of ``span`` rows on average. So no range has many more than n / ``most`` rows, wherever single ids lie.
+    """
+    low, n = docs.agg(F.min("doc_id"), F.count(F.lit(1))).first()
+    below = max(int(low) - 1, -(1 << 63)) if low is not None else -1
+    docs = docs.withColumn("_key", F.coalesce(F.col("doc_id").cast("long"), F.lit(below).cast("long"))).withColumn("_hash", F.bitwise_not(F.xxhash64("text")))
+    parts = min(most, -(-n // span))
+    marks = docs.agg(F.percentile_approx("doc_id", [k / parts for k in range(1, parts)], 10_000)).first()[0] if parts > 1 else None
+    marks = F.from_json(F.lit(json.dumps(sorted({float(m) for m in marks or []}))), "array<double>")  # quantiles are doubles, so ids are compared as such
+    key = F.col("_key").cast("double")
+    part = 2 * F.size(F.filter(marks, lambda m: m < key)) + F.array_contains(marks, key).cast("int")
+    docs = docs.withColumn("_part", F.when(F.col("doc_id").isNull(), F.lit(-1)).otherwise(part).cast("long"))
+    ends = docs.groupBy("_part").agg(*(f(c).alias(f"_{n}{c}") for c in ("_key", "_hash") for n, f in (("low", F.min), ("high", F.max))), F.count(F.lit(1)).alias("_n"))
+    ends = materialise(ends, "parts").withColumnRenamed("_part", "_p")  # two rows for each quantile at most, as Spark sees once it is written
+    one = F.col("_low_key") == F.col("_high_key")
+    at, low, high = (F.when(one, F.col(h)).otherwise(F.col(k)).cast("double") for h, k in (("_hash", "_key"), ("_low_hash", "_low_key"), ("_high_hash", "_high_key")))
+    docs = docs.join(ends, F.col("_part") == F.col("_p"))
+    number = F.floor((at - low) / F.greatest((high - low + 1) * span / F.col("_n"), F.lit(1.0))).cast("long")
+    return docs.withColumn("_span", F.col("_part") * (1 << 40) + number).drop("_part", "_p", "_low_key", "_high_key", "_low_hash", "_high_hash", "_n")
+
+
 def dealt_for_next(docs: DataFrame, span: int = 256) -> DataFrame:
-    """Deals rows so that a window over _span (by _extra, _key descending) sees each row's follower.
+    """Deals rows so that a window over _span (by _extra, then _key and _hash descending) sees each row's follower.
 
     The follower is the row with the next smaller doc_id; after the last comes the first.
-    Rows are dealt by ranges of doc_id that have ``span`` rows on average, also where ids are
-    sparse; the largest id of each range is also sent to the range above it that isn't
-    empty. Equal ids are ordered by their text's hash. Null ids count as the smallest.
+    Rows are dealt by ``spans``; the first row of each range is also sent to the range above it that isn't
+    empty, once. Equal ids are ordered by their text's hash. Null ids count as the smallest.
     """
-    low, high, n = docs.agg(F.min("doc_id"), F.max("doc_id"), F.count(F.lit(1))).first()
-    low, high = (0, 0) if low is None else (int(low), int(high))
-    width = max(1, (high - low + 1) * span // max(1, n))
-    key = F.coalesce(F.col("doc_id").cast("long"), F.lit(low - 1))
-    docs = docs.withColumn("_key", key).withColumn("_span", F.floor((F.col("_key").cast("double") - float(low)) / float(width)))
-    heads = docs.groupBy("_span").agg(F.max("_key").alias("_head")).withColumn("_group", F.floor(F.col("_span") / 4096))
+    docs = spans(docs, span)
+    heads = docs.groupBy("_span").agg(F.max(F.struct("_key", "_hash")).alias("_head")).withColumn("_group", F.floor(F.col("_span") / 4096))
     groups = heads.groupBy("_group").agg(F.max("_head").alias("_first"))
     everything = Window.orderBy(F.col("_group").desc())
     groups = groups.select(F.col("_group").alias("_g"), F.coalesce(F.lead("_first").over(everything), F.max("_first").over(Window.partitionBy(F.lit(1)))).alias("_after"))
     heads = heads.withColumn("_lead", F.lead("_head").over(Window.partitionBy("_group").orderBy(F.col("_span").desc())))
     wanted = heads.join(groups, F.col("_group") == F.col("_g")).select(F.col("_span").alias("_to"), F.coalesce("_lead", "_after").alias("_want"))
+    wanted = wanted.select("_to", F.col("_want._key").alias("_k"), F.col("_want._hash").alias("_h"))
     wanted = materialise(wanted, "heads")  # a row for each span: once it is written, Spark knows its size and needn't shuffle the texts for it
-    copies = docs.join(wanted, F.col("_key") == F.col("_want")).withColumn("_span", F.col("_to")).drop("_to", "_want")
+    copies = docs.join(wanted, (F.col("_key") == F.col("_k")) & (F.col("_hash") == F.col("_h")))
+    copies = copies.groupBy("_to").agg(*(F.first(c).alias(c) for c in docs.columns if c != "_span")).withColumnRenamed("_to", "_span")
     return docs.withColumn("_extra", F.lit(0)).unionByName(copies.withColumn("_extra", F.lit(1)))
 
 
@@ -96,7 +120,7 @@ def fingerprint_pairs(docs: DataFrame, k: int = 5) -> DataFrame:
     docs = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     rows = dealt_for_next(docs)
     rows = with_fingerprint(rows, "text", "_fp", k)
-    order = Window.partitionBy("_span").orderBy("_extra", F.col("_key").desc(), F.xxhash64("text"))
+    order = Window.partitionBy("_span").orderBy("_extra", F.col("_key").desc(), F.col("_hash").desc())
     following = F.lead(F.struct("text", "_fp")).over(order)
     rows = rows.withColumn("_next", following).where("_extra = 0")
     rows = rows.withColumn("n_chars", F.length("text").cast("long"))
