@@ -70,7 +70,8 @@ def test_query_matches_sql(spark, name):
     if not os.path.isdir(D):
         pytest.skip("no test tables")
     con = duckdb.connect()
-    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{D}/documents.parquet'")
+    for table in ("documents", "pages", "conversations"):
+        con.execute(f"CREATE VIEW {table} AS SELECT * FROM '{D}/{table}.parquet'")
     got, want = catalog.QUERIES[name](spark, D).toPandas(), con.execute(catalog.ORACLES[name]).df()
     columns = sorted(want.columns)
     key = lambda df: sorted(str(tuple(None if x != x else round(x, 5) if isinstance(x, float) else x for x in r)) for r in df[columns].itertuples(index=False, name=None))
