@@ -86,10 +86,14 @@ def prepared(nodes: DataFrame, edges: DataFrame, n: int, config: TrainConfig) ->
         plain = adj
         heavy = tables.put(hubs.heavy_keys(plain, "src", config.hub_edges), "heavy")
         back = tables.put(hubs.heavy_keys(plain, "dst", config.hub_edges).withColumnRenamed("dst", "src"), "heavy_back")
-        split = hubs.with_part(plain, "src", heavy, ["dst"]).withColumnRenamed("part", "_part")
-        split = hubs.with_part(split, "dst", back.withColumnRenamed("src", "dst"), ["src"])
-        adj = tables.put(split.select("src", "dst", "w", F.col("_part").alias("part"), F.col("part").alias("back")), "adj")
-        tables.drop(plain)
+        if heavy.isEmpty() and back.isEmpty():
+            tables.drop(heavy, back)
+            heavy = back = None
+        else:
+            split = hubs.with_part(plain, "src", heavy, ["dst"]).withColumnRenamed("part", "_part")
+            split = hubs.with_part(split, "dst", back.withColumnRenamed("src", "dst"), ["src"])
+            adj = tables.put(split.select("src", "dst", "w", F.col("_part").alias("part"), F.col("part").alias("back")), "adj")
+            tables.drop(plain)
     g = Graph(nodes, adj, nodes, n, config, heavy, back, tables)
     g.mx = tables.put(g.forward(nodes, config.features), "mx")
     return g
