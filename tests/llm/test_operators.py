@@ -492,7 +492,7 @@ def test_line_dedup(spark, make, empty):
     docs = spark.createDataFrame([(i, t, 7.0, "d", "t") for i, t in enumerate(texts)], "doc_id long, text string, n_removed double, _gone string, _t string")
     rows = docs.collect()
     want = similar_lines(rows, 1)
-    out = linededup.without_repeated_lines(docs)
+    out = linededup.without_repeated_lines(docs, exact=True)
     assert out.columns == ["doc_id", "text", "_gone", "_t", "n_lines", "n_removed"]
     for r in out.collect():
         t = texts[r.doc_id]
@@ -504,6 +504,55 @@ def test_line_dedup(spark, make, empty):
     assert len(want) > 100 and linededup.without_repeated_lines(empty).count() == 0
 
 
+def test_simhash_is_a_vote_of_words(make):
+    rng = random.Random(3)
+    lines = [make.prose(rng, n) for n in [1, 2, 5, 63, 64, 130, 1024, 1025, 9000, *range(1, 600, 7)]] + [""]
+    codes, starts, vocab, per_word = linededup.line_words(pa.array(lines))
+    lengths = np.array([len(w) for w in vocab.to_pylist()], np.uint64)
+    got = linededup.simhash_blocks(codes, per_word, lengths, starts)
+    width, mask = linededup.BLOCKS * linededup.BITS, (1 << 64) - 1
+
+    def bits(h):
+        out = []
+        for j in range(-(-width // 64)):
+            x = (int(h) + (j + 1) * 0x9E3779B97F4A7C15) & mask
+            x = (x ^ (x >> 30)) * 0xBF58476D1CE4E5B9 & mask
+            x = (x ^ (x >> 27)) * 0x94D049BB133111EB & mask
+            out += [(b >> (7 - k)) & 1 for b in (x ^ (x >> 31)).to_bytes(8, "little") for k in range(8)]
+        return np.array(out[:width])
+
+    weights = [min(4, round(n**0.3)) for n in lengths.tolist()]
+    vote = [bits(h) * w for h, w in zip(per_word, weights)]
+    for i, line in enumerate(lines):
+        own = codes[starts[i] : starts[i + 1]]
+        total = sum((vote[c] for c in own), np.zeros(width, int))
+        set_ = 2 * total > sum(weights[c] for c in own)
+        assert got[i].tolist() == [sum(int(b) << k for k, b in enumerate(x)) for x in set_.reshape(-1, linededup.BITS)], line[:50]
+
+
+def test_simhash_blocks_find_similar_lines(spark):
+    """Nine of ten pairs of edit similarity 0.8 share a key, of all pairs of sf0.01; what the operator removes is what all pairs remove, but for those."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
+    lines, _ = linededup.lines_of(pa.array([r.text or "" for r in docs.collect()]))
+    codes, starts, vocab, per_word = linededup.line_words(lines)
+    full = linededup.ordered_hash(per_word[codes], starts)
+    lengths = np.array([len(w) for w in vocab.to_pylist()], np.uint64)
+    owners, found = [], []
+    for at, keys in (linededup.line_runs(per_word[codes], lengths[codes], starts, 0.8), linededup.simhash_keys(codes, per_word, lengths, starts, 0.8)):
+        by = {}
+        for line, key in zip(full[at].tolist(), keys.tolist()):
+            by.setdefault(key, set()).add(line)
+        owners.append(by)
+    where = dict(zip(full.tolist(), range(len(full))))
+    own = {x: codes[starts[i] : starts[i + 1]].tolist() for x, i in where.items()}
+    for by in owners:
+        pairs = {(x, y) for group in by.values() if len(group) > 1 for x in group for y in group if x < y}
+        found.append({p for p in pairs if linededup.edit_similar(own[p[0]], own[p[1]], 0.8)})
+    assert len(found[0]) > 300 and found[1] <= found[0] and len(found[1]) >= 0.9 * len(found[0])
+    removed = [{r.doc_id: r.n_removed for r in linededup.without_repeated_lines(docs, exact=e).collect()} for e in (True, False)]
+    assert all(removed[1][d] <= n for d, n in removed[0].items()) and sum(removed[1].values()) >= 0.98 * sum(removed[0].values())
+
+
 def test_short_lines_are_repeats_too(spark):
     texts = ["In in oredble ea.\none\n!!!\n\nfour words are here\nfour words are here now", "in IN oredble, ea\n-- one --\n!!!\n\nfour words were here", "two + -- * words\ntwo words\nonly here", "one"]
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
