@@ -476,7 +476,7 @@ def test_similar_lines_share_a_key(make):
     pairs = near_lines(make, random.Random(12))
     codes, starts, vocab, per_word = linededup.line_words(pa.array([x for p in pairs for x in p]))
     sizes = np.array([len(w) for w in vocab.to_pylist()], np.uint64)
-    at, keys = linededup.line_runs(per_word[codes], sizes[codes], starts, 0.8)
+    at, keys, _ = linededup.line_runs(per_word[codes], sizes[codes], starts, 0.8)
     own = [set(keys[at == i].tolist()) for i in range(2 * len(pairs))]
     ws = [[vocab[c].as_py() for c in codes[a:b]] for a, b in zip(starts[:-1], starts[1:])]
     similar = [i for i in range(len(pairs)) if 0 < distance(ws[2 * i], ws[2 * i + 1]) <= 0.2 * max(map(len, ws[2 * i : 2 * i + 2])) + 1e-9]
@@ -509,8 +509,9 @@ def test_simhash_is_a_vote_of_words(make):
     lines = [make.prose(rng, n) for n in [1, 2, 5, 63, 64, 130, 1024, 1025, 9000, *range(1, 600, 7)]] + [""]
     codes, starts, vocab, per_word = linededup.line_words(pa.array(lines))
     lengths = np.array([len(w) for w in vocab.to_pylist()], np.uint64)
-    got = linededup.simhash_blocks(codes, per_word, lengths, starts)
-    width, mask = linededup.BLOCKS * linededup.BITS, (1 << 64) - 1
+    got, check = linededup.simhash_blocks(codes, per_word, lengths, starts)
+    own, mask = linededup.BLOCKS * linededup.BITS, (1 << 64) - 1
+    width = own + 64
 
     def bits(h):
         out = []
@@ -524,10 +525,11 @@ def test_simhash_is_a_vote_of_words(make):
     weights = [min(4, round(n**0.3)) for n in lengths.tolist()]
     vote = [bits(h) * w for h, w in zip(per_word, weights)]
     for i, line in enumerate(lines):
-        own = codes[starts[i] : starts[i + 1]]
-        total = sum((vote[c] for c in own), np.zeros(width, int))
-        set_ = 2 * total > sum(weights[c] for c in own)
-        assert got[i].tolist() == [sum(int(b) << k for k, b in enumerate(x)) for x in set_.reshape(-1, linededup.BITS)], line[:50]
+        line_codes = codes[starts[i] : starts[i + 1]]
+        total = sum((vote[c] for c in line_codes), np.zeros(width, int))
+        set_ = 2 * total > sum(weights[c] for c in line_codes)
+        assert got[i].tolist() == [sum(int(b) << k for k, b in enumerate(x)) for x in set_[:own].reshape(-1, linededup.BITS)], line[:50]
+        assert check[i].tobytes() == np.packbits(set_[own:]).tobytes()
 
 
 def test_simhash_blocks_find_similar_lines(spark):
@@ -537,22 +539,42 @@ def test_simhash_blocks_find_similar_lines(spark):
     codes, starts, vocab, per_word = linededup.line_words(lines)
     full = linededup.ordered_hash(per_word[codes], starts)
     lengths = np.array([len(w) for w in vocab.to_pylist()], np.uint64)
-    owners, found = [], []
-    for at, keys in (linededup.line_runs(per_word[codes], lengths[codes], starts, 0.8), linededup.simhash_keys(codes, per_word, lengths, starts, 0.8)):
+    own = {x: codes[starts[i] : starts[i + 1]].tolist() for i, x in enumerate(full.tolist())}
+    found = []
+    for at, keys, check in (linededup.line_runs(per_word[codes], lengths[codes], starts, 0.8), linededup.simhash_keys(codes, per_word, lengths, starts, 0.8)):
         by = {}
-        for line, key in zip(full[at].tolist(), keys.tolist()):
-            by.setdefault(key, set()).add(line)
-        owners.append(by)
-    where = dict(zip(full.tolist(), range(len(full))))
-    own = {x: codes[starts[i] : starts[i + 1]].tolist() for x, i in where.items()}
-    for by in owners:
-        pairs = {(x, y) for group in by.values() if len(group) > 1 for x in group for y in group if x < y}
-        found.append({p for p in pairs if linededup.edit_similar(own[p[0]], own[p[1]], 0.8)})
+        for line, key, bits in zip(full[at].tolist(), keys.tolist(), check.tolist()):
+            by.setdefault(key, {})[line] = bits
+        near = {(x, y) for group in by.values() for x in group for y in group if x < y and ((group[x] ^ group[y]) & (1 << 64) - 1).bit_count() <= linededup.CHECK_BITS}
+        found.append({p for p in near if linededup.edit_similar(own[p[0]], own[p[1]], 0.8)})
     assert len(found[0]) > 300 and found[1] <= found[0] and len(found[1]) >= 0.9 * len(found[0])
     removed = [{r.doc_id: r.n_removed for r in linededup.without_repeated_lines(docs, exact=e).collect()} for e in (True, False)]
     assert all(removed[1][d] <= n for d, n in removed[0].items()) and sum(removed[1].values()) >= 0.98 * sum(removed[0].values())
 
 
+def test_pairs_of_a_bucket():
+    rng = np.random.default_rng(6)
+    check = rng.integers(0, 1 << 63, 3000)
+    for size, crowd in [(2, False), (9, False), (400, False), (60, True), (2500, True)]:
+        nodes = np.arange(size) + 1000
+        own = check[:size].copy()
+        if size == 9:
+            own[:5], own[5:7] = own[0], own[5]
+        elif size in (2, 60):
+            own[:] = own[0] ^ 5
+        elif size == 400:
+            own[200:] = own[:200] ^ (1 << 40)
+        near = {(1000 + i, 1000 + j) for i in range(size) for j in range(i + 1, size) if int(own[i] ^ own[j]).bit_count() <= 16} if not crowd else None
+        keys = np.full(size, 77 << 40, np.uint64)
+        rows = buckets.list_rows(np.append(keys, np.uint64(3 << 40)), np.append(nodes, 5), np.append(own, 0), 8, {"x": np.arange(3)}, 4)
+        row = pa.Table.from_batches([rows.filter(pa.array([len(v) > 0 for v in rows.column(1).to_pylist()]))] * 2)
+        kind, a, b = buckets.pairs_and_entries(row, 16)
+        if crowd:
+            assert set(kind.tolist()) == {2} and sorted(b.tolist()) == nodes.tolist() and len(set(a.tolist())) == 1
+        else:
+            assert set(kind.tolist()) == {1} and len(a) == len(near) and set(zip(a.tolist(), b.tolist())) == near
+
+
 def test_short_lines_are_repeats_too(spark):
     texts = ["In in oredble ea.\none\n!!!\n\nfour words are here\nfour words are here now", "in IN oredble, ea\n-- one --\n!!!\n\nfour words were here", "two + -- * words\ntwo words\nonly here", "one"]
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")

@@ -15,51 +15,61 @@ from .components import components
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
-def list_rows(keys: np.ndarray, nodes: np.ndarray, buckets: int, beside: dict, own: int) -> pa.RecordBatch:
-    """(key, node) entries as one row for each bucket, and one row of bucket ``own`` with the columns ``beside``.
+def list_rows(keys: np.ndarray, nodes: np.ndarray, checks: np.ndarray, buckets: int, beside: dict, own: int) -> pa.RecordBatch:
+    """(key, node, check) entries as one row for each bucket, and one row of bucket ``own`` with the columns ``beside``.
 
-    A bucket holds 48 bits of its keys, as high and low; its number has others.
+    A bucket holds 32 bits of its keys; its number has others.
     """
     bucket = (((keys & np.uint64(0xFFFFFFFF)) * np.uint64(buckets)) >> np.uint64(32)).astype(np.int32)
     order = np.argsort(bucket.astype(np.uint16) if buckets < 1 << 16 else bucket, kind="stable")
-    bucket, keys, nodes = bucket[order], keys[order] >> np.uint64(16), nodes[order]
+    bucket, keys, nodes, checks = bucket[order], (keys[order] >> np.uint64(32)).astype(np.uint32).view(np.int32), nodes[order], checks[order]
     first = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]])) if len(bucket) else np.zeros(0, int)
     ends = pa.array(np.concatenate([first, [len(bucket)] * 2]).astype(np.int32))
-    high, low = (keys >> np.uint64(16)).astype(np.uint32).view(np.int32), keys.astype(np.uint16).view(np.int16)
-    lists = [pa.ListArray.from_arrays(ends, pa.array(x)) for x in (high, low, nodes)]
+    lists = [pa.ListArray.from_arrays(ends, pa.array(x)) for x in (keys, nodes, checks)]
     n = pa.array([0] * (len(first) + 1) + [len(next(iter(beside.values())))], pa.int32())
     number = pa.array(np.append(bucket[first], own).astype(np.int32))
-    return pa.RecordBatch.from_arrays([number, *lists, *(pa.ListArray.from_arrays(n, x if isinstance(x, pa.Array) else pa.array(x)) for x in beside.values())], ["bucket", "high", "low", "node", *beside])
+    return pa.RecordBatch.from_arrays([number, *lists, *(pa.ListArray.from_arrays(n, x if isinstance(x, pa.Array) else pa.array(x)) for x in beside.values())], ["bucket", "key", "node", "check", *beside])
 
 
-def pairs_and_entries(table: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def pairs_and_entries(table: pa.Table, most: int, block: int = 2000, step: int = 300_000) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """kind, a and b of a bucket's rows of list_rows. Keys of a single node go.
 
-    Kind 1: the two nodes of a key that has no other. Kind 2: key and node, for the keys of three nodes and more.
+    Kind 1: nodes of a key whose checks differ in ``most`` bits at most. Kind 2: key and node, for keys of more
+    than ``block`` nodes and those with more than four such pairs a node, a crowd. About ``step`` pairs are held at a time.
     """
-    high, low, node = (np.concatenate([c.flatten().to_numpy() for c in table.column(x).chunks] or [np.zeros(0, np.int64)]) for x in ("high", "low", "node"))
-    key = (high.astype(np.int32).view(np.uint32).astype(np.uint64) << np.uint64(16)) | low.astype(np.int16).view(np.uint16)
+    key, node, check = (np.concatenate([c.flatten().to_numpy() for c in table.column(x).chunks] or [np.zeros(0, np.int64)]) for x in ("key", "node", "check"))
+    key = key.astype(np.int32).view(np.uint32)
     order = np.argsort(key)
-    key, node = key[order], node[order]
+    key, node, check = key[order], node[order], check[order]
     new = np.concatenate([[True], key[1:] != key[:-1]]) if len(key) else np.zeros(0, bool)
     group = np.cumsum(new) - 1
     several = np.bincount(group, minlength=1)[group] > 1 if len(key) else new
-    key, node = key[several], node[several]
+    key, node, check = key[several], node[several], check[several]
     if not len(key):
         return np.zeros(0, np.int8), np.zeros(0, np.int64), np.zeros(0, np.int64)
     order = np.lexsort((node, key))
-    key, node = key[order], node[order]
+    key, node, check = key[order], node[order], check[order]
     keep = np.concatenate([[True], (key[1:] != key[:-1]) | (node[1:] != node[:-1])])
-    key, node = key[keep], node[keep]
-    new = np.concatenate([[True], key[1:] != key[:-1]])
-    group = np.cumsum(new) - 1
-    many = np.bincount(group)[group]
-    two = node[many == 2].reshape(-1, 2)
-    pairs = np.unique(two, axis=0) if len(two) else two
-    more = many > 2
-    full = (key * _MIX ^ np.uint64(table.column("bucket")[0].as_py())) * _MIX
-    kind = np.repeat(np.array([1, 2], np.int8), [len(pairs), more.sum()])
-    return kind, np.concatenate([pairs[:, 0], full[more].view(np.int64)]), np.concatenate([pairs[:, 1], node[more]])
+    key, node, check = key[keep], node[keep], check[keep]
+    begin = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+    size = np.diff(np.append(begin, len(key)))
+    crowd, pairs = size > block, [np.zeros((0, 2), np.int64)]
+    for n in np.unique(size[(size > 1) & ~crowd]):
+        x, y = np.triu_indices(n, 1)
+        same = np.flatnonzero(size == n)
+        for k in range(0, len(same), width := max(1, step // len(x))):
+            at = begin[same[k : k + width], None]
+            near = np.bitwise_count((check[at + x] ^ check[at + y]).view(np.uint64)) <= most
+            crowd[same[k : k + width]] = many = near.sum(axis=1) > 4 * n
+            near[many] = False
+            i, j = np.nonzero(near)
+            pairs.append(np.stack([node[at[i, 0] + x[j]], node[at[i, 0] + y[j]]], axis=1))
+    found = np.concatenate(pairs)
+    found = np.unique(found, axis=0) if len(found) else found
+    more = np.repeat(crowd, size)
+    full = (key.astype(np.uint64) * _MIX ^ np.uint64(table.column("bucket")[0].as_py())) * _MIX
+    kind = np.repeat(np.array([1, 2], np.int8), [len(found), more.sum()])
+    return kind, np.concatenate([found[:, 0], full[more].view(np.int64)]), np.concatenate([found[:, 1], node[more]])
 
 
 def _ranked(x: np.ndarray, near: np.ndarray, limit: int) -> np.ndarray:
@@ -175,8 +185,8 @@ def crossing(table: pa.Table, sketch: list[str], alike: Callable, limit: int | N
 def linked(pairs: DataFrame, entries: DataFrame, nodes: DataFrame, alike: Callable, confirm: Callable, block: int = 2000) -> DataFrame:
     """(id, component) of the nodes that links join.
 
-    ``pairs`` (a, b) are the nodes of keys that only two have, ``entries`` (key, node) the keys of
-    three nodes and more, ``nodes`` a sketch of each node (node and the sketch's columns). A
+    ``pairs`` (a, b) are to be compared at any rate, ``entries`` (key, node) are the keys whose
+    nodes are still to be paired, ``nodes`` a sketch of each node (node and the sketch's columns). A
     link needs a common key, sketches that are ``alike`` (a distance, or -1 if the nodes
     can't be linked) and confirmation: confirm(pairs) gives the pairs that hold.
 
