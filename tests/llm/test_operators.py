@@ -55,6 +55,28 @@ def test_components(spark):
     e = spark.createDataFrame([(i, i + 1) for i in range(20)] + [(50, 40), (60, 60), (70, 40)], "a long, b long")
     assert {r.id: r.component for r in components(e).collect()} == {**dict.fromkeys(range(21), 0), 40: 40, 50: 40, 70: 40}
     assert components(e.limit(0)).count() == 0
+    known = components(e)
+    more = spark.createDataFrame([(20, 70), (3, 9), (80, 81), (82, 81), (90, 15), (40, 40)], "a long, b long")
+    for edges in (more, e.limit(0)):
+        assert {r.id: r.component for r in components(edges, known).collect()} == {r.id: r.component for r in components(e.unionByName(edges)).collect()}
+    assert {r.id: r.component for r in components(more, e.limit(0).toDF("id", "component")).collect()} == {r.id: r.component for r in components(more).collect()}
+
+
+def test_word_hashes():
+    rng = random.Random(8)
+    words = ["", "a", "ab", "ba", "x" * 64, "x" * 65, "x" * 64 + "y", "y" + "x" * 64, "日本語", "x" * 100_000, *("".join(rng.choices("abc", k=rng.randrange(1, 70))) for _ in range(40_000))]
+    words = list(dict.fromkeys(words))
+    got = neardup.word_hashes(pa.array(words))
+    assert len(set(got.tolist())) == len(words) and len(neardup.word_hashes(pa.array([], pa.string()))) == 0
+    # of a slice, of other types and beside other words they are the same
+    assert (neardup.word_hashes(pa.array(words).slice(5, 20_000)) == got[5:20_005]).all()
+    assert (neardup.word_hashes(pa.array([w.encode() for w in words[::-1]])) == got[::-1]).all()
+    mask = (1 << 64) - 1
+    for w, h in list(zip(words, got.tolist()))[:200]:
+        if len(b := w.encode()) <= 64:
+            x = (sum(int(neardup._BYTES[c]) * int(neardup._PLACES[i]) for i, c in enumerate(b)) + len(b) * int(neardup._MIX)) & mask
+            x = (x ^ (x >> 32)) * int(neardup._MIX) & mask
+            assert h == x ^ (x >> 29)
 
 
 # 1

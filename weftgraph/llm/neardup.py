@@ -14,8 +14,31 @@ from .common import chunks, documents, free_name, materialise, split_words
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
+#: A number for each byte, and an odd factor for each of a word's first places.
+_BYTES, _PLACES = np.random.default_rng(64).integers(0, 1 << 64, (2, 256), np.uint64)
+_PLACES = _PLACES[:64] | np.uint64(1)
+
+
 def word_hashes(vocab: pa.Array) -> np.ndarray:
-    return np.fromiter((xxhash.xxh64_intdigest(w) for w in vocab.cast(pa.binary()).to_pylist()), np.uint64, len(vocab))
+    """64-bit hashes of words: the numbers of their bytes times their places' factors, summed and mixed; of longer words than there are places, xxHash."""
+    vocab = pa.concat_arrays([vocab.cast(pa.large_binary())])
+    out = np.zeros(len(vocab), np.uint64)
+    if not len(vocab):
+        return out
+    offsets = np.frombuffer(vocab.buffers()[1], np.int64)[vocab.offset : vocab.offset + len(vocab) + 1]
+    data = np.frombuffer(vocab.buffers()[2] or b"", np.uint8)
+    for a in range(0, len(vocab), 1 << 14):  # words at a time, so that the arrays stay small
+        begin, size = offsets[a : a + (1 << 14) + 1][:-1], np.diff(offsets[a : a + (1 << 14) + 1])
+        head = np.minimum(size, len(_PLACES))
+        ends = np.cumsum(head)
+        place = np.arange(ends[-1]) - np.repeat(ends - head, head)
+        sums = np.concatenate([[np.uint64(0)], np.cumsum(_BYTES[data[np.repeat(begin, head) + place]] * _PLACES[place])])
+        out[a : a + len(size)] = sums[ends] - sums[ends - head] + size.astype(np.uint64) * _MIX
+        for i in np.flatnonzero(size > len(_PLACES)):
+            out[a + i] = xxhash.xxh64_intdigest(vocab[a + i].as_py())
+    out ^= out >> np.uint64(32)
+    out *= _MIX
+    return out ^ (out >> np.uint64(29))
 
 
 def gram_hashes(h: np.ndarray, k: int) -> np.ndarray:
