@@ -207,7 +207,7 @@ def linked(pairs: DataFrame, entries: DataFrame, nodes: DataFrame, alike: Callab
             yield batch.select(["a", "b"]).filter(pa.array(alike(x, y) >= 0))
 
     both = both.select("a", "b", *(f"{c}_{x}" for x in "ab" for c in sketch)).mapInArrow(may_be, "a long, b long")
-    found = links = tested = limit = None
+    found = tested = limit = None
     while True:
         groups = max(64, entries.count() // 10_000)
         rows = entries.withColumn("c", F.col("node")) if found is None else entries.join(found, F.col("node") == F.col("id"), "left").select("key", "node", F.coalesce("component", "node").alias("c"))
@@ -229,8 +229,8 @@ def linked(pairs: DataFrame, entries: DataFrame, nodes: DataFrame, alike: Callab
         fresh = materialise(fresh, "fresh")
         if found is None or not fresh.isEmpty():
             new = materialise(confirm(fresh), "links")
-            links, tested = (new, fresh) if found is None else (links.unionByName(new), tested.unionByName(fresh))
-            found = components(links)
+            tested = fresh if found is None else tested.unionByName(fresh)
+            found = components(new, found)
         cut = near.where("more").select("key").distinct()
         if cut.isEmpty():
             return found

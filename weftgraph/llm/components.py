@@ -8,13 +8,24 @@ from pyspark.sql import functions as F
 from .common import materialise
 
 
-def components(edges: DataFrame) -> DataFrame:
+def components(edges: DataFrame, known: DataFrame | None = None) -> DataFrame:
     """(id, component) of every end of the edges (a, b): component is the smallest id that can be reached.
 
+    With ``known``, the components (id, component) of other edges, both are taken together: only
+    edges between different components of those are followed.
+
     Each round takes the least label among the neighbours and then the label of that
     label; it ends when no label changes. Every round is written to the shared folder, so
     neither the lineage nor the driver grows. No edges: an empty table.
     """
+    if known is not None:
+        for x in "ab":
+            of = known.select(F.col("id").alias("_id"), F.col("component").alias("_component"))
+            edges = edges.join(of, F.col(x) == F.col("_id"), "left").select(F.coalesce("_component", x).alias(x), "b" if x == "a" else "a")
+        joined = components(edges)
+        of = joined.select(F.col("id").alias("_id"), F.col("component").alias("_component"))
+        moved = known.join(of, F.col("component") == F.col("_id"), "left").select("id", F.coalesce("_component", "component").alias("component"))
+        return materialise(moved.unionByName(joined.join(known, "id", "left_anti")), "labels")
     edges = edges.where("a <> b").select("a", "b")
     both = materialise(edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "edges")
     labels = materialise(both.groupBy(F.col("a").alias("id")).agg(F.least("a", F.min("b")).alias("label")), "labels")
