@@ -17,11 +17,19 @@ def relu_grad(z, g):
     return F.zip_with(z, g, lambda a, b: F.when(a > 0, b).otherwise(0.0))
 
 
+def bound(value, use):
+    """``use`` of a value that is computed once a row. A column that a lambda reads is inlined into it by the optimiser, and then computed for each element."""
+    return F.transform(F.array(value), use)[0]
+
+
 def log_softmax(df, column: str = "x"):
     """The frame with log-softmax of its array column, shifted by the row's largest score."""
-    df = df.withColumn("_top", F.array_max(column))
-    df = df.withColumn("_norm", F.log(total(F.transform(column, lambda v: F.exp(v - F.col("_top"))))))
-    return df.withColumn(column, F.transform(column, lambda v: v - F.col("_top") - F.col("_norm"))).drop("_top", "_norm")
+
+    def shifted(x):
+        norm = lambda top: F.log(total(F.transform(x, lambda v: F.exp(v - top))))
+        return bound(F.array_max(x), lambda top: bound(norm(top), lambda n: F.transform(x, lambda v: v - top - n)))
+
+    return df.withColumn(column, bound(F.col(column), shifted))
 
 
 def log_norm(z):
@@ -33,7 +41,7 @@ def log_norm(z):
 
 def log_softmax_grad(p, g, summed):
     """Gradient at the scores, given log-probabilities p, the gradient g at them, and ``summed``, a column with g's sum."""
-    return F.zip_with(p, g, lambda a, b: b - F.exp(a) * summed)
+    return bound(summed, lambda s: F.zip_with(p, g, lambda a, b: b - F.exp(a) * s))
 
 
 def argmax(x):
