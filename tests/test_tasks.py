@@ -5,8 +5,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from weftgraph.operators import blocks, hubs, linalg, prepare
+from weftgraph.plans import train as T
 
-from .test_scale import ADJ, dense, features, shuffled  # noqa: F401
+from .test_scale import ADJ, close, dense, features, graph, shuffled  # noqa: F401
 
 
 def test_edges_are_dealt_by_number(spark, monkeypatch):
@@ -45,3 +46,16 @@ def test_products_are_sent_packed(spark, shuffled, monkeypatch):  # noqa: F811
     assert len(rows) == len({(r.src, r.dst) for r in rows}) and np.allclose(dense(out, 30), a @ b)
     plan = out._jdf.queryExecution().executedPlan().toString()
     assert plan.index("Exchange hashpartitioning(src") > plan.index("Generate inline")  # products are made behind the shuffle
+
+
+def test_training_reads_edges_where_they_lie(spark, monkeypatch):
+    monkeypatch.setattr(blocks, "BUCKET_EDGES", 20)
+    whole, stored = graph(spark), graph(spark, block_edges=10)
+    assert whole.stored is None and stored.stored.split > 1
+    assert close(T.train(whole, 2)[-1], T.train(stored, 2)[-1])
+    before = set(stored.tables.manifest)
+    assert not any(name.startswith("product") for name in before)
+    w1, w2 = T.train(whole, 1)[-1]
+    got = {(r.layer, r.i, r.j): r.w for r in T.table_steps(stored, 1).collect()}
+    assert all(np.isclose(got[k, i, j], v) for k, w in ((1, w1), (2, w2)) for i, row in enumerate(w) for j, v in enumerate(row))
+    assert {name.split("-")[0] for name in set(stored.tables.manifest) - before} == {"state"}

@@ -9,9 +9,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import neural
-from ..operators import hubs, linalg, partition, prepare
+from ..operators import blocks, hubs, linalg, partition, prepare
 from ..sources import graphs
-from ..sources.store import Tables, exists, folders, remove
+from ..sources.store import Tables, exists, folders, remove, setting
 
 
 @dataclass
@@ -23,6 +23,7 @@ class TrainConfig:
     instead of its in-neighbours, ``runs`` repeats a run from the same start.
     ``loss_blocks`` of k > 0 takes the sum of the mean losses of k blocks of node ids
     instead of the mean of all. ``hub_edges`` is how many edges of one node a task of a product takes; a node with more is split into parts.
+    A graph without such nodes but with more than ``block_edges`` edges is stored in a grid of buckets, so that products move no edge and a task adds up few nodes.
     """
 
     hidden: int = 16
@@ -37,6 +38,7 @@ class TrainConfig:
     inward: bool = True
     runs: int = 1
     hub_edges: int = 1_000_000
+    block_edges: int = 2_000_000
 
 
 @dataclass
@@ -55,23 +57,32 @@ class Graph:
     heavy: DataFrame | None = None
     heavy_back: DataFrame | None = None
     tables: Tables | None = None
+    stored: blocks.Blocks | None = None
 
     def __post_init__(self):
         self.tables = self.tables or Tables(self.nodes.sparkSession)
 
     def forward(self, h: DataFrame, width: int) -> DataFrame:
-        """M h; an adjacency without parts is taken as it is."""
+        """M h; an adjacency without parts is taken as it is, or from its buckets."""
+        if self.stored:
+            return self._product(h, width)
         if self.heavy is None:
             return linalg.spmm(self.adj, h, width)
         return hubs.spmm(self.adj.select("src", "dst", "w", "part"), h, width, self.heavy)
 
     def backward(self, h: DataFrame, width: int) -> DataFrame:
         """The transpose of M times h."""
+        if self.stored:
+            return self._product(h, width, True)
         if self.heavy_back is None:
             return linalg.spmm(prepare.transpose(self.adj), h, width)
         turned = self.adj.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "w", F.col("back").alias("part"))
         return hubs.spmm(turned, h, width, self.heavy_back)
 
+    def _product(self, h: DataFrame, width: int, turned: bool = False) -> DataFrame:
+        with setting(h.sparkSession, blocks.BY_CELL, "false"):
+            return self.tables.put(blocks.partial_sums(self.stored, h, width, turned), "product")
+
 
 def prepared(nodes: DataFrame, edges: DataFrame, n: int, config: TrainConfig) -> Graph:
     """A graph to train on from nodes and distinct edges: the adjacency and the aggregated features are written once."""
@@ -95,10 +106,20 @@ def prepared(nodes: DataFrame, edges: DataFrame, n: int, config: TrainConfig) ->
             adj = tables.put(split.select("src", "dst", "w", F.col("_part").alias("part"), F.col("part").alias("back")), "adj")
             tables.drop(plain)
     g = Graph(nodes, adj, nodes, n, config, heavy, back, tables)
+    g.stored = in_buckets(g)
+    before = set(tables.manifest)
     g.mx = tables.put(g.forward(nodes, config.features), "mx")
+    tables.drop_named("product", set(tables.manifest) - before)
     return g
 
 
+def in_buckets(g: Graph) -> blocks.Blocks | None:
+    """The adjacency in a grid of buckets, if it has no parts and more than ``block_edges`` edges."""
+    if g.heavy is not None or g.heavy_back is not None or (edges := g.adj.count()) <= g.config.block_edges:
+        return None
+    return blocks.store_blocks(g.adj, blocks.Layout(1, 1, lambda x: F.lit(0), lambda x: F.lit(0)), edges)
+
+
 def load(spark: SparkSession, sf_dir: str, config: TrainConfig | None = None) -> Graph:
     """The graph of the test tables, see graphs.nodes and graphs.coo_edges."""
     edges = prepare.symmetric(graphs.coo_edges(spark, sf_dir))
@@ -115,7 +136,9 @@ def save(g: Graph, path: str) -> None:
 def open_saved(spark: SparkSession, path: str, config: TrainConfig | None = None) -> Graph:
     nodes, adj, mx = (spark.read.parquet(f"{path}/{name}") for name in ("nodes", "adj", "mx"))
     heavy, back = (spark.read.parquet(f"{path}/{name}") if "part" in adj.columns else None for name in ("heavy", "heavy_back"))
-    return Graph(nodes, adj, mx, nodes.count(), config or TrainConfig(), heavy, back)
+    g = Graph(nodes, adj, mx, nodes.count(), config or TrainConfig(), heavy, back)
+    g.stored = in_buckets(g)
+    return g
 
 
 def layer1(g: Graph, w1) -> tuple[DataFrame, DataFrame]:
@@ -198,9 +221,11 @@ class Adam:
 
 def collect_gradients(g: Graph, w1, w2) -> tuple[dict[tuple[int, int, int], float], DataFrame]:
     """Both layers' gradients, in one job, and the outputs; what comes to the driver has the size of the weights."""
+    before = set(g.tables.manifest)
     dw1, dw2, out, back = gradients(g, w1, w2)
     rows = dw1.withColumn("layer", F.lit(1)).unionByName(dw2.withColumn("layer", F.lit(2))).collect()
     g.tables.drop(back)
+    g.tables.drop_named("product", set(g.tables.manifest) - before)
     return {(r.layer, r.i, r.j): r.v for r in rows}, out
 
 
@@ -326,7 +351,7 @@ def table_step(g: Graph, state: DataFrame) -> DataFrame:
 
     A product with the weights joins each node's features with the rows of the weights; a weight gradient stays a table (i, j, v).
     """
-    c, put = g.config, g.tables.put
+    c, put, before = g.config, g.tables.put, set(g.tables.manifest)
     z1 = put(linalg.transform_by_table(g.mx, weight_rows(state, 1), c.hidden), "z1")
     h1 = z1.withColumn("x", neural.relu("x")) if c.activations else z1
     out = put(outputs(g, g.forward(linalg.transform_by_table(h1, weight_rows(state, 2), c.classes), c.classes)), "out")
@@ -337,6 +362,7 @@ def table_step(g: Graph, state: DataFrame) -> DataFrame:
     grads = linalg.gram(g.mx, g1).withColumn("layer", F.lit(1)).unionByName(linalg.gram(h1, back).withColumn("layer", F.lit(2)))
     new = put(adam_table(state, grads.withColumnRenamed("v", "g"), c.rate), "state")
     g.tables.drop(z1, out, back)
+    g.tables.drop_named("product", set(g.tables.manifest) - before)
     return new
 
 
@@ -352,10 +378,10 @@ def table_steps(g: Graph, epochs: int) -> DataFrame:
 # --- outputs in blocks of classes ----------------------------------------------------
 
 
-def class_blocks(w2, blocks: int) -> list[tuple[int, int, list[list[float]]]]:
-    """(block, first class, its columns of the weights) for blocks of ceil(classes / blocks) classes; later blocks may be shorter or not there."""
+def class_blocks(w2, parts: int) -> list[tuple[int, int, list[list[float]]]]:
+    """(block, first class, its columns of the weights) for blocks of ceil(classes / parts) classes; later blocks may be shorter or not there."""
     classes = len(w2[0])
-    size = -(-classes // blocks)
+    size = -(-classes // parts)
     return [(k, first, [row[first : first + size] for row in w2]) for k, first in enumerate(range(0, classes, size))]
 
 
