@@ -391,6 +391,22 @@ def test_the_best_allowed_exchange_is_found():
         assert (found and sum(n[i] for i in found[0]) - sum(n[i] for i in found[1])) == best
 
 
+def test_words_that_come_again_stay_known(monkeypatch):
+    """Where more words come than are kept, those of the batch before aren't tokenised anew; ids are the tokenizer's."""
+    import public_tokenizers
+
+    monkeypatch.setattr(packing, "_CACHED", 5)
+    get, asked = packing.WordIds(public_tokenizers.path("word_bpe_49k.json")), []
+    word = get._word
+    monkeypatch.setattr(get, "_word", lambda w: asked.append(w) or word(w))
+    often = ["River", "stone.", "don't", "ÜBER", "日本語", "a1"]
+    for k in range(4):
+        batch = [*often, *(f"w{k}x{i}" for i in range(4))]
+        for w, ids in zip(batch, get(batch), strict=True):
+            assert np.frombuffer(ids, "<u4").tolist() == get.tokenizer.encode(w, add_special_tokens=False).ids
+    assert Counter(asked) == Counter({*often, *asked})
+
+
 def test_groups_of_pieces_meet_again(spark):
     rows = [(i, 0, 0, 10 + i % 50, i, i) for i in range(400)]
     pieces = spark.createDataFrame(rows, "doc_id long, piece int, start long, length long, ids_crc32 long, salt long")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import bisect
+import struct
 import zlib
 
 import numpy as np
@@ -16,6 +17,10 @@ from .common import chunks, documents, materialise, split_words
 _CACHED = 250_000
 
 
+def _packed(ids: list[int]) -> bytes:
+    return struct.pack(f"<{len(ids)}I", *ids)
+
+
 class WordIds:
     """Ids of words in a vocabulary whose tokens never cross white space; remembered up to a bound, one for each Python worker."""
 
@@ -34,6 +39,7 @@ class WordIds:
         # ids as bytes of four each, which take a third of an array's memory
         self.part: dict[str, bytes] = {}
         self.known: dict[str, bytes] = {}
+        self.earlier: dict[str, bytes] = {}
 
     def _part(self, part: str) -> bytes:
         ids = self.part.get(part)
@@ -41,23 +47,26 @@ class WordIds:
             if len(self.part) > _CACHED:
                 self.part.clear()
             text = part if part.isascii() else "".join(map(self.letter.__getitem__, part.encode()))
-            ids = self.part[part] = np.array([t.id for t in self.tokenizer.model.tokenize(text)], "<u4").tobytes()
+            ids = self.part[part] = _packed([t.id for t in self.tokenizer.model.tokenize(text)])
         return ids
 
     def _word(self, word: str) -> bytes:
+        if word.isascii() and word.isalpha():  # is one part
+            return self._part(word.lower())
         if "<|" not in word and self.simple.fullmatch(word):
             return b"".join([self._part(part) for part in self.parts.findall(word.lower())])
-        return np.array(self.tokenizer.encode(word, add_special_tokens=False).ids, "<u4").tobytes()
+        return _packed(self.tokenizer.encode(word, add_special_tokens=False).ids)
 
     def __call__(self, words: list[str]) -> list[bytes]:
         """Each word's ids, little-endian unsigned numbers of 32 bits."""
         if len(self.known) > _CACHED:
-            self.known.clear()
-        known, out = self.known, []
+            # words that come again stay known
+            self.known, self.earlier = {}, self.known
+        known, earlier, out = self.known, self.earlier, []
         for w in words:
             ids = known.get(w)
             if ids is None:
-                ids = known[w] = self._word(w)
+                ids = known[w] = earlier.get(w) or self._word(w)
             out.append(ids)
         return out
 
@@ -85,7 +94,7 @@ def tokenised_pieces(docs: DataFrame, size: int = 4096, end: int = 1, path: str
         get, salt = word_ids(path), 0
         for batch in chunks(batches, "text"):
             codes, starts, vocab = split_words(batch.column(1))
-            found = get(vocab.to_pylist())
+            found = get(vocab.to_numpy(zero_copy_only=False).tolist())
             n = np.fromiter(map(len, found), np.int64, len(found)) // 4
             begin = np.concatenate([[0], np.cumsum(n)])
             flat = np.frombuffer(b"".join(found), "<u4")
