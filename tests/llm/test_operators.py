@@ -226,6 +226,25 @@ def test_cosine_of_every_unit(spark):
     assert len(out) > 20
 
 
+def test_tokens_of_lines_are_those_of_the_pattern():
+    rng = random.Random(2)
+    lines = ["", ".", "..", "3.", "a.", "2.0", "v.2..0.x", "\u212a\u0130 \u65e5.5\u672c.a", "\x00a\rb\x0bc"]
+    lines += ["".join(rng.choice("aZ09.. \t-\u00e9") for _ in range(rng.randrange(12))) for _ in range(500)]
+    for some in (lines, lines[3:], []):
+        codes, starts, vocab = licences.line_tokens(pa.array([x.lower() for x in some], pa.string()))
+        assert [vocab.take(pa.array(codes[a:b])).to_pylist() for a, b in zip(starts[:-1], starts[1:], strict=True)] == [own_tokens(x) for x in some]
+
+
+def test_texts_are_read_without_patterns_of_the_engine(spark):
+    """A pattern for each line took most of the scan's time."""
+    files = spark.createDataFrame([("a/LICENSE", "x\nMIT License"), ("b", "# one\ntwo")], "path string, text string")
+    for df in (licences.line_counts(files, ["license"]), licences.unit_terms(files, ["license"])):
+        plan = df._jdf.queryExecution().optimizedPlan().toString()
+        assert "MapInArrow" in plan and "regexp_replace" not in plan and "transform(" not in plan
+    rows = {(r.block, r.line, r.term, r.tf) for r in licences.unit_terms(files, ["license"]).collect()}
+    assert rows == {(-2, 1, "license", 1), (-2, 1, "mit", 1), *((b, -1, w, 1) for b in (0, -1) for w in ("x", "mit", "license"))}
+
+
 def own_tokens(text):
     return [w for w in re.split("[^a-z0-9.]+", re.sub(r"\.(?=[^0-9]|$)", " ", text.lower())) if w]
 

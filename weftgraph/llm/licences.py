@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import documents, materialise
+from .common import chunks, documents, materialise, split_words
+from .linededup import lines_of
 
 _AS_IS = """THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE
 WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS"""
@@ -89,9 +93,85 @@ def _tokens(text):
     return F.filter(F.split(plain, TOKEN), lambda x: x != "")
 
 
-def _blocks(text):
-    """Runs of lines without a blank one; where comment lines end, a run ends too."""
-    return F.split(F.regexp_replace(text, rf"(?md)^({COMMENT}.*)\n(?!{COMMENT})", "$1\n\n"), r"\n[ \t\r]*\n")
+#: The bytes of tokens as they are, all others as a space.
+_PLAIN = np.array([c if chr(c) in "abcdefghijklmnopqrstuvwxyz0123456789." else 32 for c in range(256)], np.uint8)
+
+
+def line_tokens(lines: pa.Array) -> tuple[np.ndarray, np.ndarray, pa.Array]:
+    """The tokens of lower-case lines, as _tokens has them: (codes, where each line's begin and end, vocabulary)."""
+    lines = pa.concat_arrays([lines.cast(pa.large_string())])
+    offsets = np.frombuffer(lines.buffers()[1], np.int64)[lines.offset : lines.offset + len(lines) + 1] if len(lines) else np.zeros(1, np.int64)
+    data = _PLAIN[np.frombuffer(lines.buffers()[2] or b"", np.uint8)[offsets[0] : offsets[-1]]]
+    offsets = offsets - offsets[0]
+    # a dot without a digit behind it in its line is none of a token's
+    dots = np.flatnonzero(data == ord("."))
+    after = np.append(data, 32)[dots + 1]
+    ends = np.searchsorted(offsets, dots + 1)
+    inside = offsets[np.minimum(ends, len(offsets) - 1)] != dots + 1
+    data[dots[~(inside & (after >= ord("0")) & (after <= ord("9")))]] = 32
+    plain = pa.LargeStringArray.from_buffers(len(offsets) - 1, pa.py_buffer(np.ascontiguousarray(offsets)), pa.py_buffer(data))
+    return split_words(plain)
+
+
+def line_counts(files: DataFrame, terms: list[str]) -> DataFrame:
+    """(term, df): in how many lines of the texts each of ``terms`` is; as the empty term, how many lines have tokens."""
+
+    def run(batches):
+        known = pa.array(terms, pa.string())
+        for batch in chunks(batches, "text", 4_000_000):
+            codes, starts, vocab = line_tokens(lines_of(batch.column(0))[0])
+            place = pc.fill_null(pc.index_in(vocab, value_set=known), len(terms)).to_numpy(zero_copy_only=False).astype(np.int64)[codes]
+            line, own = np.repeat(np.arange(len(starts) - 1), np.diff(starts)), place < len(terms)
+            pairs = np.unique(line[own] * len(terms) + place[own])
+            df = np.bincount(pairs % max(len(terms), 1), minlength=len(terms))
+            yield pa.RecordBatch.from_arrays([pa.array([*terms, ""], pa.string()), pa.array(np.append(df, (np.diff(starts) > 0).sum()).astype(np.int64))], ["term", "df"])
+
+    return files.select(F.lower("text").alias("text")).mapInArrow(run, "term string, df long").where("df > 0").groupBy("term").agg(F.sum("df").alias("df"))
+
+
+def unit_terms(files: DataFrame, rare: list[str]) -> DataFrame:
+    """(path, h, block, line, term, tf): the terms of each unit that has one of ``rare``.
+
+    A line has its number and block -2, a block line -1, a whole licence file -1 in both. Blocks
+    are runs of lines without a blank one; where comment lines end, a block ends too. One of a
+    single line with tokens is left to its line.
+    """
+
+    def run(batches):
+        wanted = pa.array(rare, pa.string())
+        for batch in chunks(batches, "text", 4_000_000):
+            lines, ends = lines_of(batch.column(2))
+            codes, starts, vocab = line_tokens(lines)
+            count = np.diff(starts)
+            text = np.repeat(np.arange(batch.num_rows), np.diff(ends))  # of each line
+            comment = pc.match_substring_regex(lines, "^" + COMMENT).to_numpy(zero_copy_only=False)
+            fresh = pc.match_substring_regex(lines, r"^[ \t\r]*$").to_numpy(zero_copy_only=False).astype(bool)
+            fresh[1:] |= ~comment[1:] & comment[:-1]
+            fresh[ends[:-1][np.diff(ends) > 0]] = True
+            block = np.cumsum(fresh) - 1
+            line = np.repeat(np.arange(len(count)), count)  # of each word
+            hit = pc.is_in(vocab, value_set=wanted).to_numpy(zero_copy_only=False)[codes]
+            licence = batch.column(3).to_numpy(zero_copy_only=False)
+            several = np.bincount(block, weights=count > 0) > 1 if len(block) else np.zeros(0, bool)
+            units = []
+            for kind, (of, may) in enumerate(((np.arange(len(count)), None), (block, several), (text, licence))):
+                has = np.zeros(of[-1] + 1 if len(of) else 0, bool)
+                has[of[line[hit]]] = True
+                has &= True if may is None else may[: len(has)].astype(bool)
+                own = np.flatnonzero(has[of[line]])
+                key, tf = np.unique(of[line[own]] * max(len(vocab), 1) + codes[own], return_counts=True)
+                unit, term = key // max(len(vocab), 1), key % max(len(vocab), 1)
+                at = unit if kind == 2 else text[unit if kind == 0 else np.searchsorted(block, unit)]
+                none = np.full(len(unit), -1)
+                units.append((at, none - 1 if kind == 0 else none if kind == 2 else unit - block[ends[at]], unit - ends[at] if kind == 0 else none, term, tf))
+            at, block, line, term, tf = (np.concatenate(x).astype(np.int64) for x in zip(*units, strict=True))
+            columns = [batch.column(0).take(pa.array(at)), batch.column(1).take(pa.array(at)), pa.array(block.astype(np.int32)), pa.array(line.astype(np.int32)), vocab.take(pa.array(term)), pa.array(tf)]
+            yield pa.RecordBatch.from_arrays(columns, ["path", "h", "block", "line", "term", "tf"])
+
+    licence = F.element_at(F.split("path", "/"), -1).rlike(LICENCE_FILE).alias("licence")
+    rows = files.select("path", F.xxhash64("text").alias("h"), F.lower("text").alias("text"), licence)
+    found = rows.mapInArrow(run, "path string, h long, block int, line int, term string, tf long")
+    return found.groupBy("path", "h", "block", "line", "term").agg(F.sum("tf").alias("tf"))
 
 
 def unit_scores(files: DataFrame, least: float = 0.6, templates: dict[str, list[str]] = TEMPLATES) -> DataFrame:
@@ -107,15 +187,11 @@ def unit_scores(files: DataFrame, least: float = 0.6, templates: dict[str, list[
     template's norm is below ``least``, and so would be the cosine.
     """
     spark = files.sparkSession
-    blocks = files.select("path", F.xxhash64("text").alias("h"), F.posexplode(_blocks(F.col("text"))).alias("block", "t"))
-    blocks = blocks.select("path", "h", "block", F.transform(F.split("t", "\n"), _tokens).alias("lines"))
     rows = [(k, n, t) for k, texts in templates.items() for n, t in enumerate(texts)]
     tf = spark.createDataFrame(rows, "licence string, n int, t string").select("licence", "n", F.explode(_tokens("t")).alias("term")).groupBy("licence", "n", "term").agg(F.count(F.lit(1)).alias("tf"))
     terms = sorted(r.term for r in tf.select("term").distinct().collect())  # of the fixed templates
-    known = F.array(*map(F.lit, terms))
     # a term's lines, and as the empty term all lines that have any
-    df = blocks.select(F.explode("lines").alias("tokens")).where(F.size("tokens") > 0)
-    df = materialise(df.select(F.explode(F.array_append(F.array_intersect("tokens", known), F.lit(""))).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("df")), "df")
+    df = materialise(line_counts(files, terms), "df")
     total = df.agg(F.coalesce(F.max(F.when(F.col("term") == "", F.col("df"))), F.lit(0)).alias("lines"))
     idf = spark.createDataFrame([(t,) for t in terms], "term string").join(df, "term", "left").crossJoin(F.broadcast(total))  # one row of totals
     idf = idf.select("term", (F.log((1 + F.col("lines")) / (1 + F.coalesce("df", F.lit(0)))) + 1).alias("idf"), (F.log((1.0 + F.col("lines")) / 2) + 1).alias("rest"))
@@ -125,17 +201,8 @@ def unit_scores(files: DataFrame, least: float = 0.6, templates: dict[str, list[
     commoner = Window.partitionBy("licence", "n").orderBy("idf", "term").rowsBetween(Window.unboundedPreceding, 0)
     share = F.sqrt(F.sum(F.col("w") * F.col("w")).over(commoner)) / F.col("norm")
     rare = sorted({r.term for r in weights.withColumn("share", share).where(F.col("share") >= least - 1e-5).select("term").collect()})  # of the fixed templates
-    gate = F.array(*map(F.lit, rare))
-    has = lambda tokens: F.arrays_overlap(tokens, gate)
-    # the block is unit -1 of its lines, the whole text is block -1
-    whole = files.where(F.element_at(F.split("path", "/"), -1).rlike(LICENCE_FILE)).select("path", F.xxhash64("text").alias("h"), F.lit(-1).alias("block"), F.lit(-1).alias("line"), _tokens("text").alias("tokens"))
-    of = blocks.where(F.exists("lines", has)).select("path", "h", "block", F.explode(F.concat(
-        F.transform("lines", lambda x, i: F.struct(i.alias("line"), x.alias("tokens"))),
-        F.when(F.size(F.filter("lines", lambda x: F.size(x) > 0)) > 1, F.array(F.struct(F.lit(-1).alias("line"), F.flatten("lines").alias("tokens")))).otherwise(F.array()),
-    )).alias("u")).select("path", "h", "block", "u.*")
     unit = ["path", "h", "block", "line"]
-    counts = of.unionByName(whole).where(has("tokens")).select(*unit, F.explode("tokens").alias("term")).groupBy(*unit, "term").agg(F.count(F.lit(1)).alias("tf"))
-    counts = materialise(counts, "terms")  # is read twice
+    counts = materialise(unit_terms(files, rare), "terms")  # is read twice
     # all tables below but counts have as many rows as the templates have terms
     vector = counts.join(F.broadcast(idf.select("term", "idf")), "term", "left").crossJoin(F.broadcast(idf.agg(F.max("rest").alias("rest"))))
     vector = vector.select(*unit, "term", (F.col("tf") * F.coalesce("idf", "rest")).alias("v"))
