@@ -781,6 +781,14 @@ def test_crossing_gives_pairs_of_many_keys_once():
     assert left and {k for k, _, _ in left} <= {r["key"] for r in cut if r["more"]}
 
 
+def test_few_bytes_are_signed_at_a_time(spark, docs, monkeypatch):
+    assert neardup.SIGNED_BYTES <= 2_000_000
+    rows = docs.select("doc_id", F.xxhash64("text").alias("t"), "text")
+    whole = neardup.signatures(rows, 5, 4, 30).collect()
+    monkeypatch.setattr(neardup, "SIGNED_BYTES", 1)
+    assert sorted(map(str, neardup.signatures(rows, 5, 4, 30).collect())) == sorted(map(str, whole))
+
+
 def test_parities_tell_near_copies_apart():
     """Sets at 85 % pass, and of pairs at about 74 %, which sketches of 64 entries let pass, hardly any does."""
     rng = np.random.default_rng(85)
