@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from .common import bucket, chunks, documents, free_name, materialise
+from .common import SMALL_BATCHES, bucket, chunks, documents, free_name, materialise
 
 #: Families of languages by ISO 639-1 code. A learned language that isn't here is a family of its own.
 FAMILIES = {
@@ -188,8 +188,11 @@ def keep_identified(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: drops documents whose language can't be told (no text, or no letter in it).
 
     Null langs and ids, repeated rows and very long texts are predicted like any other; an
-    empty table stays empty, and every column that came in goes on, with its values.
+    empty table stays empty, and every column that came in goes on, with its values. The session
+    keeps SMALL_BATCHES, as the rows are read when it has returned.
     """
+    for key, value in SMALL_BATCHES.items():
+        spark.conf.set(key, value)
     own = {c: free_name(docs, f"_own_{c}") for c in ("lang_pred", "score") if c in docs.columns}
     kept = identify(docs.withColumnsRenamed(own), fit(docs)).where("lang_pred <> 'und'").drop("lang_pred", "score")
     return kept.withColumnsRenamed({v: k for k, v in own.items()}).select(*docs.columns)
