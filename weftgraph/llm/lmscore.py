@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import gru
-from .common import bucket, chunks, documents, materialise, split_words
+from .common import SMALL_BATCHES, bucket, chunks, documents, materialise, split_words
 
 RARE = 64
 
@@ -104,7 +104,7 @@ class Scorer:
             vector[got["at"].to_numpy()] = got["v"].to_numpy()
             self.params = gru.unflat(vector, self.params)
 
-    def score(self, docs: DataFrame, block_bytes: int = 16_000_000) -> DataFrame:
+    def score(self, docs: DataFrame, block_bytes: int = 4_000_000) -> DataFrame:
         """doc_id, n_tokens, n_known, train_tokens, base_score and score of every row of ``docs`` (doc_id, text).
 
         The documents are dealt into blocks of about ``block_bytes``; each block gets the
@@ -176,7 +176,9 @@ def score_documents(docs: DataFrame, training: DataFrame | None = None, **option
 
 
 def op4_lm_scoring(spark, sf_dir: str) -> DataFrame:
-    """Log10 probabilities of all documents; those in the second of five hash classes are held out."""
+    """Log10 probabilities of all documents; those in the second of five hash classes are held out. The session keeps SMALL_BATCHES."""
+    for key, value in SMALL_BATCHES.items():
+        spark.conf.set(key, value)
     docs = documents(spark, sf_dir)
     held_out = lambda x: F.coalesce(bucket(x) % 5 == 1, F.lit(False))
     rows = score_documents(docs, docs.where(~held_out(F.col("doc_id"))))
