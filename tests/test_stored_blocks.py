@@ -62,6 +62,11 @@ def test_nulls_and_large_blocks_go_by_the_join(spark, monkeypatch):
     same(prepare.multiply_dealt(*(x.where("src IS NOT NULL AND dst IS NOT NULL") if hasattr(x, "where") else x for x in deal())), {k: v for k, v in want.items() if None not in k})
 
 
+def test_products_of_orders_and_suppliers_are_not_shuffled(spark):
+    text = catalog.QUERIES["spspmm_hubs"](spark, D)._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in text and "HashAggregate" not in text
+
+
 def test_pairs_are_sorted_before_they_are_sent(spark, monkeypatch):
     monkeypatch.setattr(prepare, "TASK_ROWS", 50)
     edges = spark.createDataFrame([(i % 5, (i * 7) % 6 - 1) for i in range(900)], "src long, dst long")
